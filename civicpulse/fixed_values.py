@@ -74,6 +74,7 @@ MIN_DF = 5
 MAX_FEATURES = 5000
 SPLIT_SEED = 2025
 TEST_FRACTION = 0.2
+LINEAR_TOLERANCE = 1e-4
 BOOSTED_TREES = 100
 BOOSTED_DEPTH = 6
 BOOSTED_RATE = 0.1

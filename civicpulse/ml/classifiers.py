@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from multiprocessing.pool import ThreadPool
@@ -19,13 +20,22 @@ from civicpulse import fixed_values as fixed
 def logistic(n: int, c: float = 1.0) -> LogisticRegression:
     """M8: L2 logistic regression; strength ``C`` over ``n`` rows is ``1 / (C n)`` per row."""
     return LogisticRegression(
-        regParam=1.0 / (c * n), elasticNetParam=0.0, standardization=False, maxIter=100
+        regParam=1.0 / (c * n),
+        elasticNetParam=0.0,
+        standardization=False,
+        maxIter=100,
+        tol=fixed.LINEAR_TOLERANCE,
     )
 
 
 def linear_svc(n: int, c: float = 1.0) -> LinearSVC:
     """L2 linear SVM. Spark's loss is the plain hinge, not the squared one."""
-    return LinearSVC(regParam=1.0 / (c * n), standardization=False, maxIter=100)
+    return LinearSVC(
+        regParam=1.0 / (c * n),
+        standardization=False,
+        maxIter=1000,
+        tol=fixed.LINEAR_TOLERANCE,
+    )
 
 
 def boosted_trees(
@@ -35,7 +45,15 @@ def boosted_trees(
     rate: float = fixed.BOOSTED_RATE,
 ) -> GBTClassifier:
     """M9: gradient-boosted trees over histogram splits, logistic loss."""
-    return GBTClassifier(maxIter=trees, maxDepth=depth, stepSize=rate, maxBins=256, seed=42)
+    return GBTClassifier(
+        maxIter=trees,
+        maxDepth=depth,
+        stepSize=rate,
+        maxBins=256,
+        seed=42,
+        # Room for the statistics of a whole tree level, so a level is one pass.
+        maxMemoryInMB=1024,
+    )
 
 
 @dataclass(frozen=True)
@@ -67,13 +85,17 @@ def fit_one_vs_rest(
     features: str = "features",
     labels: str = "labels",
     parallelism: int = 4,
+    rows_per_task: int = 5000,
 ) -> MultiLabelModel:
     """Fit ``estimator(n)`` once per class on the kept feature rows.
 
-    ``parallelism`` fits run at once so that their small stages overlap.
+    ``parallelism`` fits run at once so that their small stages overlap. Tasks
+    are never more, and for few rows fewer, than ``n / rows_per_task``: every
+    pass merges one set of statistics per task.
     """
-    rows = train.select(features, labels).persist()
-    n = rows.count()
+    n = train.count()
+    tasks = max(1, math.ceil(n / rows_per_task))
+    rows = train.select(features, labels).coalesce(tasks).persist()
     seen = dict(
         rows.select(F.explode(F.array_distinct(labels)).alias("label"))
         .filter(F.col("label").isin(list(classes)))

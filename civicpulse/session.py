@@ -81,3 +81,16 @@ def broadcast_within(
         F.coalesce(F.sum(F.octet_length(F.to_json(F.struct("*")))), F.lit(0)).alias("b"),
     ).first()
     return F.broadcast(df) if size.n <= max_rows and size.b <= max_bytes else df
+
+
+def spread_few_files(df: DataFrame) -> DataFrame:
+    """Share out a scan that would leave most cores idle.
+
+    A file of one row group is read by one task however many splits it has.
+    Only a scan of fewer files than cores and at most one wave of splits is
+    repartitioned; any larger one comes back as it is, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if len(df.inputFiles()) >= cores or df.rdd.getNumPartitions() > cores:
+        return df
+    return df.repartition(2 * cores)

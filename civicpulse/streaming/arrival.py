@@ -26,6 +26,8 @@ def first_arrivals_stream(
 
     # Nested so that workers get the code itself, whatever is installed there.
     def earliest(rows: pd.DataFrame) -> pd.DataFrame:
+        if len(rows) == 1:
+            return rows
         return rows.sort_values(by, kind="stable").drop_duplicates(key)
 
     def reduce_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

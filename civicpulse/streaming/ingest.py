@@ -16,19 +16,26 @@ def bronze_tickets(messages: DataFrame) -> DataFrame:
     Counters are observed on the way: ``arrived`` (messages, missing_id) and
     ``landed`` (first, saved); duplicates are messages - missing_id - first.
     """
-    arrived = records(decode(messages, schemas.TICKET_MESSAGE)).observe(
-        "arrived",
-        F.count("*").alias("messages"),
-        F.count_if(F.col("ticket_id").isNull()).alias("missing_id"),
+    arrived = (
+        records(decode(messages, schemas.TICKET_MESSAGE))
+        .select("ticket_id", "seq", "value")
+        .observe(
+            "arrived",
+            F.count("*").alias("messages"),
+            F.count_if(F.col("ticket_id").isNull()).alias("missing_id"),
+        )
     )
-    first = first_arrivals_stream(arrived).observe(
+    # Only id, place and raw text pass the stateful step; the text is decoded after it.
+    first = records(
+        decode(first_arrivals_stream(arrived), schemas.TICKET_MESSAGE)
+    ).observe(
         "landed",
         F.count("*").alias("first"),
         F.count("coords").alias("saved"),
     )
     return (
         first.filter(F.col("coords").isNotNull())
-        .withColumn("processing_time", _now_text())
+        .withColumn("processing_time", now_text())
         .select(*schemas.BRONZE_TICKET.fieldNames())
     )
 
@@ -37,7 +44,7 @@ def bronze_air(messages: DataFrame) -> DataFrame:
     """Every reading, no de-duplication."""
     return (
         records(decode(messages, schemas.AIR_MESSAGE))
-        .withColumn("processing_time", _now_text())
+        .withColumn("processing_time", now_text())
         .select(*schemas.BRONZE_AIR.fieldNames())
     )
 
@@ -57,6 +64,6 @@ def counters(report: dict) -> dict:
     }
 
 
-def _now_text():
+def now_text():
     """ISO processing time."""
     return F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")

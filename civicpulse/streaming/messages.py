@@ -52,7 +52,7 @@ def kafka_stream(
 
 
 def decode(messages: DataFrame, schema: T.StructType) -> DataFrame:
-    """``seq``, the record's fields, and the raw text where it is no record.
+    """``seq``, raw ``value``, the record's fields, and a mark where it is no record.
 
     Absent fields are null, unknown ones are dropped. Empty messages and JSON
     ``null`` are not messages at all and leave the stream here.
@@ -64,8 +64,8 @@ def decode(messages: DataFrame, schema: T.StructType) -> DataFrame:
     text = F.trim("value")
     return (
         messages.filter((text != "") & (text != "null"))
-        .select("seq", body.alias("body"))
-        .select("seq", "body.*")
+        .select("seq", "value", body.alias("body"))
+        .select("seq", "value", "body.*")
     )
 
 
@@ -76,4 +76,4 @@ def records(decoded: DataFrame) -> DataFrame:
 
 def quarantine(decoded: DataFrame) -> DataFrame:
     """The unreadable messages as ``(seq, value)``."""
-    return decoded.filter(F.col(CORRUPT).isNotNull()).select("seq", F.col(CORRUPT).alias("value"))
+    return decoded.filter(F.col(CORRUPT).isNotNull()).select("seq", "value")

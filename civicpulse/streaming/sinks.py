@@ -9,28 +9,28 @@ from pyspark.sql.streaming import StreamingQuery
 from civicpulse.sinks.files import EXACT_CSV
 
 
-def _writer(df: DataFrame, checkpoint: str, every: str | None):
-    writer = df.writeStream.outputMode("append").option("checkpointLocation", checkpoint)
+def writer(df: DataFrame, checkpoint: str, every: str | None):
+    out = df.writeStream.outputMode("append").option("checkpointLocation", checkpoint)
     # Without a cadence, take what is there and stop.
-    return writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)
+    return out.trigger(processingTime=every) if every else out.trigger(availableNow=True)
 
 
 def to_csv(df: DataFrame, path: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
     """K4: append to a folder of quoted CSV files, exactly once per record."""
-    return _writer(df, checkpoint, every).format("csv").options(**EXACT_CSV).start(path)
+    return writer(df, checkpoint, every).format("csv").options(**EXACT_CSV).start(path)
 
 
 def to_parquet(
     df: DataFrame, path: str, checkpoint: str, every: str | None = None
 ) -> StreamingQuery:
     """K4: the same to parquet, which later scans can split and prune."""
-    return _writer(df, checkpoint, every).format("parquet").start(path)
+    return writer(df, checkpoint, every).format("parquet").start(path)
 
 
 def to_json(df: DataFrame, path: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
     """T5, K3: pass ``(seq, value)`` messages on unchanged."""
     return (
-        _writer(df.select("seq", "value"), checkpoint, every).format("json").start(path)
+        writer(df.select("seq", "value"), checkpoint, every).format("json").start(path)
     )
 
 
@@ -45,7 +45,7 @@ def to_kafka(
     """K3: publish ``value``, keyed by a column so that copies of a key keep their order."""
     columns = ["value"] if key is None else [F.col(key).cast("string").alias("key"), "value"]
     return (
-        _writer(df.select(*columns), checkpoint, every)
+        writer(df.select(*columns), checkpoint, every)
         .format("kafka")
         .option("kafka.bootstrap.servers", servers)
         .option("topic", topic)

@@ -60,7 +60,9 @@ def record_projection(t):
         [T.StructField("k", T.IntegerType()), T.StructField("absent", T.StringType())]
     )
     incoming = t.events.select(F.col("event_id").alias("seq"), F.col("props").alias("value"))
-    return records(decode(incoming, schema)).withColumnRenamed("seq", "event_id")
+    return records(decode(incoming, schema)).select(
+        F.col("seq").alias("event_id"), "k", "absent"
+    )
 
 
 @query(

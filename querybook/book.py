@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from civicpulse import fixed_values as fixed
 from civicpulse.plans.gold import gold_tickets
-from civicpulse.session import tune
+from civicpulse.session import spread_few_files, tune
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -26,6 +26,10 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    def texts(self) -> DataFrame:
+        """``documents`` for work that is heavy per row."""
+        return spread_few_files(self.documents)
+
     def tickets(self) -> DataFrame:
         return tickets(self.events)
 

@@ -8,9 +8,10 @@ from pyspark.sql import types as T
 from civicpulse import schemas
 from civicpulse.session import scratch_path
 from civicpulse.sinks.files import as_messages, stage_messages
-from civicpulse.sources.files import read_bronze_air, read_bronze_tickets
+from civicpulse.sources.files import read_bronze_air
 from civicpulse.streaming import ingest, sinks
 from civicpulse.streaming.arrival import first_arrivals_stream
+from civicpulse.streaming.landing import TicketLanding
 from civicpulse.streaming.messages import decode, quarantine, records, staged_stream
 from querybook.arrivals import SQL_MESSAGES, messages
 from querybook.book import query
@@ -62,10 +63,11 @@ def _ticket_messages(t):
     SELECT ticket_id, type, comment, coords, timestamp FROM f WHERE coords IS NOT NULL""",
 )
 def stream_ticket_bronze(t):
-    out = _run(t, _ticket_messages(t), ingest.bronze_tickets, sinks.to_csv)
-    return read_bronze_tickets(t.spark, out).select(
-        "ticket_id", "type", "comment", "coords", "timestamp"
-    )
+    base = scratch_path(t.spark, "stream")
+    stage_messages(_ticket_messages(t), f"{base}/in")
+    landing = TicketLanding(f"{base}/tickets")
+    sinks.finish(landing.start(staged_stream(t.spark, f"{base}/in")))
+    return landing.bronze(t.spark).select("ticket_id", "type", "comment", "coords", "timestamp")
 
 
 @query(
@@ -87,7 +89,9 @@ def stream_first_arrival(t):
     )
 
     def firsts(stream):
-        return first_arrivals_stream(records(decode(stream, schema)), "conv_id").filter("located")
+        arrived = records(decode(stream, schema)).select("conv_id", "seq", "value")
+        first = first_arrivals_stream(arrived, "conv_id")
+        return records(decode(first, schema)).filter("located")
 
     return (
         t.spark.read.parquet(_run(t, staged, firsts))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import functions as F
 
 from civicpulse.ml import features, labels, metrics
@@ -35,7 +37,7 @@ def _tickets(t):
         F.when(F.col("quality") == 1, "quality"),
         F.when(F.col("toxic") == 1, "toxic"),
     )
-    return t.documents.join(t.labels, "doc_id").select(
+    return t.texts().join(t.labels, "doc_id").select(
         "doc_id", "text", F.concat(F.lit("{"), flags, F.lit("}")).alias("type")
     )
 
@@ -77,7 +79,7 @@ def hash_split(t):
     FROM terms""",
 )
 def token_counts(t):
-    return features.token_counts(t.documents, "doc_id", "text")
+    return features.token_counts(t.texts(), "doc_id", "text")
 
 
 @query(
@@ -86,7 +88,7 @@ def token_counts(t):
       md5(array_to_string(terms, '|')) AS digest FROM terms""",
 )
 def ngrams(t):
-    return features.with_terms(t.documents, "text").select(
+    return features.with_terms(t.texts(), "text").select(
         "doc_id",
         F.size("terms").cast("bigint").alias("n_terms"),
         F.md5(F.array_join("terms", "|")).alias("digest"),
@@ -95,7 +97,7 @@ def ngrams(t):
 
 @query("vocabulary", f"WITH {SQL_VOCABULARY} SELECT term, tf, df FROM vocabulary")
 def vocabulary(t):
-    return features.vocabulary(features.with_terms(t.documents, "text"))
+    return features.vocabulary(features.with_terms(t.texts(), "text"))
 
 
 @query(
@@ -107,8 +109,9 @@ def vocabulary(t):
     FROM raw""",
 )
 def tfidf_weights(t):
-    model = features.fit_tfidf(t.documents, "text")
-    return six(model.weights(t.documents, "doc_id"))
+    texts = t.texts()
+    model = features.fit_tfidf(texts, "text")
+    return six(model.weights(texts, "doc_id"))
 
 
 SQL_SCORED = """scored AS (SELECT doc_id, quality AS t1, toxic AS t2,
@@ -167,9 +170,12 @@ def classification_report(t):
     return six(metrics.classification_report(_scored(t), ["quality", "toxic"]))
 
 
-def _classified(t, model):
+def _classified(t, model, **settings):
+    estimator, min_df = MODELS[model]
+    if settings:
+        estimator = partial(estimator, **settings)
     _, results = classify(
-        _tickets(t), "doc_id", "text", "type", models={model: MODELS[model]}
+        _tickets(t), "doc_id", "text", "type", models={model: (estimator, min_df)}
     )
 
     def text(column):
@@ -185,7 +191,8 @@ def ovr_logistic(t):
 
 @query("ovr_gbt")
 def ovr_gbt(t):
-    return _classified(t, "boosted_trees")
+    # Ten rounds of the default hundred: each costs one job per tree level and label.
+    return _classified(t, "boosted_trees", trees=10)
 
 
 @query("ovr_svc")
