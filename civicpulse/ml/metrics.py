@@ -46,13 +46,18 @@ def f1_scores(df: DataFrame, truth: str = "truth", predicted: str = "predicted")
 def classification_report(
     df: DataFrame, classes: Sequence[str], truth: str = "truth", predicted: str = "predicted"
 ) -> DataFrame:
-    """``label, precision, recall, f1, support`` per class, then four averages."""
+    """``label, precision, recall, f1, support`` per class, then four averages.
+
+    One pass over the rows: each adds a cell per class and one, at position -1,
+    with the scores of its own label set. What is kept has a row per class.
+    """
+    table = _report_cells(df, truth, predicted).persist()
     tp, fp, fn = (F.col(c) for c in ("tp", "fp", "fn"))
-    confusion = label_confusion(df, truth, predicted)
     names = F.array(*[F.lit(c) for c in classes])
     precision, recall, f1 = _ratio(tp, tp + fp), _ratio(tp, tp + fn), _f1(tp, fp, fn)
     support = tp + fn
-    per_label = confusion.select(
+    per_class = table.filter(F.col("label") >= 0)
+    per_label = per_class.select(
         F.get(names, F.col("label")).alias("label"),
         precision.alias("precision"),
         recall.alias("recall"),
@@ -74,7 +79,7 @@ def classification_report(
             total.alias("support"),
         )
 
-    averages = confusion.agg(
+    averages = per_class.agg(
         F.array(
             row(
                 "micro avg",
@@ -86,24 +91,53 @@ def classification_report(
             row("weighted avg", weighted(precision), weighted(recall), weighted(f1)),
         ).alias("rows")
     ).select(F.inline("rows"))
-    return per_label.unionByName(averages).unionByName(_sample_average(df, truth, predicted))
+    samples = table.filter(F.col("label") < 0).select(
+        F.lit("samples avg").alias("label"), "precision", "recall", "f1", support.alias("support")
+    )
+    return per_label.unionByName(averages).unionByName(samples)
 
 
-def _sample_average(df: DataFrame, truth: str, predicted: str) -> DataFrame:
-    """Scores of each row's own label set, averaged over rows."""
+def _report_cells(df: DataFrame, truth: str, predicted: str) -> DataFrame:
+    """Summed cells per class, and the mean row scores at position -1."""
 
     def total(array: Column) -> Column:
         return F.aggregate(array, F.lit(0), lambda a, x: a + x)
 
-    hits = total(F.zip_with(truth, predicted, lambda t, p: t * p))
+    nothing = F.lit(None).cast("double")
+
+    def cell(label: Column, tp: Column, fp: Column, fn: Column, *scores: Column) -> Column:
+        p, r, f = scores or (nothing, nothing, nothing)
+        return F.struct(
+            label.alias("label"),
+            tp.alias("tp"),
+            fp.alias("fp"),
+            fn.alias("fn"),
+            p.alias("precision"),
+            r.alias("recall"),
+            f.alias("f1"),
+        )
+
     rows = df.select(
-        hits.alias("tp"), total(F.col(truth)).alias("t"), total(F.col(predicted)).alias("p")
+        F.arrays_zip(F.col(truth).alias("t"), F.col(predicted).alias("p")).alias("pairs"),
+        total(F.zip_with(truth, predicted, lambda t, p: t * p)).alias("tp"),
+        total(F.col(truth)).alias("t"),
+        total(F.col(predicted)).alias("p"),
+    )
+    classes = F.transform(
+        "pairs",
+        lambda c, i: cell(
+            i, c["t"] * c["p"], (1 - c["t"]) * c["p"], c["t"] * (1 - c["p"])
+        ),
     )
     tp, t, p = F.col("tp"), F.col("t"), F.col("p")
-    return rows.agg(
-        F.lit("samples avg").alias("label"),
-        F.avg(_ratio(tp, p)).alias("precision"),
-        F.avg(_ratio(tp, t)).alias("recall"),
-        F.avg(_ratio(2 * tp, t + p)).alias("f1"),
-        F.coalesce(F.sum(t), F.lit(0)).cast("bigint").alias("support"),
+    whole = cell(
+        F.lit(-1), tp, p - tp, t - tp, _ratio(tp, p), _ratio(tp, t), _ratio(2 * tp, t + p)
+    )
+    return (
+        rows.select(F.inline(F.concat(classes, F.array(whole))))
+        .groupBy("label")
+        .agg(
+            *[F.sum(c).alias(c) for c in ("tp", "fp", "fn")],
+            *[F.avg(c).alias(c) for c in ("precision", "recall", "f1")],
+        )
     )

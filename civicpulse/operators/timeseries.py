@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from civicpulse import fixed_values as fixed
@@ -23,14 +23,18 @@ def daily_counts(
         .groupBy(*keys, "day")
         .agg(F.count("*").alias("n"))
     )
-    span = counts.groupBy(*keys).agg(F.min("day").alias("lo"), F.max("day").alias("hi"))
-    calendar = span.filter(F.col("lo").isNotNull()).select(
+    # Each day also stands for the empty days up to the next one. The window sees
+    # one row per day, so the calendar bounds it, not the number of rows.
+    following = F.lead("day").over(Window.partitionBy(*keys).orderBy("day"))
+    last_empty = F.coalesce(F.date_sub(following, 1), F.col("day"))
+    stretch = F.posexplode(F.sequence("day", "last_empty", F.expr("interval 1 day")))
+    return counts.withColumn("last_empty", last_empty).select(
+        *keys, "n", stretch.alias("offset", "date")
+    ).select(
         *keys,
-        F.explode(F.sequence("lo", "hi", F.expr("interval 1 day"))).alias("day"),
-        F.lit(0).cast("bigint").alias("n"),
+        F.col("date").alias("day"),
+        F.when(F.col("offset") == 0, F.col("n")).otherwise(0).alias("n"),
     )
-    # Adding the zero rows needs no join, hence no join strategy to get wrong.
-    return counts.unionByName(calendar).groupBy(*keys, "day").agg(F.sum("n").alias("n"))
 
 
 def rolling_mean(

@@ -30,8 +30,8 @@ class Tables:
         """``documents`` for work that is heavy per row."""
         return spread_few_files(self.documents)
 
-    def tickets(self) -> DataFrame:
-        return tickets(self.events)
+    def tickets(self, *extra: Column) -> DataFrame:
+        return tickets(self.events, *extra)
 
     def gold(self) -> DataFrame:
         return gold_tickets(self.tickets())
@@ -71,7 +71,7 @@ def sql_stamp(col: str) -> str:
     return f"strftime({col}, '%Y-%m-%d %H:%M:%S.%f') AS {col}"
 
 
-def tickets(events: DataFrame) -> DataFrame:
+def tickets(events: DataFrame, *extra: Column) -> DataFrame:
     """Ticket-shaped rows from ``events``; nulls of every kind occur."""
     i = F.col("event_id")
     k = F.get_json_object("props", "$.k").cast("int")
@@ -100,6 +100,7 @@ def tickets(events: DataFrame) -> DataFrame:
         F.when(
             i % 19 != 0, F.lit(100.3e0) + (i * 104729 % 1000) / F.lit(1e3) * F.lit(0.6e0)
         ).alias("longitude"),
+        *extra,
     )
 
 

@@ -71,13 +71,16 @@ def resolution_days(t):
     return six(t.tickets().select("ticket_id", days.alias("resolution_days")))
 
 
+def _durations(t):
+    return distribution.value_counts(distribution.finished_within(t.gold()), "resolution_days")
+
+
 @query(
     "resolution_median",
     f"WITH {SQL_FINISHED} SELECT round(median(v), 6) AS median FROM finished",
 )
 def resolution_median(t):
-    finished = distribution.finished_within(t.gold())
-    return six(distribution.exact_median(finished, "resolution_days"))
+    return six(distribution.exact_median(_durations(t)))
 
 
 @query(
@@ -96,8 +99,7 @@ def resolution_median(t):
     FROM s LEFT JOIN c USING (bin), b""",
 )
 def resolution_histogram(t):
-    finished = distribution.finished_within(t.gold())
-    return six(distribution.histogram(finished, "resolution_days"))
+    return six(distribution.histogram(_durations(t)))
 
 
 @query(
@@ -112,8 +114,7 @@ def resolution_histogram(t):
     FROM finished, m, g GROUP BY point""",
 )
 def resolution_kde(t):
-    finished = distribution.finished_within(t.gold())
-    return six(distribution.density_curve(finished, "resolution_days"))
+    return six(distribution.density_curve(_durations(t)))
 
 
 @query(

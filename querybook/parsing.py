@@ -8,7 +8,7 @@ from civicpulse import schemas
 from civicpulse.functions import parse
 from civicpulse.operators import geography
 from civicpulse.plans.silver import silver_tickets as to_silver
-from civicpulse.session import scratch_path
+from civicpulse.session import scratch_path, via_table
 from civicpulse.sinks.files import as_messages, write_csv_parts
 from civicpulse.sources.files import read_csv
 from querybook.book import SQL_TICKETS, query, six, sql_stamp, sql_tokens, stamp
@@ -202,9 +202,9 @@ def geo_impute(t):
         F.col("latitude").alias("raw_lat"),
         F.when(F.col("ticket_id") % 31 != 0, F.col("longitude")).alias("raw_long"),
     )
-    filled = geography.impute_coordinates(
-        raw, geography.dedup_geography(centroids), F.col("raw_lat"), F.col("raw_long")
-    )
+    # Derived from the tickets themselves: written once, then measured and joined.
+    places = via_table(geography.dedup_geography(centroids), "places")
+    filled = geography.impute_coordinates(raw, places, F.col("raw_lat"), F.col("raw_long"))
     return six(filled.select("ticket_id", "district", "latitude", "longitude"))
 
 
@@ -224,8 +224,7 @@ def silver_tickets(t):
     i = F.col("event_id")
     lon = F.format_string("%.2f", F.lit(100e0) + i % 5 / F.lit(4e0))
     lat = F.format_string("%.3f", F.lit(13e0) + i % 7 / F.lit(8e0))
-    extra = t.events.select(
-        "event_id",
+    extra = [
         F.concat(
             F.lit(" event\n\t"), "event_type", F.lit("  of\r\nuser "), F.col("user_id").cast("string")
         ).alias("comment"),
@@ -233,11 +232,10 @@ def silver_tickets(t):
         .when(i % 3 == 1, lon)
         .alias("coords"),
         F.when(i % 6 < 4, F.concat((i % 6).cast("string"), F.lit(".0"))).otherwise("x").alias("star"),
-    )
+    ]
     text = {c: F.lit(None).cast("string") for c in "photo photo_after address subdistrict province".split()}
     bronze = (
-        t.tickets()
-        .join(extra, F.col("ticket_id") == i)
+        t.tickets(*extra)
         .withColumns(
             {
                 **text,
