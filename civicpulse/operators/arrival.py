@@ -8,21 +8,33 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def first_arrivals(df: DataFrame, key: str, order: Sequence[str] = ("seq",)) -> DataFrame:
-    """Keep the earliest row of every non-null key.
+def arrivals_per_key(
+    df: DataFrame, key: str, order: Sequence[str] = ("seq",), copies: str = "copies"
+) -> DataFrame:
+    """One row per key, null included: its earliest row and how many there were.
 
     ``min_by`` combines before the shuffle, so a key holding a third of all
     rows sends one row per task instead of meeting in one window partition.
     """
     rest = F.struct(*[F.col(c) for c in df.columns if c != key])
     return (
-        df.filter(F.col(key).isNotNull())
-        .groupBy(key)
-        .agg(F.min_by(rest, F.struct(*order)).alias("_first"))
-        .select(*[F.col(c) if c == key else F.col(f"_first.{c}").alias(c) for c in df.columns])
+        df.groupBy(key)
+        .agg(
+            F.min_by(rest, F.struct(*order)).alias("_first"),
+            F.count("*").alias(copies),
+        )
+        .select(
+            *[F.col(c) if c == key else F.col(f"_first.{c}").alias(c) for c in df.columns],
+            copies,
+        )
     )
 
 
+def first_arrivals(df: DataFrame, key: str, order: Sequence[str] = ("seq",)) -> DataFrame:
+    """Keep the earliest row of every non-null key."""
+    return arrivals_per_key(df.filter(F.col(key).isNotNull()), key, order).drop("copies")
+
+
 def saved_tickets(
     df: DataFrame, key: str, located: Column, order: Sequence[str] = ("seq",)
 ) -> DataFrame:

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from civicpulse import schemas
-from civicpulse.operators.arrival import first_arrivals
+from civicpulse.operators.arrival import arrivals_per_key
 from civicpulse.sinks.files import EXACT_CSV
 from civicpulse.sources.files import or_empty, read_bronze_tickets
 from civicpulse.streaming.ingest import now_text
@@ -17,16 +17,18 @@ from civicpulse.streaming.messages import decode, records
 from civicpulse.streaming.sinks import writer
 
 LEDGER = "ticket_id string, batch bigint"
-COUNTERS = "messages bigint, missing_id bigint, first bigint, saved bigint, batch bigint"
+COUNTERS = (
+    "saved bigint, duplicates bigint, missing_id bigint, no_coords bigint, batch bigint"
+)
 
 
 @dataclass(frozen=True)
 class TicketLanding:
     """Bronze tickets below ``folder``, with a ledger of every id ever seen.
 
-    Each micro-batch is reduced to its first arrivals, ids in the ledger drop
-    out by an anti join, and the rest is written as bronze CSV and added to the
-    ledger. Both sides of that join hold an id once, so no id is hot in it.
+    Each micro-batch is reduced to one row per id, marked by a join with the
+    ledger, and what is new is written as bronze CSV and added to the ledger.
+    Both sides of that join hold an id once, so no id is hot in it.
     Every write goes to a folder named after the batch and replaces it, and a
     batch reads the ledger of earlier batches only: a repeated batch, after a
     lost driver, writes the same rows again.
@@ -50,44 +52,43 @@ class TicketLanding:
 
     def counters(self, spark: SparkSession) -> DataFrame:
         """``saved, duplicates, missing_id, no_coords`` over all batches."""
-        total = spark.read.schema(COUNTERS).parquet(f"{self.folder}/counters").agg(
-            *[F.sum(c).alias(c) for c in ("messages", "missing_id", "first", "saved")]
-        )
-        return total.select(
-            "saved",
-            (F.col("messages") - F.col("missing_id") - F.col("first")).alias("duplicates"),
-            "missing_id",
-            (F.col("first") - F.col("saved")).alias("no_coords"),
+        return spark.read.schema(COUNTERS).parquet(f"{self.folder}/counters").agg(
+            *[F.sum(c).alias(c) for c in ("saved", "duplicates", "missing_id", "no_coords")]
         )
 
     def _land(self, batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         ledger = f"{self.folder}/ledger"
-        known = or_empty(
-            spark, lambda: spark.read.schema(LEDGER).parquet(ledger), LEDGER
-        ).filter(F.col("batch") < batch_id)
-        arrived, landed = Observation(), Observation()
-        counted = batch.observe(
-            arrived,
-            F.count("*").alias("messages"),
-            F.count_if(F.col("ticket_id").isNull()).alias("missing_id"),
-        )
-        first = (
-            first_arrivals(counted, "ticket_id")
-            .join(known, "ticket_id", "left_anti")
-            .observe(landed, F.count("*").alias("first"), F.count("coords").alias("saved"))
-            .persist()
+        known = (
+            or_empty(spark, lambda: spark.read.schema(LEDGER).parquet(ledger), LEDGER)
+            .filter(F.col("batch") < batch_id)
+            .select("ticket_id", F.lit(True).alias("known"))
         )
-        bronze = first.filter(F.col("coords").isNotNull()).withColumn("processing_time", now_text())
+        ids = arrivals_per_key(batch, "ticket_id").join(known, "ticket_id", "left").persist()
+        fresh = ids.filter(F.col("ticket_id").isNotNull() & F.col("known").isNull())
+        bronze = fresh.filter(F.col("coords").isNotNull()).withColumn("processing_time", now_text())
         (
             bronze.select(*schemas.BRONZE_TICKET.fieldNames())
             .write.mode("overwrite")
             .options(**EXACT_CSV)
             .csv(f"{self.folder}/bronze/batch={batch_id}")
         )
-        first.select("ticket_id").write.mode("overwrite").parquet(f"{ledger}/batch={batch_id}")
-        totals = {**arrived.get, **landed.get}
-        spark.range(1).select(
-            *[F.lit(totals[c]).cast("bigint").alias(c) for c in ("messages", "missing_id", "first", "saved")]
-        ).write.mode("overwrite").parquet(f"{self.folder}/counters/batch={batch_id}")
-        first.unpersist()
+        fresh.select("ticket_id").write.mode("overwrite").parquet(f"{ledger}/batch={batch_id}")
+        _totals(ids).write.mode("overwrite").parquet(f"{self.folder}/counters/batch={batch_id}")
+        ids.unpersist()
+
+
+def _totals(ids: DataFrame) -> DataFrame:
+    """The batch's counters from its per-id rows."""
+    has_id, is_new = F.col("ticket_id").isNotNull(), F.col("known").isNull()
+    has_coords = F.col("coords").isNotNull()
+
+    def total(col: Column) -> Column:
+        return F.coalesce(F.sum(col), F.lit(0)).cast("bigint")
+
+    return ids.agg(
+        total(F.when(has_id & is_new & has_coords, 1)).alias("saved"),
+        total(F.when(has_id, F.col("copies") - F.when(is_new, 1).otherwise(0))).alias("duplicates"),
+        total(F.when(~has_id, F.col("copies"))).alias("missing_id"),
+        total(F.when(has_id & is_new & ~has_coords, 1)).alias("no_coords"),
+    )
