@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from civicpulse import fixed_values as fixed
@@ -22,18 +22,53 @@ def local_metres(
     return east, north
 
 
-def hex_cell(east: Column, north: Column, radius: float) -> tuple[Column, Column]:
-    """Axial id of the pointy-top hexagon whose centre is nearest."""
-    fq = (F.lit(math.sqrt(3) / 3) * east - north / F.lit(3.0)) / F.lit(float(radius))
-    fr = F.lit(2.0 / 3.0) * north / F.lit(float(radius))
-    fs = -fq - fr
-    # floor(x + 0.5): one rounding rule for either sign.
-    q, r, s = (F.floor(f + F.lit(0.5)).cast("double") for f in (fq, fr, fs))
-    dq, dr, ds = F.abs(q - fq), F.abs(r - fr), F.abs(s - fs)
-    # Rounded cube coordinates must add to 0: replace the one that moved most.
-    q_out = F.when((dq > dr) & (dq > ds), -r - s).otherwise(q)
-    r_out = F.when((dq > dr) & (dq > ds), r).otherwise(F.when(dr > ds, -q - s).otherwise(r))
-    return q_out.cast("bigint"), r_out.cast("bigint")
+def with_hex_cell(df: DataFrame, east: Column, north: Column, radius: float) -> DataFrame:
+    """Add ``q, r``: the pointy-top hexagon whose centre is nearest.
+
+    Built column by column, so each step is computed once per row.
+    """
+    f, near, moved = F.col("_f"), F.col("_near"), F.col("_moved")
+    return (
+        df.withColumn(
+            "_f",
+            F.struct(
+                ((F.lit(math.sqrt(3) / 3) * east - north / F.lit(3.0)) / F.lit(float(radius))).alias("q"),
+                (F.lit(2.0 / 3.0) * north / F.lit(float(radius))).alias("r"),
+            ),
+        )
+        # floor(x + 0.5): one rounding rule for either sign.
+        .withColumn(
+            "_near",
+            F.struct(
+                F.floor(f.q + F.lit(0.5)).cast("double").alias("q"),
+                F.floor(f.r + F.lit(0.5)).cast("double").alias("r"),
+                F.floor(-f.q - f.r + F.lit(0.5)).cast("double").alias("s"),
+            ),
+        )
+        .withColumn(
+            "_moved",
+            F.struct(
+                F.abs(near.q - f.q).alias("q"),
+                F.abs(near.r - f.r).alias("r"),
+                F.abs(near.s + f.q + f.r).alias("s"),
+            ),
+        )
+        # Rounded cube coordinates must add to 0: the one that moved most follows.
+        .withColumn(
+            "q",
+            F.when((moved.q > moved.r) & (moved.q > moved.s), -near.r - near.s)
+            .otherwise(near.q)
+            .cast("bigint"),
+        )
+        .withColumn(
+            "r",
+            F.when((moved.q > moved.r) & (moved.q > moved.s), near.r)
+            .when(moved.r > moved.s, -near.q - near.s)
+            .otherwise(near.r)
+            .cast("bigint"),
+        )
+        .drop("_f", "_near", "_moved")
+    )
 
 
 def hex_center(q: Column, r: Column, radius: float) -> tuple[Column, Column]:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from civicpulse import fixed_values as fixed
 from civicpulse.functions.text import Tokenizer, ngrams, words
+from civicpulse.operators.ranking import top_rows
 
 
 def with_terms(
@@ -68,12 +69,8 @@ def vocabulary(
 
     Ties go to the smaller term.
     """
-    return (
-        term_statistics(df, terms)
-        .filter(F.col("df") >= min_df)
-        .orderBy(F.col("tf").desc(), "term")
-        .limit(max_features)
-    )
+    frequent = term_statistics(df, terms).filter(F.col("df") >= min_df)
+    return top_rows(frequent, [F.col("tf").desc(), F.col("term")], max_features)
 
 
 @dataclass(frozen=True)

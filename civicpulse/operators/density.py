@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from civicpulse import fixed_values as fixed
-from civicpulse.functions.geo import grid_cell, hex_cell, hex_center, local_metres
+from civicpulse.functions.geo import grid_cell, hex_center, local_metres, with_hex_cell
 
 
 def hex_density(
@@ -17,12 +17,14 @@ def hex_density(
     elevation_scale: float = fixed.HEX_ELEVATION_SCALE,
 ) -> DataFrame:
     """Points per hexagon; elevation rescales the counts linearly."""
-    q, r = hex_cell(*local_metres(F.col("latitude"), F.col("longitude"), origin), radius)
+    east, north = local_metres(F.col("latitude"), F.col("longitude"), origin)
+    points = df.select(east.alias("e"), north.alias("n")).dropna()
+    # Cells are bounded by the area covered; kept for the counts and their range.
     cells = (
-        df.select(q.alias("q"), r.alias("r"))
-        .dropna()
+        with_hex_cell(points, F.col("e"), F.col("n"), radius)
         .groupBy("q", "r")
         .agg(F.count("*").alias("n"))
+        .persist()
     )
     low = cells.agg(F.min("n")).scalar()
     high = cells.agg(F.max("n")).scalar()

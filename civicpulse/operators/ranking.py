@@ -4,39 +4,46 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from civicpulse import fixed_values as fixed
 
 
+def top_rows(df: DataFrame, order: Sequence[Column], n: int, lanes: int = 256) -> DataFrame:
+    """The first ``n`` rows in ``order``, for an ``n`` of thousands.
+
+    A plain ordered limit sends up to ``n`` rows of every task to one reducer.
+    Here tasks share ``lanes``: a task sends its first ``n`` rows to its lane,
+    and only the lanes' first ``n`` meet at the end.
+    """
+    lane = Window.partitionBy("_lane").orderBy(*order)
+    return (
+        df.withColumn("_lane", F.spark_partition_id() % lanes)
+        .withColumn("_rank", F.row_number().over(lane))
+        .filter(F.col("_rank") <= n)
+        .drop("_lane", "_rank")
+        .orderBy(*order)
+        .limit(n)
+    )
+
+
 def newest_n(
     df: DataFrame,
     n: int = fixed.MAX_POINTS,
     ts: str = "timestamp_dt",
     tiebreak: Sequence[str] = ("ticket_id",),
-    lanes: int = 256,
 ) -> DataFrame:
     """The ``n`` newest rows, null times last, ties by ``tiebreak``.
 
     Runs one small job first: rows per day, newest ``n`` days at most. It
     yields the day from which on there are ``n`` rows; the filter on it reaches
-    the scan, so old files are never read in full. What is left is cut to ``n``
-    per lane of tasks, then to ``n`` overall: no reducer sees every task's rows.
+    the scan, so old files are never read in full.
     """
     cut = _newest_days_cut(df, n, ts)
     if cut is not None:
         df = df.filter(F.col(ts) >= F.lit(cut).cast(df.schema[ts].dataType))
-    order = [F.col(ts).desc_nulls_last(), *[F.col(c) for c in tiebreak]]
-    lane = Window.partitionBy("_lane").orderBy(*order)
-    return (
-        df.withColumn("_lane", F.spark_partition_id() % lanes)
-        .withColumn("_rank", F.row_number().over(lane))
-        .filter(F.col("_rank") <= n)
-        .drop("_lane", "_rank")
-        .orderBy(*order)
-        .limit(n)
-    )
+    return top_rows(df, [F.col(ts).desc_nulls_last(), *[F.col(c) for c in tiebreak]], n)
 
 
 def _newest_days_cut(df: DataFrame, n: int, ts: str) -> str | None:

@@ -91,6 +91,6 @@ def spread_few_files(df: DataFrame) -> DataFrame:
     repartitioned; any larger one comes back as it is, without a shuffle.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if len(df.inputFiles()) >= cores or df.rdd.getNumPartitions() > cores:
+    if df.rdd.getNumPartitions() > cores or len(df.inputFiles()) >= cores:
         return df
     return df.repartition(2 * cores)

@@ -348,13 +348,12 @@ def test_approximate_median(spark):
 def test_hexagons_hold_all_points_and_are_nearest(spark, gold):
     cells = density.hex_density(gold)
     assert cells.agg(F.sum("n")).first()[0] == gold.count()
-    from civicpulse.functions.geo import hex_cell, hex_center
+    from civicpulse.functions.geo import with_hex_cell
 
     rng = random.Random(5)
     points = [(rng.uniform(-2000, 2000), rng.uniform(-2000, 2000)) for _ in range(300)]
     df = spark.createDataFrame(points, "e double, n double")
-    q, r = hex_cell(F.col("e"), F.col("n"), 200)
-    for row in df.select("e", "n", q.alias("q"), r.alias("r")).collect():
+    for row in with_hex_cell(df, F.col("e"), F.col("n"), 200).collect():
         def distance(dq, dr):
             a, b = row.q + dq, row.r + dr
             return np.hypot(200 * np.sqrt(3) * (a + b / 2) - row.e, 300 * b - row.n)
