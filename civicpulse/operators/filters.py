@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from civicpulse import fixed_values as fixed
+from civicpulse.schemas import MONTH
 
 
 @dataclass(frozen=True)
@@ -39,6 +40,7 @@ class TicketFilter:
                 gold = gold.filter(F.col(column).isin(list(chosen)))
         if self.first_day and self.last_day:
             gold = gold.filter(between_days("timestamp_dt", self.first_day, self.last_day))
+            gold = prune_months(gold, str(self.first_day), str(self.last_day))
         return gold
 
 
@@ -56,6 +58,15 @@ def between_days(ts: str, first_day: dt.date, last_day: dt.date) -> Column:
     )
 
 
+def prune_months(df: DataFrame, first_day: str, last_day: str | None = None) -> DataFrame:
+    """Skip the silver folders outside a day range, where silver has month folders."""
+    if MONTH in df.columns:
+        df = df.filter(F.col(MONTH) >= first_day[:7])
+        if last_day is not None:
+            df = df.filter(F.col(MONTH) <= last_day[:7])
+    return df
+
+
 def drop_unlocated(df: DataFrame) -> DataFrame:
     """rows without a position go (null or NaN)."""
     return df.na.drop(subset=["latitude", "longitude"])

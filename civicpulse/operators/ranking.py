@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from civicpulse import fixed_values as fixed
+from civicpulse.operators.filters import prune_months
 
 
 def top_rows(df: DataFrame, order: Sequence[Column], n: int, lanes: int = 256) -> DataFrame:
@@ -42,7 +43,7 @@ def newest_n(
     """
     cut = _newest_days_cut(df, n, ts)
     if cut is not None:
-        df = df.filter(F.col(ts) >= F.lit(cut).cast(df.schema[ts].dataType))
+        df = prune_months(df.filter(F.col(ts) >= F.lit(cut).cast(df.schema[ts].dataType)), cut)
     return top_rows(df, [F.col(ts).desc_nulls_last(), *[F.col(c) for c in tiebreak]], n)
 
 

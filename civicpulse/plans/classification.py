@@ -52,4 +52,6 @@ def classify(
         results[name] = model.transform(test_rows).select(
             key, binarize(classes).alias("truth"), "predicted"
         )
+    for train_rows, _ in features.values():
+        train_rows.unpersist()
     return classes, results

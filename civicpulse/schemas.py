@@ -80,6 +80,9 @@ AIR_PAYLOAD = T.StructType(
     ]
 )
 
+# Folder column of partitioned silver: the ticket's month as yyyy-MM.
+MONTH = "ticket_month"
+
 # One landed or queued message: its place in arrival order and its raw text.
 STAGED_MESSAGE = T.StructType(
     [

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from civicpulse.schemas import MONTH
+
 # Quoting that keeps every character, edge blanks and line breaks included.
 EXACT_CSV = {
     "header": True,
@@ -52,8 +54,8 @@ def write_silver(df: DataFrame, path: str, month_of: str | None = "timestamp_dt"
     if month_of is None:
         df.write.mode("overwrite").parquet(path)
         return
-    dated = df.withColumn("month", F.date_format(month_of, "yyyy-MM"))
-    dated.hint("rebalance", "month").write.mode("overwrite").partitionBy("month").parquet(path)
+    dated = df.withColumn(MONTH, F.date_format(month_of, "yyyy-MM"))
+    dated.hint("rebalance", MONTH).write.mode("overwrite").partitionBy(MONTH).parquet(path)
 
 
 def write_csv_parts(df: DataFrame, path: str) -> None:

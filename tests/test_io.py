@@ -135,8 +135,9 @@ def test_silver_job_end_to_end(spark, tmp_path):
         ("1", 13.7, 100.5, "a b", 4, "2"), ("2", 1.0, 2.0, None, None, None),
         ("3", None, None, None, None, None),
     ]
-    assert {p.name for p in (tmp_path / "silver").glob("month=*")} == {
-        "month=2024-01", "month=2024-02", "month=__HIVE_DEFAULT_PARTITION__",
+    assert {p.name for p in (tmp_path / "silver").glob("ticket_month=*")} == {
+        "ticket_month=2024-01", "ticket_month=2024-02",
+        "ticket_month=__HIVE_DEFAULT_PARTITION__",
     }
     single = str(tmp_path / "silver.csv")
     export_single_csv(silver, single)

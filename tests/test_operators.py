@@ -135,6 +135,34 @@ def test_newest_n_cuts_before_its_shuffle(gold):
     assert "TakeOrderedAndProject" in plan
 
 
+def test_newest_n_filter_reaches_the_scan(spark):
+    events = Tables(spark, SMALL).events
+    plan = plan_text(ranking.newest_n(events, 10, "ts", ["event_id"]))
+    assert "GreaterThanOrEqual(ts," in plan
+
+
+def test_month_folders_are_skipped(spark, tmp_path):
+    from civicpulse.sinks.files import write_silver
+    from civicpulse.sources.files import read_silver
+
+    rows = [
+        silver_row(ticket_id=str(m), latitude=1.0, longitude=2.0, timestamp_dt=dt.datetime(2024, m, 5))
+        for m in (1, 2, 3)
+    ] + [silver_row(ticket_id="x", latitude=1.0, longitude=2.0)]
+    path = str(tmp_path / "silver")
+    write_silver(spark.createDataFrame(rows, SILVER_TICKET), path)
+    gold = gold_tickets(read_silver(spark, path))
+    assert gold.count() == 4
+    day = dt.date(2024, 2, 5)
+    february = filters.TicketFilter(first_day=day, last_day=day).apply(gold)
+    assert column(february, "ticket_id") == ["2"]
+    newest = ranking.newest_n(gold, 1)
+    assert column(newest, "ticket_id") == ["3"]
+    for df in (february, newest):
+        assert "PartitionFilters: [isnotnull(ticket_month" in plan_text(df)
+    assert column(ranking.newest_n(gold, 4), "ticket_id") == ["3", "2", "1", "x"]
+
+
 # -- arrivals -----------------------------------------------------------------------
 
 
