@@ -36,12 +36,15 @@ class DivergenceLimits:
     rounds: int = 2
 
 
-@F.pandas_udf(COUNTS_SCHEMA)
-def count_texts(texts: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([text_counts(t) for t in texts], columns=_COUNT_NAMES)
+def count_texts(text: Column) -> Column:
+    """Struct of the counts of a text column."""
 
+    @F.pandas_udf(COUNTS_SCHEMA)
+    def counted(texts: pd.Series) -> pd.DataFrame:
+        names = [part.split()[0] for part in COUNTS_SCHEMA.split(", ")]
+        return pd.DataFrame([text_counts(t) for t in texts], columns=names)
 
-_COUNT_NAMES = [part.split()[0] for part in COUNTS_SCHEMA.split(", ")]
+    return counted(text)
 
 
 def base_failed(counts: Column, limits: DivergenceLimits) -> Column:
@@ -55,8 +58,7 @@ def _shares(hist: Column) -> Column:
     return F.transform(hist, lambda x: F.when(total > 0, x / total).otherwise(0.0))
 
 
-@F.pandas_udf("double")
-def _distance(hist: pd.Series, reference: pd.Series) -> pd.Series:
+def distances(hist: pd.Series, reference: pd.Series) -> pd.Series:
     """Jensen-Shannon distance of histograms from share arrays; null without a reference."""
     found = np.full(len(hist), np.nan)
     known = np.nonzero((hist.notna() & reference.notna()).to_numpy())[0]
@@ -71,6 +73,14 @@ def _distance(hist: pd.Series, reference: pd.Series) -> pd.Series:
     return pd.Series(found)
 
 
+def _distance(hist: Column, reference: Column) -> Column:
+    @F.pandas_udf("double")
+    def distance(hists: pd.Series, references: pd.Series) -> pd.Series:
+        return distances(hists, references)
+
+    return distance(hist, reference)
+
+
 def _pooled(rows: DataFrame, *by: str) -> DataFrame:
     """Share arrays of summed histograms, summed slot by slot."""
     sizes = {"char_hist": len(CHAR_CLASSES), "word_hist": len(WORD_LIST) + 1}

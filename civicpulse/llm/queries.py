@@ -10,10 +10,14 @@ from pyspark.sql import functions as F
 
 from civicpulse.llm.ans import read_tokens, write_tokens
 from civicpulse.llm.divergence import quality_rules
+from civicpulse.llm.hilbert import hilbert_shards, ordered_number
+from civicpulse.llm.htmltext import extract_main_text
+from civicpulse.llm.licenses import license_report
 from civicpulse.llm.packing import pack_documents
 from civicpulse.llm.positional import contamination
 from civicpulse.llm.simhash import hex_fingerprint, near_duplicate_groups
 from civicpulse.llm.site_quality import classify_quality
+from civicpulse.llm.urls import judge_urls
 from civicpulse.session import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -114,3 +118,39 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op9_best_fit_packing")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@_query("op2_html_extraction")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return extract_main_text(pages).withColumn("n_chars", F.length("text").cast("long"))
+
+
+@_query("op6_hilbert_sharding")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
+    rows = docs.select(
+        "doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"),
+        F.xxhash64(text).alias("same"), "lang", "source",
+    )
+    dimensions = {
+        "size": F.col("size"), "lang": ordered_number("lang"), "source": ordered_number("source"),
+    }
+    sharded = hilbert_shards(rows, dimensions, shards=16, group="same", tie=("doc_id",))
+    return sharded.select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"), "curve",
+    )
+
+
+@_query("op8_url_filter")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(table(spark, sf_dir, "pages")).select(
+        F.col("id").alias("page_id"), "host", "path", "rule", "verdict", "score"
+    )
+
+
+@_query("op10_license_scan")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_report(table(spark, sf_dir, "documents"))
