@@ -17,27 +17,41 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Element names and name parts by which page furniture is known.
-DROPPED = frozenset(
-    "nav footer aside form script style noscript template iframe object embed svg canvas math button select "
-    "option textarea input label fieldset dialog menu head title meta link audio video".split()
-)
+DROPPED = frozenset([
+    "nav", "footer", "aside", "form", "script", "style", "noscript", "template", "iframe", "object", "embed",
+    "svg", "canvas", "math", "button", "select", "option", "textarea", "input", "label", "fieldset", "dialog",
+    "menu", "head", "title", "meta", "link", "audio", "video",
+])
 MOST_DEPTH = 500  # elements nested deeper lie flat at this depth, none is lost
-VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-BLOCKS = frozenset(
-    "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure "
-    "footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody "
-    "td tfoot th thead tr ul".split()
-)
-PARAGRAPHS = frozenset("p pre td blockquote li dd div section article main h1 h2 h3 h4 h5 h6".split())
-HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-FURNITURE = frozenset(
-    "ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent "
-    "gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login nav navbar "
-    "navigation menu menus breadcrumb breadcrumbs sidebar rail widget widgets footer header masthead comment "
-    "comments disqus respond replies reply share sharing social related recommended toolbar pagination pager "
-    "skip form search".split()
-)
-ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog menu form".split())
+VOID = frozenset([
+    "area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track",
+    "wbr",
+])
+BLOCKS = frozenset([
+    "address", "article", "aside", "blockquote", "body", "caption", "center", "dd", "details", "dialog",
+    "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5",
+    "h6", "header", "hgroup", "hr", "html", "li", "main", "menu", "nav", "ol", "p", "pre", "section",
+    "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul",
+])
+PARAGRAPHS = frozenset([
+    "p", "pre", "td", "blockquote", "li", "dd", "div", "section", "article", "main", "h1", "h2", "h3", "h4",
+    "h5", "h6",
+])
+HEADINGS = frozenset([
+    "h1", "h2", "h3", "h4", "h5", "h6",
+])
+FURNITURE = frozenset([
+    "ad", "ads", "advert", "adverts", "advertisement", "advertising", "banner", "sponsor", "sponsored",
+    "promo", "promotion", "cookie", "cookies", "consent", "gdpr", "notice", "notices", "alert", "popup",
+    "modal", "overlay", "newsletter", "subscribe", "subscription", "signup", "login", "nav", "navbar",
+    "navigation", "menu", "menus", "breadcrumb", "breadcrumbs", "sidebar", "rail", "widget", "widgets",
+    "footer", "header", "masthead", "comment", "comments", "disqus", "respond", "replies", "reply", "share",
+    "sharing", "social", "related", "recommended", "toolbar", "pagination", "pager", "skip", "form", "search",
+])
+ROLES = frozenset([
+    "navigation", "banner", "contentinfo", "complementary", "search", "alert", "alertdialog", "dialog",
+    "menu", "form",
+])
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
