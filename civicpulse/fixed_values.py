@@ -78,3 +78,23 @@ LINEAR_TOLERANCE = 1e-4
 BOOSTED_TREES = 100
 BOOSTED_DEPTH = 6
 BOOSTED_RATE = 0.1
+
+# Columns of the listing and of the map points, in display order.
+LISTING_COLUMNS = [
+    "ticket_id", "type", "organization", "district", "subdistrict", "state", "timestamp_dt", "comment",
+]
+MAP_COLUMNS = [
+    "longitude", "latitude", "state_color", "ticket_id", "type", "state", "organization", "district", "comment",
+]
+
+# CSV quoting that keeps every character, edge blanks and line breaks included.
+EXACT_CSV = {
+    "header": True,
+    "encoding": "UTF-8",
+    "quoteAll": True,
+    "escape": '"',
+    "emptyValue": "",
+    "nullValue": "",
+    "ignoreLeadingWhiteSpace": False,
+    "ignoreTrailingWhiteSpace": False,
+}

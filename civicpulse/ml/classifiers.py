@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from multiprocessing.pool import ThreadPool
@@ -85,17 +84,13 @@ def fit_one_vs_rest(
     features: str = "features",
     labels: str = "labels",
     parallelism: int = 4,
-    rows_per_task: int = 5000,
 ) -> MultiLabelModel:
-    """Fit ``estimator(n)`` once per class on the kept feature rows.
+    """Fit ``estimator(n)`` once per class on feature rows the caller has persisted.
 
-    ``parallelism`` fits run at once so that their small stages overlap. Tasks
-    are never more, and for few rows fewer, than ``n / rows_per_task``: every
-    pass merges one set of statistics per task.
+    ``parallelism`` fits run at once so that their small stages overlap.
     """
     n = train.count()
-    tasks = max(1, math.ceil(n / rows_per_task))
-    rows = train.select(features, labels).coalesce(tasks).persist()
+    rows = train.select(features, labels)
     seen = dict(
         rows.select(F.explode(F.array_distinct(labels)).alias("label"))
         .filter(F.col("label").isin(list(classes)))
@@ -113,5 +108,4 @@ def fit_one_vs_rest(
 
     with ThreadPool(min(parallelism, max(len(classes), 1))) as pool:
         models = pool.map(inheritable_thread_target(train.sparkSession)(fit), classes)
-    rows.unpersist()
     return MultiLabelModel(list(classes), models)

@@ -7,12 +7,26 @@ from dataclasses import dataclass, field
 
 from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
 from pyspark.ml.linalg import Vectors
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from civicpulse import fixed_values as fixed
 from civicpulse.functions.text import Tokenizer, ngrams, words
 from civicpulse.operators.ranking import top_rows
+from civicpulse.session import broadcast_within, via_table
+
+
+TOKENS = "tokens"
+
+
+def with_tokens(df: DataFrame, text: str, tokenizer: Tokenizer = words) -> DataFrame:
+    """M4: ``df`` with ``tokens`` in place of ``text``, written once for every later step.
+
+    Counting, vocabulary and weights all start from the tokens; read from the shared folder
+    they cost no second pass over the texts.
+    """
+    tokens = df.withColumn(TOKENS, tokenizer(F.lower(F.col(text))))
+    return via_table(tokens.drop(text), "tokens")
 
 
 def with_terms(
@@ -21,9 +35,13 @@ def with_terms(
     tokenizer: Tokenizer = words,
     ngram_range: tuple[int, int] = fixed.NGRAM_RANGE,
 ) -> DataFrame:
-    """M4, M5: add ``terms``; tokens are made once and shared by all n-gram sizes."""
+    """M4, M5: add ``terms``; tokens are made once and shared by all n-gram sizes.
+
+    Rows that have ``tokens`` already keep them.
+    """
+    tokens = F.col(TOKENS) if TOKENS in df.columns else tokenizer(F.lower(F.col(text)))
     return (
-        df.withColumn("_tokens", tokenizer(F.lower(F.col(text))))
+        df.withColumn("_tokens", tokens)
         .withColumn("terms", ngrams(F.col("_tokens"), *ngram_range))
         .drop("_tokens")
     )
@@ -41,19 +59,25 @@ def token_counts(df: DataFrame, key: str, text: str, tokenizer: Tokenizer = word
 def term_statistics(df: DataFrame, terms: str = "terms") -> DataFrame:
     """Total count ``tf`` and document count ``df`` per term.
 
-    Both come from one explode: every occurrence adds to ``tf``, every distinct
-    term of a text adds to ``df``. Sums are combined before the shuffle, which
-    therefore carries distinct terms per task, never (text, term) pairs.
+    Both come from one explode of each text's sorted terms: every occurrence adds to
+    ``tf``, the first of equal ones to ``df``. Sums are combined before the shuffle,
+    which therefore carries distinct terms per task, never (text, term) pairs.
     """
-    occurrence = F.transform(
-        terms, lambda t: F.struct(t.alias("term"), F.lit(1).alias("tf"), F.lit(0).alias("df"))
-    )
-    presence = F.transform(
-        F.array_distinct(terms),
-        lambda t: F.struct(t.alias("term"), F.lit(0).alias("tf"), F.lit(1).alias("df")),
-    )
+
+    def counted(ordered: Column) -> Column:
+        return F.transform(
+            ordered,
+            lambda t, i: F.struct(
+                t.alias("term"),
+                F.lit(1).alias("tf"),
+                F.when((i > 0) & (F.get(ordered, i - 1) == t), 0).otherwise(1).alias("df"),
+            ),
+        )
+
+    # Sorted once: inside a lambda a plain expression would be worked out for every term.
+    once = F.transform(F.array(F.array_sort(terms)), counted)[0]
     return (
-        df.select(F.inline(F.concat(occurrence, presence)))
+        df.select(F.inline(once))
         .groupBy("term")
         .agg(F.sum("tf").alias("tf"), F.sum("df").alias("df"))
     )
@@ -110,8 +134,7 @@ class TfidfModel:
             self.transform(df)
             .select(key, F.inline(cells))
             .filter(F.col("weight") != 0)
-            # max_features rows at most
-            .join(F.broadcast(names), "index")
+            .join(broadcast_within(names), "index")
             .select(key, "term", "weight")
         )
 

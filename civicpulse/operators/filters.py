@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from civicpulse import fixed_values as fixed
-from civicpulse.schemas import MONTH
+from civicpulse.schemas import MONTH, MONTH_OF
 
 
 @dataclass(frozen=True)
@@ -28,19 +28,37 @@ class TicketFilter:
     first_day: dt.date | None = None
     last_day: dt.date | None = None
 
-    def apply(self, gold: DataFrame) -> DataFrame:
-        if self.types:
-            gold = gold.filter(has_any("type_tokens", self.types))
-        for column, chosen in (
+    def raw(self, silver: DataFrame) -> DataFrame:
+        """Conditions on the raw columns, which reach the scan; :meth:`apply` on gold keeps the same rows.
+
+        A chosen label for missing values stands for null.
+        """
+        for column, chosen in self._choices():
+            if chosen and column in silver.columns:
+                label = fixed.UNKNOWN_LABELS.get(column)
+                here = F.col(column).isin(list(chosen))
+                silver = silver.filter(here | F.col(column).isNull() if label in chosen else here)
+        if self.first_day and self.last_day:
+            silver = silver.filter(between_days(MONTH_OF, self.first_day, self.last_day))
+            silver = prune_months(silver, MONTH_OF, str(self.first_day), str(self.last_day))
+        return silver
+
+    def _choices(self) -> list[tuple[str, Sequence[str]]]:
+        return [
             ("state", self.states),
             ("district", self.districts),
             ("organization", self.organizations),
-        ):
+        ]
+
+    def apply(self, gold: DataFrame) -> DataFrame:
+        if self.types:
+            gold = gold.filter(has_any("type_tokens", self.types))
+        for column, chosen in self._choices():
             if chosen:
                 gold = gold.filter(F.col(column).isin(list(chosen)))
         if self.first_day and self.last_day:
-            gold = gold.filter(between_days("timestamp_dt", self.first_day, self.last_day))
-            gold = prune_months(gold, str(self.first_day), str(self.last_day))
+            gold = gold.filter(between_days(MONTH_OF, self.first_day, self.last_day))
+            gold = prune_months(gold, MONTH_OF, str(self.first_day), str(self.last_day))
         return gold
 
 
@@ -58,9 +76,15 @@ def between_days(ts: str, first_day: dt.date, last_day: dt.date) -> Column:
     )
 
 
-def prune_months(df: DataFrame, first_day: str, last_day: str | None = None) -> DataFrame:
-    """Skip the silver folders outside a day range, where silver has month folders."""
-    if MONTH in df.columns:
+def prune_months(
+    df: DataFrame, ts: str, first_day: str, last_day: str | None = None
+) -> DataFrame:
+    """Skip the silver folders outside a day range of ``ts``.
+
+    Folders hold months of ``timestamp_dt``; a range over another column says
+    nothing about them and skips none.
+    """
+    if ts == MONTH_OF and MONTH in df.columns:
         df = df.filter(F.col(MONTH) >= first_day[:7])
         if last_day is not None:
             df = df.filter(F.col(MONTH) <= last_day[:7])
@@ -68,13 +92,10 @@ def prune_months(df: DataFrame, first_day: str, last_day: str | None = None) ->
 
 
 def drop_unlocated(df: DataFrame) -> DataFrame:
-    """rows without a position go (null or NaN)."""
-    return df.na.drop(subset=["latitude", "longitude"])
-
-
-def option_values(df: DataFrame, column: str) -> DataFrame:
-    """Sorted distinct non-null values as ``value``."""
-    return df.select(F.col(column).alias("value")).dropna().distinct().orderBy("value")
+    """rows without a position go (null or NaN); the null tests reach the scan."""
+    for axis in ("latitude", "longitude"):
+        df = df.filter(F.col(axis).isNotNull() & ~F.isnan(axis))
+    return df
 
 
 def token_options(df: DataFrame, tokens: str = "type_tokens") -> DataFrame:

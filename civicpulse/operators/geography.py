@@ -62,7 +62,13 @@ def target_locations(
 
 
 def attach_locations(payloads: DataFrame, locations: DataFrame) -> DataFrame:
-    """Give each payload its district's name and position."""
-    return payloads.join(broadcast_within(locations), "name").withColumnsRenamed(
+    """Give each payload its place's name and position.
+
+    Places may share a name, so payloads that know their position (``lat, lon``) are matched
+    by it as well; each payload comes back once however often a place is listed. Without a
+    position the name has to be unique.
+    """
+    place = [c for c in ("name", "lat", "lon") if c in payloads.columns]
+    return payloads.join(broadcast_within(locations.distinct()), place).withColumnsRenamed(
         {"name": "district", "lat": "latitude", "lon": "longitude"}
     )

@@ -24,19 +24,47 @@ def kpi_summary(shown: DataFrame, done_state: str = fixed.DONE_STATE) -> DataFra
     )
 
 
-def kpi_captions(kpi: DataFrame) -> DataFrame:
-    """The same figures as display text with fixed digits."""
+def fixed_digits(col: str | Column, digits: int) -> Column:
+    """Text with ``digits`` decimals, rounded from the double's exact value, ties to even.
+
+    The scaled fraction is formed as an exact sum of two doubles: the fraction is split
+    into halves of 26 bits, whose products with a power of ten are exact, and the
+    error of their sum decides where the sum itself is a tie. Null stays null; for
+    magnitudes from 2**52 on a double has no fraction.
+    """
+    value = F.col(col) if isinstance(col, str) else col
+    size = F.abs(value)
+    whole = F.floor(size)
+    fraction = size - whole
+    scale = float(10**digits)
+    upper = F.floor(fraction * F.lit(float(1 << 26))) / F.lit(float(1 << 26))
+    high, low = upper * F.lit(scale), (fraction - upper) * F.lit(scale)
+    total = high + low
+    error = low - (total - high)
+    steps = F.floor(total)
+    beyond = total - steps - F.lit(0.5)
+    up = (
+        F.when(beyond > 0, 1)
+        .when(beyond < 0, 0)
+        .when(error > 0, 1)
+        .when(error < 0, 0)
+        # A tie: to the even one of the two last digits.
+        .otherwise((whole * 10**digits + steps) % 2)
+    )
+    scaled = whole * 10**digits + steps + up
+    sign = F.when((value < 0) | (value.cast("string") == "-0.0"), "-").otherwise("")
+    rest = F.lpad((scaled % 10**digits).cast("string"), digits, "0")
+    return F.concat(sign, F.floor(scaled / 10**digits).cast("string"), F.lit("."), rest)
 
-    def fixed_digits(col: str, digits: int) -> Column:
-        return F.format_string(f"%.{digits}f", F.col(col))
 
+def kpi_captions(kpi: DataFrame, *keys: str) -> DataFrame:
+    """The same figures as display text with fixed digits, ``keys`` beside them."""
     return kpi.select(
+        *keys,
         F.format_number("tickets", 0).alias("tickets"),
         F.concat(fixed_digits("resolution_rate", 1), F.lit("%")).alias("resolution_rate"),
         fixed_digits("avg_reopen", 2).alias("avg_reopen"),
-        F.when(
-            F.col("avg_resolution_days").isNotNull(), fixed_digits("avg_resolution_days", 1)
-        ).alias("avg_resolution_days"),
+        fixed_digits("avg_resolution_days", 1).alias("avg_resolution_days"),
     )
 
 
@@ -59,10 +87,7 @@ def map_center(
 
 def map_points(shown: DataFrame) -> DataFrame:
     """Position, fill colour and hover fields of each shown ticket."""
-    columns = (
-        "longitude latitude state_color ticket_id type state organization district comment"
-    ).split()
-    return shown.select(*[c for c in columns if c in shown.columns])
+    return shown.select(*[c for c in fixed.MAP_COLUMNS if c in shown.columns])
 
 
 def quality_checks(df: DataFrame) -> DataFrame:

@@ -11,13 +11,20 @@ from civicpulse import fixed_values as fixed
 from civicpulse.operators.filters import prune_months
 
 
+GROUP_LIMIT = "spark.sql.optimizer.windowGroupLimitThreshold"
+
+
 def top_rows(df: DataFrame, order: Sequence[Column], n: int, lanes: int = 256) -> DataFrame:
     """The first ``n`` rows in ``order``, for an ``n`` of thousands.
 
     A plain ordered limit sends up to ``n`` rows of every task to one reducer.
     Here tasks share ``lanes``: a task sends its first ``n`` rows to its lane,
-    and only the lanes' first ``n`` meet at the end.
+    and only the lanes' first ``n`` meet at the end. The optimizer cuts each task's rows
+    before that shuffle up to a threshold of its own, which is raised to ``n``.
     """
+    conf = df.sparkSession.conf
+    if int(conf.get(GROUP_LIMIT)) < n:
+        conf.set(GROUP_LIMIT, str(n))
     lane = Window.partitionBy("_lane").orderBy(*order)
     return (
         df.withColumn("_lane", F.spark_partition_id() % lanes)
@@ -43,7 +50,8 @@ def newest_n(
     """
     cut = _newest_days_cut(df, n, ts)
     if cut is not None:
-        df = prune_months(df.filter(F.col(ts) >= F.lit(cut).cast(df.schema[ts].dataType)), cut)
+        df = df.filter(F.col(ts) >= F.lit(cut).cast(df.schema[ts].dataType))
+        df = prune_months(df, ts, cut)
     return top_rows(df, [F.col(ts).desc_nulls_last(), *[F.col(c) for c in tiebreak]], n)
 
 
@@ -94,10 +102,7 @@ def top_tokens(
 
 def ticket_listing(df: DataFrame) -> DataFrame:
     """K7, L4: the 8-column listing, newest first."""
-    columns = (
-        "ticket_id type organization district subdistrict state timestamp_dt comment"
-    ).split()
-    return df.select(*[c for c in columns if c in df.columns]).orderBy(
+    return df.select(*[c for c in fixed.LISTING_COLUMNS if c in df.columns]).orderBy(
         F.col("timestamp_dt").desc_nulls_last(), "ticket_id"
     )
 

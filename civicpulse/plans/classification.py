@@ -3,16 +3,23 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping
+from dataclasses import dataclass
 
 from pyspark.ml.base import Estimator
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from civicpulse import fixed_values as fixed
 from civicpulse.functions.text import Tokenizer, words
-from civicpulse.ml.classifiers import boosted_trees, fit_one_vs_rest, linear_svc, logistic
-from civicpulse.ml.features import fit_tfidf
+from civicpulse.ml.classifiers import (
+    MultiLabelModel,
+    boosted_trees,
+    fit_one_vs_rest,
+    linear_svc,
+    logistic,
+)
+from civicpulse.ml.features import fit_tfidf, with_tokens
 from civicpulse.ml.labels import binarize, label_classes, labelled, split
+from civicpulse.session import shared_folder, via_table
 
 # Model name -> (estimator for n rows, least document count of a term).
 MODELS: dict[str, tuple[Callable[[int], Estimator], int]] = {
@@ -22,6 +29,24 @@ MODELS: dict[str, tuple[Callable[[int], Estimator], int]] = {
 }
 
 
+@dataclass(frozen=True)
+class Classified:
+    """Classes, per model the test rows ``(key, truth, predicted)``, and what was fitted on what.
+
+    Feature rows stay cached until :meth:`close`; results are tables of their own.
+    """
+
+    classes: list[str]
+    results: dict[str, DataFrame]
+    fitted: dict[str, MultiLabelModel]
+    training: dict[str, DataFrame]
+    _cached: list[DataFrame]
+
+    def close(self) -> None:
+        for df in self._cached:
+            df.unpersist()
+
+
 def classify(
     tickets: DataFrame,
     key: str = "ticket_id",
@@ -29,29 +54,26 @@ def classify(
     labels: str = "type",
     models: Mapping[str, tuple[Callable[[int], Estimator], int]] = MODELS,
     tokenizer: Tokenizer = words,
-) -> tuple[list[str], dict[str, DataFrame]]:
-    """Classes, and per model the test rows ``(key, truth, predicted)``.
-
-    Features are computed once per vocabulary setting and shared by the models
-    that use it.
-    """
-    rows = labelled(tickets.select(key, text, labels), text, labels)
+) -> Classified:
+    """Train and score; texts are tokenized once, features made once per vocabulary setting."""
+    shared_folder(tickets.sparkSession)  # boosted trees cut their lineage there
+    rows = with_tokens(labelled(tickets.select(key, text, labels), text, labels), text, tokenizer)
     classes = label_classes(rows)
     train, test = split(rows, key)
     features: dict[int, tuple[DataFrame, DataFrame]] = {}
-    results = {}
+    results, fitted, training, cached = {}, {}, {}, []
     for name, (estimator, min_df) in models.items():
         if min_df not in features:
             tfidf = fit_tfidf(train, text, tokenizer, min_df=min_df)
             features[min_df] = (
                 tfidf.transform(train).select("features", "labels").persist(),
-                tfidf.transform(test).select(key, "features", "labels").persist(),
+                tfidf.transform(test).select(key, "features", "labels"),
             )
-        train_rows, test_rows = features[min_df]
-        model = fit_one_vs_rest(train_rows, classes, estimator)
-        results[name] = model.transform(test_rows).select(
-            key, binarize(classes).alias("truth"), "predicted"
+            cached.append(features[min_df][0])
+        training[name], test_rows = features[min_df]
+        fitted[name] = fit_one_vs_rest(training[name], classes, estimator)
+        scored = fitted[name].transform(test_rows)
+        results[name] = via_table(
+            scored.select(key, binarize(classes).alias("truth"), "predicted"), "scored"
         )
-    for train_rows, _ in features.values():
-        train_rows.unpersist()
-    return classes, results
+    return Classified(classes, results, fitted, training, cached)

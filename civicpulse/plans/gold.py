@@ -6,11 +6,18 @@ from pyspark.sql import DataFrame
 
 from civicpulse import fixed_values as fixed
 from civicpulse.functions.parse import days_between, parse_set, reopen_count, state_color
-from civicpulse.operators.filters import drop_unlocated
+from civicpulse.operators.filters import TicketFilter, drop_unlocated
 
 
-def gold_tickets(silver: DataFrame, null_token: str | None = None) -> DataFrame:
-    """Located tickets with labels for nulls, type tokens, colour and duration."""
+def gold_tickets(
+    silver: DataFrame, null_token: str | None = None, chosen: TicketFilter | None = None
+) -> DataFrame:
+    """Located tickets with labels for nulls, type tokens, colour and duration.
+
+    ``chosen`` filters the raw columns first, so that its conditions reach the scan.
+    """
+    if chosen is not None:
+        silver = chosen.raw(silver)
     labels = {c: label for c, label in fixed.UNKNOWN_LABELS.items() if c in silver.columns}
     return (
         drop_unlocated(silver)

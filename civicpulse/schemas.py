@@ -5,28 +5,31 @@ from __future__ import annotations
 from pyspark.sql import types as T
 
 
-def _strings(names: str) -> list[T.StructField]:
-    return [T.StructField(name, T.StringType()) for name in names.split()]
+def _strings(names: list[str]) -> list[T.StructField]:
+    return [T.StructField(name, T.StringType()) for name in names]
 
 
 TICKET_MESSAGE = T.StructType(
     _strings(
-        "ticket_id type organization comment photo photo_after coords address "
-        "subdistrict district province timestamp state star count_reopen last_activity"
+        [
+            "ticket_id", "type", "organization", "comment", "photo", "photo_after", "coords", "address",
+            "subdistrict", "district", "province", "timestamp", "state", "star", "count_reopen",
+            "last_activity",
+        ]
     )
 )
 
-BRONZE_TICKET = T.StructType(TICKET_MESSAGE.fields + _strings("processing_time"))
+BRONZE_TICKET = T.StructType(TICKET_MESSAGE.fields + _strings(["processing_time"]))
 
 SILVER_TICKET = T.StructType(
-    _strings("ticket_id type organization comment photo photo_after")
+    _strings(["ticket_id", "type", "organization", "comment", "photo", "photo_after"])
     + [
         T.StructField("latitude", T.DoubleType()),
         T.StructField("longitude", T.DoubleType()),
     ]
-    + _strings("address province district subdistrict state")
+    + _strings(["address", "province", "district", "subdistrict", "state"])
     + [T.StructField("star", T.IntegerType())]
-    + _strings("count_reopen")
+    + _strings(["count_reopen"])
     + [
         T.StructField("timestamp_dt", T.TimestampType()),
         T.StructField("last_activity_dt", T.TimestampType()),
@@ -34,7 +37,7 @@ SILVER_TICKET = T.StructType(
 )
 
 AIR_MESSAGE = T.StructType(
-    _strings("district date")
+    _strings(["district", "date"])
     + [
         T.StructField("avg_pm25_ug_m3", T.DoubleType()),
         T.StructField("latitude", T.DoubleType()),
@@ -53,10 +56,10 @@ BRONZE_AIR = T.StructType(
     ]
 )
 
-SILVER_AIR = T.StructType(BRONZE_AIR.fields + _strings("pm25_category"))
+SILVER_AIR = T.StructType(BRONZE_AIR.fields + _strings(["pm25_category"]))
 
 GEOGRAPHY = T.StructType(
-    _strings("province district")
+    _strings(["province", "district"])
     + [
         T.StructField("latitude", T.DoubleType()),
         T.StructField("longitude", T.DoubleType()),
@@ -80,8 +83,9 @@ AIR_PAYLOAD = T.StructType(
     ]
 )
 
-# Folder column of partitioned silver: the ticket's month as yyyy-MM.
+# Folder column of partitioned silver: the month of MONTH_OF as yyyy-MM.
 MONTH = "ticket_month"
+MONTH_OF = "timestamp_dt"
 
 # One landed or queued message: its place in arrival order and its raw text.
 STAGED_MESSAGE = T.StructType(

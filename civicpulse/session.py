@@ -14,14 +14,11 @@ RUNTIME_SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
-    # newest_n ranks up to 20,000 rows; let the ranking be cut before its shuffle.
-    "spark.sql.optimizer.windowGroupLimitThreshold": "20000",
+    "spark.sql.streaming.stateStore.providerClass": (
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    ),
 }
 
-ROCKSDB_STATE = (
-    "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-)
-
 
 def tune(spark: SparkSession) -> SparkSession:
     """Apply the runtime settings to a session built elsewhere."""
@@ -47,9 +44,10 @@ def shared_folder(spark: SparkSession) -> str:
     """
     context = spark.sparkContext
     named = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    alone = context.master.startswith("local") and not context.master.startswith("local-cluster")
     if named:
         return named
-    if not context.master.startswith("local"):
+    if not alone:
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
     context.setCheckpointDir(tempfile.mkdtemp(prefix="civicpulse-"))
     return context.getCheckpointDir()
@@ -81,16 +79,3 @@ def broadcast_within(
         F.coalesce(F.sum(F.octet_length(F.to_json(F.struct("*")))), F.lit(0)).alias("b"),
     ).first()
     return F.broadcast(df) if size.n <= max_rows and size.b <= max_bytes else df
-
-
-def spread_few_files(df: DataFrame) -> DataFrame:
-    """Share out a scan that would leave most cores idle.
-
-    A file of one row group is read by one task however many splits it has.
-    Only a scan of fewer files than cores and at most one wave of splits is
-    repartitioned; any larger one comes back as it is, without a shuffle.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() > cores or len(df.inputFiles()) >= cores:
-        return df
-    return df.repartition(2 * cores)

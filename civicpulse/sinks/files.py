@@ -7,21 +7,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-from civicpulse.schemas import MONTH
-
-# Quoting that keeps every character, edge blanks and line breaks included.
-EXACT_CSV = {
-    "header": True,
-    "encoding": "UTF-8",
-    "quoteAll": True,
-    "escape": '"',
-    "emptyValue": "",
-    "nullValue": "",
-    "ignoreLeadingWhiteSpace": False,
-    "ignoreTrailingWhiteSpace": False,
-}
+
+from civicpulse.fixed_values import EXACT_CSV
+from civicpulse.schemas import MONTH, MONTH_OF
 
 UTF8_BOM = b"\xef\xbb\xbf"
 
@@ -45,16 +33,16 @@ def stage_messages(messages: DataFrame, path: str) -> None:
     messages.select("seq", "value").write.mode("append").json(path)
 
 
-def write_silver(df: DataFrame, path: str, month_of: str | None = "timestamp_dt") -> None:
-    """Silver as parquet, in one folder per month.
+def write_silver(df: DataFrame, path: str, by_month: bool = True) -> None:
+    """Silver as parquet, in one folder per month of ``timestamp_dt`` unless told otherwise.
 
     The rebalance hint evens out file sizes: small months share a task, a month
     holding most rows is split over several.
     """
-    if month_of is None:
+    if not by_month:
         df.write.mode("overwrite").parquet(path)
         return
-    dated = df.withColumn(MONTH, F.date_format(month_of, "yyyy-MM"))
+    dated = df.withColumn(MONTH, F.date_format(MONTH_OF, "yyyy-MM"))
     dated.hint("rebalance", MONTH).write.mode("overwrite").partitionBy(MONTH).parquet(path)
 
 
@@ -63,39 +51,27 @@ def write_csv_parts(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").options(**EXACT_CSV).csv(path)
 
 
-def export_single_csv(
-    df: DataFrame, path: str, max_bytes: int = 1 << 30, bom: bool = False
-) -> str:
-    """K5, K6: one CSV file at ``path``, replacing an older one.
+def export_single_csv(df: DataFrame, path: str, bom: bool = False) -> None:
+    """K5, K6: one CSV file at ``path``, of any size, replacing an older one.
 
-    Parts are written beside ``path`` in parallel first. Only when they add up
-    to at most ``max_bytes`` are they joined into one file; a larger result
-    becomes ``path`` itself, a folder of parts, whole. Returns ``"file"`` or
-    ``"folder"``.
+    One file is written by one task; for large results prefer :func:`write_csv_parts`,
+    a folder of parts. The part is renamed to ``path``; only a byte order mark, which has
+    to stand before it, needs a copy.
     """
     spark = df.sparkSession
     jpath = spark._jvm.org.apache.hadoop.fs.Path
     conf = spark._jsc.hadoopConfiguration()
     target = jpath(path)
     fs = target.getFileSystem(conf)
-    parts = f"{path}.parts-{uuid.uuid4().hex}"
-    write_csv_parts(df, parts)
+    folder = f"{path}.parts-{uuid.uuid4().hex}"
+    write_csv_parts(df.coalesce(1), folder)
+    parts = fs.globStatus(jpath(f"{folder}/part-*.csv"))
     if fs.exists(target):
         fs.delete(target, True)
-    if fs.getContentSummary(jpath(parts)).getLength() > max_bytes:
-        fs.rename(jpath(parts), target)
-        return "folder"
-    text = T.StructType([T.StructField(c, T.StringType()) for c in df.columns])
-    joined = f"{parts}-joined"
-    write_csv_parts(
-        spark.read.schema(text).options(**EXACT_CSV, multiLine=True).csv(parts).coalesce(1),
-        joined,
-    )
-    part = fs.globStatus(jpath(f"{joined}/part-*.csv"))[0].getPath()
-    out = fs.create(target, True)
     if bom:
+        out = fs.create(target, True)
         out.write(bytearray(UTF8_BOM))
-    spark._jvm.org.apache.hadoop.io.IOUtils.copyBytes(fs.open(part), out, conf, True)
-    for folder in (parts, joined):
-        fs.delete(jpath(folder), True)
-    return "file"
+        spark._jvm.org.apache.hadoop.io.IOUtils.copyBytes(fs.open(parts[0].getPath()), out, conf, True)
+    else:
+        fs.rename(parts[0].getPath(), target)
+    fs.delete(jpath(folder), True)

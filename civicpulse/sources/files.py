@@ -91,9 +91,9 @@ def _reread_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFra
     )
 
 
-def read_payloads(spark: SparkSession, path: str) -> DataFrame:
-    """Landed API responses, one JSON document per file."""
-    return spark.read.schema(schemas.AIR_PAYLOAD).json(path, multiLine=True)
+def read_payloads(spark: SparkSession, path: str, one_per_file: bool = True) -> DataFrame:
+    """Landed API responses, one JSON document per file or one per line."""
+    return spark.read.schema(schemas.AIR_PAYLOAD).json(path, multiLine=one_per_file)
 
 
 def or_empty(spark: SparkSession, read, schema: T.StructType) -> DataFrame:

@@ -8,20 +8,17 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from civicpulse.session import ROCKSDB_STATE
-
 
 def first_arrivals_stream(
     df: DataFrame, key: str = "ticket_id", order: Sequence[str] = ("seq",)
 ) -> DataFrame:
     """Emit each non-null key once, with the earliest row of the batch that first has it.
 
-    State is one flag per key, kept in RocksDB so that it outgrows memory
-    safely. Before the shuffle each Arrow batch is reduced to one row per key,
+    State is one flag per key, kept in RocksDB (a setting of ``tune``) so that it outgrows
+    memory safely. Before the shuffle each Arrow batch is reduced to one row per key,
     so a key that floods the stream costs a row per batch, and what still
     meets in one group is read chunk by chunk.
     """
-    df.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB_STATE)
     by = list(order)
 
     # Nested so that workers get the code itself, whatever is installed there.

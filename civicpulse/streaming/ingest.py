@@ -7,17 +7,22 @@ from pyspark.sql import functions as F
 
 from civicpulse import schemas
 from civicpulse.streaming.arrival import first_arrivals_stream
-from civicpulse.streaming.messages import decode, records
+from civicpulse.streaming.messages import CORRUPT, decode, records
 
 
 def bronze_tickets(messages: DataFrame) -> DataFrame:
     """First arrivals with coordinates, as the 17 bronze columns.
 
-    Counters are observed on the way: ``arrived`` (messages, missing_id) and
-    ``landed`` (first, saved); duplicates are messages - missing_id - first.
+    Counters are observed on the way: ``read`` (unreadable), ``arrived`` (messages,
+    missing_id) and ``landed`` (first, saved); duplicates are messages - missing_id - first.
+    Unreadable messages are only counted here; ``TicketLanding`` keeps them as well.
     """
     arrived = (
-        records(decode(messages, schemas.TICKET_MESSAGE))
+        records(
+            decode(messages, schemas.TICKET_MESSAGE).observe(
+                "read", F.count(CORRUPT).alias("unreadable")
+            )
+        )
         .select("ticket_id", "seq", "value")
         .observe(
             "arrived",
@@ -41,7 +46,7 @@ def bronze_tickets(messages: DataFrame) -> DataFrame:
 
 
 def bronze_air(messages: DataFrame) -> DataFrame:
-    """Every reading, no de-duplication."""
+    """Every reading, no de-duplication; ``AirLanding`` also keeps unreadable ones."""
     return (
         records(decode(messages, schemas.AIR_MESSAGE))
         .withColumn("processing_time", now_text())
@@ -61,6 +66,7 @@ def counters(report: dict) -> dict:
         "duplicates": messages - missing - first,
         "missing_id": missing,
         "no_coords": first - landed.get("saved", 0),
+        "unreadable": report["counters"].get("read", {}).get("unreadable", 0),
     }
 
 

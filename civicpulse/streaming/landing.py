@@ -6,76 +6,139 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from civicpulse import schemas
 from civicpulse.operators.arrival import arrivals_per_key
-from civicpulse.sinks.files import EXACT_CSV
-from civicpulse.sources.files import or_empty, read_bronze_tickets
+from civicpulse.sources.files import or_empty
 from civicpulse.streaming.ingest import now_text
-from civicpulse.streaming.messages import decode, records
+from civicpulse.streaming.messages import decode, quarantine, records
 from civicpulse.streaming.sinks import writer
 
-LEDGER = "ticket_id string, batch bigint"
-COUNTERS = (
-    "saved bigint, duplicates bigint, missing_id bigint, no_coords bigint, batch bigint"
-)
+LEDGER = "ticket_id string, batch bigint, bucket int"
+# Hash folders of the ledger: a batch reads those its ids fall into.
+LEDGER_BUCKETS = 64
+COUNTED = ["saved", "duplicates", "missing_id", "no_coords", "unreadable"]
+COUNTERS = ", ".join(f"{name} bigint" for name in [*COUNTED, "batch"])
+QUARANTINE = "seq bigint, value string, batch bigint"
+
+
+def _bucket(key: str = "ticket_id") -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(LEDGER_BUCKETS)).cast("int")
+
+
+class _Landing:
+    """What both landings share: unreadable messages are kept and counted in the same batch."""
+
+    folder: str
+
+    def quarantined(self, spark: SparkSession) -> DataFrame:
+        """Unreadable messages as ``(seq, value)``."""
+        path = f"{self.folder}/quarantine"
+        found = or_empty(
+            spark, lambda: spark.read.schema(QUARANTINE).parquet(path), T.StructType.fromDDL(QUARANTINE)
+        )
+        return found.select("seq", "value")
+
+    def _write(self, rows: DataFrame, name: str, batch_id: int, *by: str) -> None:
+        out = rows.write.mode("overwrite")
+        (out.partitionBy(*by) if by else out).parquet(f"{self.folder}/{name}/batch={batch_id}")
 
 
 @dataclass(frozen=True)
-class TicketLanding:
+class TicketLanding(_Landing):
     """Bronze tickets below ``folder``, with a ledger of every id ever seen.
 
     Each micro-batch is reduced to one row per id, marked by a join with the
-    ledger, and what is new is written as bronze CSV and added to the ledger.
+    ledger, and what is new is written as bronze and added to the ledger.
     Both sides of that join hold an id once, so no id is hot in it.
     Every write goes to a folder named after the batch and replaces it, and a
     batch reads the ledger of earlier batches only: a repeated batch, after a
     lost driver, writes the same rows again.
 
-    The ledger is one narrow column and is scanned once per micro-batch, which
-    suits few large batches (``availableNow``). For many small ones use
-    :func:`civicpulse.streaming.ingest.bronze_tickets`, whose state is looked up
-    by key.
+    The ledger lies in hash folders of the id; a batch reads those its own ids fall into,
+    so a small batch does not scan every id ever seen.
     """
 
     folder: str
 
     def start(self, messages: DataFrame, every: str | None = None) -> StreamingQuery:
-        incoming = records(decode(messages, schemas.TICKET_MESSAGE))
+        incoming = decode(messages, schemas.TICKET_MESSAGE)
         return writer(incoming, f"{self.folder}/checkpoint", every).foreachBatch(self._land).start()
 
     def bronze(self, spark: SparkSession) -> DataFrame:
-        return read_bronze_tickets(spark, f"{self.folder}/bronze").select(
-            *schemas.BRONZE_TICKET.fieldNames()
-        )
+        """The 17 bronze columns, all text."""
+        path = f"{self.folder}/bronze"
+        return or_empty(
+            spark, lambda: spark.read.schema(schemas.BRONZE_TICKET).parquet(path), schemas.BRONZE_TICKET
+        ).select(*schemas.BRONZE_TICKET.fieldNames())
 
     def counters(self, spark: SparkSession) -> DataFrame:
-        """``saved, duplicates, missing_id, no_coords`` over all batches."""
+        """One row of :data:`COUNTED` over all batches."""
         return spark.read.schema(COUNTERS).parquet(f"{self.folder}/counters").agg(
-            *[F.sum(c).alias(c) for c in ("saved", "duplicates", "missing_id", "no_coords")]
+            *[F.sum(c).alias(c) for c in COUNTED]
+        )
+
+    def _known(self, spark: SparkSession, ids: DataFrame, batch_id: int) -> DataFrame:
+        """Ids of earlier batches from the ledger folders that ``ids`` touch."""
+        touched = [row.bucket for row in ids.select(_bucket().alias("bucket")).distinct().collect()]
+        ledger = or_empty(
+            spark,
+            lambda: spark.read.schema(LEDGER).parquet(f"{self.folder}/ledger"),
+            T.StructType.fromDDL(LEDGER),
+        )
+        return ledger.filter(F.col("bucket").isin(touched) & (F.col("batch") < batch_id)).select(
+            "ticket_id", F.lit(True).alias("known")
         )
 
     def _land(self, batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        ledger = f"{self.folder}/ledger"
-        known = (
-            or_empty(spark, lambda: spark.read.schema(LEDGER).parquet(ledger), LEDGER)
-            .filter(F.col("batch") < batch_id)
-            .select("ticket_id", F.lit(True).alias("known"))
-        )
-        ids = arrivals_per_key(batch, "ticket_id").join(known, "ticket_id", "left").persist()
+        batch = batch.persist()
+        per_id = arrivals_per_key(records(batch), "ticket_id").persist()
+        ids = per_id.join(self._known(spark, per_id, batch_id), "ticket_id", "left")
         fresh = ids.filter(F.col("ticket_id").isNotNull() & F.col("known").isNull())
         bronze = fresh.filter(F.col("coords").isNotNull()).withColumn("processing_time", now_text())
-        (
-            bronze.select(*schemas.BRONZE_TICKET.fieldNames())
-            .write.mode("overwrite")
-            .options(**EXACT_CSV)
-            .csv(f"{self.folder}/bronze/batch={batch_id}")
+        self._write(bronze.select(*schemas.BRONZE_TICKET.fieldNames()), "bronze", batch_id)
+        self._write(fresh.select("ticket_id", _bucket().alias("bucket")), "ledger", batch_id, "bucket")
+        broken = quarantine(batch)
+        self._write(broken, "quarantine", batch_id)
+        # One row each: the batch's totals beside the count of what could not be read.
+        counted = _totals(ids).join(F.broadcast(broken.agg(F.count("*").alias("unreadable"))))
+        self._write(counted.select(*COUNTED), "counters", batch_id)
+        per_id.unpersist()
+        batch.unpersist()
+
+
+@dataclass(frozen=True)
+class AirLanding(_Landing):
+    """Bronze air readings below ``folder``, every one, and what could not be read."""
+
+    folder: str
+
+    def start(self, messages: DataFrame, every: str | None = None) -> StreamingQuery:
+        incoming = decode(messages, schemas.AIR_MESSAGE)
+        return writer(incoming, f"{self.folder}/checkpoint", every).foreachBatch(self._land).start()
+
+    def bronze(self, spark: SparkSession) -> DataFrame:
+        path = f"{self.folder}/bronze"
+        return or_empty(
+            spark, lambda: spark.read.schema(schemas.BRONZE_AIR).parquet(path), schemas.BRONZE_AIR
+        ).select(*schemas.BRONZE_AIR.fieldNames())
+
+    def _land(self, batch: DataFrame, batch_id: int) -> None:
+        batch = batch.persist()
+        read = records(batch).select(
+            *[
+                F.col(f.name).try_cast(f.dataType).alias(f.name)
+                if f.name != "processing_time"
+                else F.current_timestamp().alias(f.name)
+                for f in schemas.BRONZE_AIR.fields
+            ]
         )
-        fresh.select("ticket_id").write.mode("overwrite").parquet(f"{ledger}/batch={batch_id}")
-        _totals(ids).write.mode("overwrite").parquet(f"{self.folder}/counters/batch={batch_id}")
-        ids.unpersist()
+        self._write(read, "bronze", batch_id)
+        self._write(quarantine(batch), "quarantine", batch_id)
+        batch.unpersist()
 
 
 def _totals(ids: DataFrame) -> DataFrame:

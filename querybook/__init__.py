@@ -4,7 +4,7 @@ A query is registered with :func:`book.query`; its SQL, where there is one, runs
 on the same tables in DuckDB and must give the same rows.
 """
 
-from querybook import arrivals, charts, dashboard, parsing, streams, texts  # noqa: F401
+from querybook import arrivals, charts, dashboard, landed, parsing, streams, texts  # noqa: F401
 from querybook.book import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -10,6 +10,12 @@ from pyspark.sql import functions as F
 from civicpulse import fixed_values as fixed
 from civicpulse.functions.geo import METRES_PER_DEGREE
 from civicpulse.operators import density, filters, indicators, ranking
+from civicpulse.plans.dashboard import dashboard
+from civicpulse.plans.gold import gold_tickets
+from civicpulse.schemas import SILVER_TICKET
+from civicpulse.session import scratch_path
+from civicpulse.sinks.files import write_silver
+from civicpulse.sources.files import read_silver
 from querybook.book import (
     SQL_COLOR,
     SQL_GOLD,
@@ -131,6 +137,147 @@ def _shown(t):
     return ranking.newest_n(t.gold())
 
 
+@query(
+    "newest_n_silver",
+    f"""WITH {SQL_TICKETS}
+    SELECT CAST(ticket_id AS VARCHAR) AS ticket_id, state,
+      {sql_stamp("last_activity_dt")} FROM tickets
+    ORDER BY last_activity_dt DESC NULLS LAST, CAST(ticket_id AS VARCHAR) LIMIT {fixed.MAX_POINTS}""",
+)
+def newest_n_silver(t):
+    """Written by month of one date, ranked by the other: no folder may be skipped."""
+    path = scratch_path(t.spark, "silver")
+    write_silver(t.tickets().withColumn("ticket_id", F.col("ticket_id").cast("string")), path)
+    silver = t.spark.read.parquet(path)
+    return ranking.newest_n(silver, ts="last_activity_dt").select(
+        "ticket_id", "state", stamp("last_activity_dt")
+    )
+
+
+@query(
+    "silver_by_month",
+    f"""WITH {SQL_TICKETS}
+    SELECT CAST(ticket_id AS VARCHAR) AS ticket_id, state, {sql_stamp("timestamp_dt")} FROM tickets
+    WHERE CAST(timestamp_dt AS DATE) BETWEEN DATE '2024-01-10' AND DATE '2024-01-12'
+      AND latitude IS NOT NULL""",
+)
+def silver_by_month(t):
+    """Silver written, read again with its schema, and filtered by date."""
+    path = scratch_path(t.spark, "silver")
+    tickets = t.tickets().withColumn("ticket_id", F.col("ticket_id").cast("string"))
+    absent = {f.name: F.lit(None).cast(f.dataType) for f in SILVER_TICKET.fields if f.name not in tickets.columns}
+    write_silver(tickets.withColumns(absent).select(*SILVER_TICKET.fieldNames()), path)
+    chosen = filters.TicketFilter(first_day=dt.date(2024, 1, 10), last_day=dt.date(2024, 1, 12))
+    silver = chosen.raw(read_silver(t.spark, path))
+    return filters.drop_unlocated(silver).select("ticket_id", "state", stamp("timestamp_dt"))
+
+
+@query(
+    "kpi_captions",
+    f"""WITH {SQL_GOLD}, k AS (
+      SELECT district, count(*) AS n,
+        100e0 * count(*) FILTER (state = '{fixed.DONE_STATE}') / count(*) AS r,
+        avg(count_reopen) AS o, avg(event_id % 64) / 8e0 AS d
+      FROM (SELECT gold.*, ticket_id AS event_id FROM gold) GROUP BY district)
+    SELECT district, format('{{:,}}', n) AS tickets, format('{{:.1f}}', r) || '%' AS resolution_rate,
+      format('{{:.2f}}', o) AS avg_reopen, format('{{:.1f}}', d) AS avg_resolution_days FROM k
+    UNION ALL SELECT 'tie ' || v, '1,234', format('{{:.1f}}', v) || '%', format('{{:.2f}}', v), format('{{:.1f}}', v)
+    FROM (SELECT CAST(unnest([6.25e0, 0.125e0, 2.25e0, 2.675e0, 0.05e0, 12.345e0, 99.95e0]) AS DOUBLE) AS v)""",
+)
+def kpi_captions(t):
+    """Figures of every district, and ties."""
+    figures = t.gold().groupBy("district").agg(
+        F.count("*").alias("tickets"),
+        (F.lit(100e0) * F.count_if(F.col("state") == fixed.DONE_STATE) / F.count("*")).alias("resolution_rate"),
+        F.avg("count_reopen").alias("avg_reopen"),
+        (F.avg(F.col("ticket_id") % 64) / F.lit(8e0)).alias("avg_resolution_days"),
+    )
+    ties = [6.25, 0.125, 2.25, 2.675, 0.05, 12.345, 99.95]
+    tied = t.spark.createDataFrame(
+        [(f"tie {v}", 1234, v, v, v) for v in ties],
+        "district string, tickets bigint, resolution_rate double, avg_reopen double, avg_resolution_days double",
+    )
+    return indicators.kpi_captions(figures.unionByName(tied), "district")
+
+
+SQL_CHOSEN = f"""{SQL_GOLD}, chosen AS (SELECT * FROM gold WHERE state IN ({_sql_list(_STATES)})
+    AND CAST(timestamp_dt AS DATE) BETWEEN DATE '2024-01-03' AND DATE '2024-01-28'),
+  shown AS (SELECT * FROM chosen ORDER BY timestamp_dt DESC NULLS LAST, ticket_id
+    LIMIT {fixed.MAX_POINTS})"""
+
+
+def _dashboard(t, name):
+    """One figure of a dashboard request: filtered, then capped to the newest rows."""
+    chosen = filters.TicketFilter(
+        states=_STATES, first_day=dt.date(2024, 1, 3), last_day=dt.date(2024, 1, 28)
+    )
+    return dashboard(gold_tickets(t.tickets(), chosen=chosen), chosen)[name]
+
+
+@query(
+    "dashboard_top_types",
+    f"""WITH {SQL_CHOSEN} SELECT token, count(*) AS n FROM
+    (SELECT unnest(type_tokens) AS token FROM shown) GROUP BY token ORDER BY n DESC, token LIMIT 10""",
+)
+def dashboard_top_types(t):
+    return _dashboard(t, "top_types")
+
+
+@query(
+    "dashboard_top_districts",
+    f"""WITH {SQL_CHOSEN} SELECT district, count(*) AS n FROM shown GROUP BY district
+    ORDER BY n DESC, district LIMIT 10""",
+)
+def dashboard_top_districts(t):
+    return _dashboard(t, "top_districts")
+
+
+@query(
+    "dashboard_daily",
+    f"""WITH {SQL_CHOSEN}, days AS (SELECT CAST(timestamp_dt AS DATE) AS day, count(*) AS n FROM shown GROUP BY 1)
+    SELECT strftime(d, '%Y-%m-%d') AS day, CAST(coalesce(n, 0) AS BIGINT) AS n
+    FROM (SELECT unnest(generate_series((SELECT min(day) FROM days), (SELECT max(day) FROM days),
+      INTERVAL 1 DAY)) AS d) LEFT JOIN days ON days.day = CAST(d AS DATE)""",
+)
+def dashboard_daily(t):
+    return _dashboard(t, "daily").select(F.date_format("day", "yyyy-MM-dd").alias("day"), "n")
+
+
+@query(
+    "dashboard_listing",
+    f"""WITH {SQL_CHOSEN} SELECT ticket_id, type, organization, district, state,
+      {sql_stamp("timestamp_dt")} FROM shown""",
+)
+def dashboard_listing(t):
+    return _dashboard(t, "listing").withColumn("timestamp_dt", stamp("timestamp_dt"))
+
+
+@query(
+    "dashboard_total",
+    f"WITH {SQL_CHOSEN} SELECT count(*) AS total_filtered FROM chosen",
+)
+def dashboard_total(t):
+    return _dashboard(t, "total_filtered")
+
+
+@query(
+    "default_types",
+    f"""WITH {SQL_GOLD} SELECT DISTINCT token AS value FROM (SELECT unnest(type_tokens) AS token FROM gold)
+    ORDER BY value LIMIT {fixed.DEFAULT_TYPE_CHOICES}""",
+)
+def default_types(t):
+    return filters.default_types(t.gold())
+
+
+@query(
+    "preview",
+    "SELECT count(*) AS n FROM (SELECT * FROM events LIMIT 5)",
+)
+def preview(t):
+    """L3: which rows come first is not fixed, how many are shown is."""
+    return ranking.preview(t.events).agg(F.count("*").alias("n"))
+
+
 @query(
     "newest_n",
     f"WITH {SQL_SHOWN} SELECT ticket_id, {sql_stamp('timestamp_dt')}, state FROM shown",

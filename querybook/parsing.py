@@ -217,7 +217,10 @@ def geo_impute(t):
       CASE WHEN t.ticket_id % 3 = 0 THEN 13e0 + t.ticket_id % 7 / 8e0 ELSE glat END AS latitude,
       CASE WHEN t.ticket_id % 3 < 2 THEN 100e0 + t.ticket_id % 5 / 4e0 ELSE glon END AS longitude,
       district, state, CASE WHEN t.ticket_id % 6 < 4 THEN CAST(t.ticket_id % 6 AS INTEGER) END AS star,
-      count_reopen, {sql_stamp("timestamp_dt").replace("(timestamp_dt", "(date_trunc('second', timestamp_dt)")}
+      count_reopen, {sql_stamp("timestamp_dt").replace("(timestamp_dt", "(date_trunc('second', timestamp_dt)")},
+      {sql_stamp("last_activity_dt").replace("(last_activity_dt", "(date_trunc('second', last_activity_dt)")},
+      CAST(NULL AS VARCHAR) AS photo, CAST(NULL AS VARCHAR) AS photo_after, CAST(NULL AS VARCHAR) AS address,
+      CAST(NULL AS VARCHAR) AS subdistrict, CAST(NULL AS VARCHAR) AS province
     FROM tickets t JOIN events e ON t.ticket_id = e.event_id LEFT JOIN g ON trim(district) = geo""",
 )
 def silver_tickets(t):
@@ -233,7 +236,7 @@ def silver_tickets(t):
         .alias("coords"),
         F.when(i % 6 < 4, F.concat((i % 6).cast("string"), F.lit(".0"))).otherwise("x").alias("star"),
     ]
-    text = {c: F.lit(None).cast("string") for c in "photo photo_after address subdistrict province".split()}
+    text = {c: F.lit(None).cast("string") for c in ["photo", "photo_after", "address", "subdistrict", "province"]}
     bronze = (
         t.tickets(*extra)
         .withColumns(
@@ -258,7 +261,8 @@ def silver_tickets(t):
     )
     return to_silver(bronze, places).select(
         "ticket_id", "type", "organization", "comment", "latitude", "longitude", "district",
-        "state", "star", "count_reopen", stamp("timestamp_dt"),
+        "state", "star", "count_reopen", stamp("timestamp_dt"), stamp("last_activity_dt"),
+        "photo", "photo_after", "address", "subdistrict", "province",
     )
 
 

@@ -10,10 +10,8 @@ from civicpulse.session import scratch_path
 from civicpulse.sinks.files import as_messages, stage_messages
 from civicpulse.sources.files import read_bronze_air
 from civicpulse.streaming import ingest, sinks
-from civicpulse.streaming.arrival import first_arrivals_stream
-from civicpulse.streaming.landing import TicketLanding
-from civicpulse.streaming.messages import decode, quarantine, records, staged_stream
-from querybook.arrivals import SQL_MESSAGES, messages
+from civicpulse.streaming.landing import AirLanding, TicketLanding
+from civicpulse.streaming.messages import decode, quarantine, staged_stream
 from querybook.book import query
 
 
@@ -51,51 +49,111 @@ def _ticket_messages(t):
     return rows.select("seq", F.to_json(body).alias("value"))
 
 
+# Messages are staged in this many files in order of seq, and read one file a micro-batch.
+STAGED_FILES = 4
+
+
+def _staged_in_order(t, staged):
+    """Stage messages so that each file holds a range of ``seq`` and later ones come later."""
+    base = scratch_path(t.spark, "stream")
+    last = staged.agg(F.max("seq")).first()[0] or 0
+    for i in range(STAGED_FILES):
+        lane = F.floor(F.col("seq") * STAGED_FILES / (last + 1))
+        stage_messages(staged.filter(lane == i).coalesce(1), f"{base}/in")
+    return base
+
+
+def _landed(t, staged):
+    base = _staged_in_order(t, staged)
+    landing = TicketLanding(f"{base}/tickets")
+    report = sinks.finish(landing.start(staged_stream(t.spark, f"{base}/in", 1)))
+    assert report["batches"] >= 3 or staged.count() < STAGED_FILES, report
+    return landing
+
+
+SQL_TICKET_MESSAGES = """m AS (SELECT event_id AS seq,
+    CASE WHEN event_id % 31 <> 0 THEN CAST(event_id // 2 AS VARCHAR) END AS ticket_id,
+    event_type AS type, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS timestamp, props AS comment,
+    CASE WHEN event_id % 19 <> 0 THEN '[' || CAST(100 + event_id % 2 AS VARCHAR) || '.5, 13.'
+      || CAST(event_id % 10 AS VARCHAR) || ']' END AS coords FROM events)"""
+
+
+@query(
+    "landing_counters",
+    f"""WITH {SQL_TICKET_MESSAGES}, kept AS (SELECT * FROM m WHERE seq % 37 <> 0),
+    f AS (SELECT * FROM kept WHERE ticket_id IS NOT NULL
+      QUALIFY row_number() OVER (PARTITION BY ticket_id ORDER BY seq) = 1)
+    SELECT count(*) FILTER (coords IS NOT NULL) AS saved,
+      (SELECT count(ticket_id) - count(DISTINCT ticket_id) FROM kept) AS duplicates,
+      (SELECT count(*) FROM kept WHERE ticket_id IS NULL) AS missing_id,
+      count(*) FILTER (coords IS NULL) AS no_coords,
+      (SELECT count(*) FROM m WHERE seq % 37 = 0) AS unreadable FROM f""",
+)
+def landing_counters(t):
+    # Every 37th message lost its last character.
+    cut = F.expr("substr(value, 1, length(value) - 1)")
+    staged = _ticket_messages(t).select(
+        "seq", F.when(F.col("seq") % 37 == 0, cut).otherwise(F.col("value")).alias("value")
+    )
+    return _landed(t, staged).counters(t.spark)
+
+
+@query(
+    "stream_cadence",
+    "SELECT count(*) AS records, true AS stamped FROM events",
+)
+def stream_cadence(t):
+    """A run with a flush cadence stamps every record; it is stopped once all are in."""
+    staged = t.events.select(
+        F.col("event_id").alias("seq"),
+        F.to_json(F.struct(F.col("event_type").alias("district"), F.lit(1.5).alias("avg_pm25_ug_m3"))).alias("value"),
+    )
+    base = scratch_path(t.spark, "stream")
+    stage_messages(staged, f"{base}/in")
+    landing = AirLanding(f"{base}/air")
+    running = landing.start(staged_stream(t.spark, f"{base}/in"), every="1 second")
+    running.processAllAvailable()
+    running.stop()
+    return landing.bronze(t.spark).agg(
+        F.count("*").alias("records"), (F.count("processing_time") == F.count("*")).alias("stamped")
+    )
+
+
 @query(
     "stream_ticket_bronze",
-    """WITH m AS (SELECT event_id AS seq,
-        CASE WHEN event_id % 31 <> 0 THEN CAST(event_id // 2 AS VARCHAR) END AS ticket_id,
-        event_type AS type, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS timestamp, props AS comment,
-        CASE WHEN event_id % 19 <> 0 THEN '[' || CAST(100 + event_id % 2 AS VARCHAR) || '.5, 13.'
-          || CAST(event_id % 10 AS VARCHAR) || ']' END AS coords FROM events),
+    f"""WITH {SQL_TICKET_MESSAGES},
     f AS (SELECT * FROM m WHERE ticket_id IS NOT NULL
       QUALIFY row_number() OVER (PARTITION BY ticket_id ORDER BY seq) = 1)
     SELECT ticket_id, type, comment, coords, timestamp FROM f WHERE coords IS NOT NULL""",
 )
 def stream_ticket_bronze(t):
-    base = scratch_path(t.spark, "stream")
-    stage_messages(_ticket_messages(t), f"{base}/in")
-    landing = TicketLanding(f"{base}/tickets")
-    sinks.finish(landing.start(staged_stream(t.spark, f"{base}/in")))
+    landing = _landed(t, _ticket_messages(t))
     return landing.bronze(t.spark).select("ticket_id", "type", "comment", "coords", "timestamp")
 
 
 @query(
     "stream_first_arrival",
-    f"WITH {SQL_MESSAGES} SELECT conv_id, turn, role, digest FROM firsts WHERE located",
+    """WITH m AS (SELECT conv_id, turn, role, md5(text) AS digest, (conv_id + turn) % 3 <> 0 AS located,
+        conv_id * 1000 + turn AS seq FROM conversations WHERE conv_id % 10 <> 0)
+    SELECT CAST(conv_id AS VARCHAR) AS conv_id, role, digest FROM m
+    QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY seq) = 1 AND located""",
 )
 def stream_first_arrival(t):
-    schema = T.StructType(
-        [
-            T.StructField("conv_id", T.LongType()),
-            T.StructField("role", T.StringType()),
-            T.StructField("digest", T.StringType()),
-            T.StructField("located", T.BooleanType()),
-        ]
+    """First turns through the ledger form, several micro-batches, no Python per key."""
+    located = (F.col("conv_id") + F.col("turn")) % 3 != 0
+    staged = t.conversations.select(
+        (F.col("conv_id") * 1000 + F.col("turn")).alias("seq"),
+        F.to_json(
+            F.struct(
+                F.when(F.col("conv_id") % 10 != 0, F.col("conv_id").cast("string")).alias("ticket_id"),
+                F.col("role").alias("type"),
+                F.md5("text").alias("comment"),
+                F.when(located, F.lit("13.7,100.5")).alias("coords"),
+            )
+        ).alias("value"),
     )
-    staged = messages(t).select(
-        F.col("turn").alias("seq"),
-        F.to_json(F.struct("conv_id", "role", "digest", "located")).alias("value"),
-    )
-
-    def firsts(stream):
-        arrived = records(decode(stream, schema)).select("conv_id", "seq", "value")
-        first = first_arrivals_stream(arrived, "conv_id")
-        return records(decode(first, schema)).filter("located")
-
-    return (
-        t.spark.read.parquet(_run(t, staged, firsts))
-        .select("conv_id", F.col("seq").alias("turn"), "role", "digest")
+    return _landed(t, staged).bronze(t.spark).select(
+        F.col("ticket_id").alias("conv_id"), F.col("type").alias("role"), F.col("comment").alias("digest")
     )
 
 

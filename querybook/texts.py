@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from functools import partial
-
 from pyspark.sql import functions as F
 
+from civicpulse import fixed_values as fixed
 from civicpulse.ml import features, labels, metrics
+from civicpulse.ml.evidence import is_fitted
 from civicpulse.plans.classification import MODELS, classify
 from querybook.book import query, six
 
@@ -37,7 +37,7 @@ def _tickets(t):
         F.when(F.col("quality") == 1, "quality"),
         F.when(F.col("toxic") == 1, "toxic"),
     )
-    return t.texts().join(t.labels, "doc_id").select(
+    return t.documents.join(t.labels, "doc_id").select(
         "doc_id", "text", F.concat(F.lit("{"), flags, F.lit("}")).alias("type")
     )
 
@@ -79,7 +79,7 @@ def hash_split(t):
     FROM terms""",
 )
 def token_counts(t):
-    return features.token_counts(t.texts(), "doc_id", "text")
+    return features.token_counts(t.documents, "doc_id", "text")
 
 
 @query(
@@ -88,7 +88,7 @@ def token_counts(t):
       md5(array_to_string(terms, '|')) AS digest FROM terms""",
 )
 def ngrams(t):
-    return features.with_terms(t.texts(), "text").select(
+    return features.with_terms(t.documents, "text").select(
         "doc_id",
         F.size("terms").cast("bigint").alias("n_terms"),
         F.md5(F.array_join("terms", "|")).alias("digest"),
@@ -97,7 +97,7 @@ def ngrams(t):
 
 @query("vocabulary", f"WITH {SQL_VOCABULARY} SELECT term, tf, df FROM vocabulary")
 def vocabulary(t):
-    return features.vocabulary(features.with_terms(t.texts(), "text"))
+    return features.vocabulary(features.with_terms(t.documents, "text"))
 
 
 @query(
@@ -109,7 +109,7 @@ def vocabulary(t):
     FROM raw""",
 )
 def tfidf_weights(t):
-    texts = t.texts()
+    texts = features.with_tokens(t.documents.select("doc_id", "text"), "text")
     model = features.fit_tfidf(texts, "text")
     return six(model.weights(texts, "doc_id"))
 
@@ -170,31 +170,37 @@ def classification_report(t):
     return six(metrics.classification_report(_scored(t), ["quality", "toxic"]))
 
 
-def _classified(t, model, **settings):
-    estimator, min_df = MODELS[model]
-    if settings:
-        estimator = partial(estimator, **settings)
-    _, results = classify(
-        _tickets(t), "doc_id", "text", "type", models={model: (estimator, min_df)}
-    )
+SQL_TEST_ROWS = f"""WITH {SQL_LABELLED}
+    SELECT doc_id, CASE WHEN list_contains(labels, 'quality') THEN '1' ELSE '0' END || ',' ||
+      CASE WHEN list_contains(labels, 'toxic') THEN '1' ELSE '0' END AS truth, true AS fitted
+    FROM labelled WHERE md5(CAST(doc_id AS VARCHAR) || '|{fixed.SPLIT_SEED}')[1:8]
+      < '{int(fixed.TEST_FRACTION * 2**32):08x}'"""
 
-    def text(column):
-        return F.array_join(F.col(column).cast("array<string>"), ",").alias(column)
 
-    return results[model].select("doc_id", text("truth"), text("predicted"))
+def _classified(t, model):
+    """Test rows with their truth; ``fitted`` says that the model of every class passes its test
+    and that each row has a prediction of 0 or 1 per class."""
+    done = classify(_tickets(t), "doc_id", "text", "type", models={model: MODELS[model]})
+    sound = is_fitted(done.fitted[model], done.training[model])
+    done.close()
+    whole = (F.size("predicted") == len(done.classes)) & F.forall("predicted", lambda p: p.isin(0, 1))
+    return done.results[model].select(
+        "doc_id",
+        F.array_join(F.col("truth").cast("array<string>"), ",").alias("truth"),
+        (F.lit(sound) & whole).alias("fitted"),
+    )
 
 
-@query("ovr_logistic")
+@query("ovr_logistic", SQL_TEST_ROWS)
 def ovr_logistic(t):
     return _classified(t, "logistic")
 
 
-@query("ovr_gbt")
+@query("ovr_gbt", SQL_TEST_ROWS)
 def ovr_gbt(t):
-    # Ten rounds of the default hundred: each costs one job per tree level and label.
-    return _classified(t, "boosted_trees", trees=10)
+    return _classified(t, "boosted_trees")
 
 
-@query("ovr_svc")
+@query("ovr_svc", SQL_TEST_ROWS)
 def ovr_svc(t):
     return _classified(t, "linear_svc")

@@ -1,15 +1,19 @@
 """Readers and writers."""
 
+import datetime as dt
 import json
 
 import pytest
-from helpers import column
+from helpers import column, plan_text
 from pyspark.sql import functions as F
 
+from civicpulse import fixed_values as fixed
 from civicpulse import schemas
-from civicpulse.operators.ranking import newest_preview, preview
+from civicpulse.operators.filters import TicketFilter
+from civicpulse.operators.ranking import newest_n, newest_preview, preview
+from civicpulse.plans.gold import gold_tickets
 from civicpulse.plans.silver import silver_air, silver_tickets
-from civicpulse.session import shared_folder, spread_few_files, via_table
+from civicpulse.session import shared_folder, via_table
 from civicpulse.sinks.files import (
     UTF8_BOM,
     as_messages,
@@ -45,7 +49,7 @@ def test_csv_parts_round_trip(spark, odd, tmp_path):
 def test_single_file_export(spark, odd, tmp_path, bom):
     path = tmp_path / "new folder" / "out.csv"
     for _ in range(2):  # the second run replaces the first
-        assert export_single_csv(odd.repartition(3), str(path), bom=bom) == "file"
+        export_single_csv(odd.repartition(3), str(path), bom=bom)
     assert path.is_file()
     assert [p.name for p in path.parent.iterdir() if not p.name.startswith(".")] == ["out.csv"]
     assert path.read_bytes().startswith(UTF8_BOM) is bom
@@ -53,14 +57,6 @@ def test_single_file_export(spark, odd, tmp_path, bom):
     assert sorted(column(back, "id", "text")) == list(enumerate(ODD_TEXTS))
 
 
-def test_large_export_stays_a_folder(spark, odd, tmp_path):
-    path = tmp_path / "out.csv"
-    assert export_single_csv(odd.repartition(3), str(path), max_bytes=10) == "folder"
-    assert path.is_dir()
-    back = read_back(spark, str(path), odd.schema)
-    assert sorted(column(back, "id", "text")) == list(enumerate(ODD_TEXTS))
-
-
 def test_missing_files_give_empty_frames(spark, tmp_path):
     gone = str(tmp_path / "gone")
     assert files.read_geography(spark, gone).count() == 0
@@ -159,9 +155,55 @@ def test_via_table_uses_the_named_folder(spark, odd):
     assert all(folder.removeprefix("file:") in f for f in df.inputFiles())
 
 
-def test_only_small_scans_are_shared_out(spark, odd, tmp_path):
-    odd.coalesce(1).write.parquet(str(tmp_path / "one"))
-    odd.repartition(8).write.parquet(str(tmp_path / "many"))
-    one, many = (spark.read.parquet(str(tmp_path / n)) for n in ("one", "many"))
-    assert spread_few_files(one).rdd.getNumPartitions() == 8
-    assert spread_few_files(many) is many
+SILVER_ROWS = [
+    ("1", "2024-01-05 10:00:00", "2024-05-01 00:00:00"),
+    ("2", "2024-02-05 10:00:00", "2024-02-06 00:00:00"),
+    ("3", "2024-03-05 10:00:00", "2024-03-06 00:00:00"),
+    ("4", None, "2024-04-01 00:00:00"),
+]
+
+
+@pytest.fixture
+def by_month(spark, tmp_path):
+    rows = spark.createDataFrame(SILVER_ROWS, "ticket_id string, a string, b string").select(
+        "ticket_id", F.col("a").cast("timestamp").alias("timestamp_dt"),
+        F.col("b").cast("timestamp").alias("last_activity_dt"), F.lit("s").alias("state"),
+    )
+    write_silver(rows, str(tmp_path / "silver"))
+    return spark.read.parquet(str(tmp_path / "silver"))
+
+
+@pytest.mark.parametrize(
+    ("ts", "newest"), [("last_activity_dt", ["1", "4"]), ("timestamp_dt", ["3", "2"])]
+)
+def test_newest_rows_by_either_date(by_month, ts, newest):
+    assert column(newest_n(by_month, 2, ts=ts), "ticket_id") == newest
+
+
+def test_date_filter_prunes_by_its_own_column_only(by_month):
+    chosen = TicketFilter(first_day=dt.date(2024, 2, 1), last_day=dt.date(2024, 3, 31))
+    for kept in (chosen.apply(by_month), chosen.raw(by_month)):
+        assert sorted(column(kept, "ticket_id")) == ["2", "3"]
+        assert "PartitionFilters: [isnotnull(ticket_month" in plan_text(kept)
+
+
+def test_choices_reach_the_scan(spark, tmp_path):
+    path = str(tmp_path / "flat")
+    spark.createDataFrame(
+        [("1", None, "D1", 1.0, 2.0), ("2", "x", "D1", None, 2.0), ("3", "x", None, 1.0, float("nan")), ("4", "x", "D1", 1.0, 2.0)],
+        "ticket_id string, state string, district string, latitude double, longitude double",
+    ).selectExpr("*", "'{a}' AS type", "null AS count_reopen", "timestamp '2024-01-01' AS timestamp_dt",
+                 "timestamp '2024-01-02' AS last_activity_dt", "'o' AS organization").drop("void").withColumn(
+        "count_reopen", F.lit(None).cast("string")).write.parquet(path)
+    label = fixed.UNKNOWN_LABELS["state"]
+    chosen = TicketFilter(states=["x", label], districts=["D1"])
+    gold = gold_tickets(spark.read.parquet(path), chosen=chosen)
+
+    def pushed(df):  # plans show the first few conditions only
+        return plan_text(df).split("PushedFilters: ")[1].split("ReadSchema")[0]
+
+    located = pushed(gold_tickets(spark.read.parquet(path)))
+    assert "IsNotNull(latitude)" in located and "IsNotNull(longitude)" in located
+    assert "IsNull(state)" in pushed(gold) and "EqualTo(district,D1)" in pushed(gold)
+    assert sorted(column(chosen.apply(gold), "ticket_id")) == ["1", "4"]
+    assert chosen.apply(gold_tickets(spark.read.parquet(path))).exceptAll(chosen.apply(gold)).isEmpty()

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from civicpulse.functions import text
 from civicpulse.ml import classifiers, features, labels, metrics
+from civicpulse.ml.evidence import is_fitted
 from civicpulse.plans.classification import classify
 
 
@@ -128,10 +129,25 @@ def complaints(spark):
     ids=["logistic", "svc", "trees"],
 )
 def test_one_vs_rest_learns(complaints, estimator):
-    classes, results = classify(complaints, models={"m": (estimator, 5)})
-    assert classes == ["always", "flood", "road"]
-    assert metrics.f1_scores(results["m"]).first().micro_f1 == 1.0
-    assert results["m"].count() == labels.split(complaints, "ticket_id")[1].count()
+    done = classify(complaints, models={"m": (estimator, 5)})
+    assert done.classes == ["always", "flood", "road"]
+    assert metrics.f1_scores(done.results["m"]).first().micro_f1 == 1.0
+    assert done.results["m"].count() == labels.split(complaints, "ticket_id")[1].count()
+    assert is_fitted(done.fitted["m"], done.training["m"])
+    done.close()
+
+
+def test_a_model_that_was_not_fitted_is_found_out(complaints):
+    lazy = {
+        "logistic": (lambda n: classifiers.logistic(n).setMaxIter(1), 5),
+        "trees": (lambda n: classifiers.boosted_trees(n, trees=3, depth=2, rate=1.0), 5),
+    }
+    done = classify(complaints, models=lazy)
+    assert not is_fitted(done.fitted["logistic"], done.training["logistic"])
+    trees = done.fitted["trees"].models[1]
+    trees.set(trees.maxIter, 100)  # fewer trees than it should have
+    assert not is_fitted(done.fitted["trees"], done.training["trees"])
+    done.close()
 
 
 def test_constant_classes(spark, complaints):
