@@ -1,6 +1,7 @@
 """Token files by a static range asymmetric numeral system (rANS).
 
-One frequency table, counted over all tokens, serves every block. A block holds whole
+Texts are tokenized once, into a table in the shared folder that also holds each task's
+token counts; their sum is the one frequency table that serves every block. A block holds whole
 documents up to a number of tokens and is coded by ``LANES`` interleaved states of 64 bits
 that write 32-bit words to one stream: token i belongs to lane i mod LANES. Every
 ``STRIDE`` rows of lanes a checkpoint keeps the states and the place in the stream, so
@@ -17,10 +18,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from civicpulse.llm.tokens import encoder
+from civicpulse.session import via_table
 
 SCALE = 20
 LANES = 1024
@@ -131,27 +134,46 @@ def decode_block(row: dict, table: Table, lanes: int = LANES, stride: int = STRI
     return np.concatenate(parts) if parts else np.empty(0, np.uint16)
 
 
-def _count(path: str, end_id: int):
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path).encode
-        counts = np.zeros(1 << 16, np.int64)
-        for batch in batches:
-            for text in batch.column(0):
-                counts += 0 if text.as_py() is None else np.bincount(encode(text.as_py()), minlength=1 << 16)
-            counts[end_id] += batch.num_rows
-        seen = np.nonzero(counts)[0]
-        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(counts[seen])], ["token", "n"])
-
-    return count
+TOKENS_SCHEMA = "key long, row long, tokens binary, counts binary"
 
 
-def token_counts(docs: DataFrame, tokenizer_path: str, text_col: str = "text", end_id: int = 0) -> DataFrame:
-    """``(token, n)`` over all texts, the end id of each included."""
-    parts = docs.select(text_col).mapInArrow(_count(tokenizer_path, end_id), "token long, n long")
-    return parts.groupBy("token").agg(F.sum("n").alias("n"))
+def _tokens(path: str, end_id: int):
+    names = [part.split()[0] for part in TOKENS_SCHEMA.split(", ")]
 
-
-def _blocks(path: str, end_id: int, block_tokens: int, table):
+    def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode, pack = encoder(path).encode_batch, zstandard.ZstdCompressor(level=3).compress
+        counts = np.zeros(1 << 16, np.int64)
+        end = np.array([end_id], "<u2")
+        for batch in batches:
+            packed, held = [], [end[:0]]
+            for ids in encode(batch.column(2)):
+                ids = np.concatenate((ids, end))
+                held.append(ids)
+                packed.append(pack(ids.tobytes()))
+            counts += np.bincount(np.concatenate(held), minlength=1 << 16)
+            nothing = pa.nulls(batch.num_rows, pa.binary())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(packed, pa.binary()), nothing], names
+            )
+        # One more row for each task: what it has counted.
+        total = pa.array([pack(counts.astype("<i8").tobytes())], pa.binary())
+        empty = pa.nulls(1, pa.int64())
+        yield pa.RecordBatch.from_arrays([empty, empty, pa.nulls(1, pa.binary()), total], names)
+
+    return tokens
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    unpack = zstandard.ZstdDecompressor().decompress
+    total = np.zeros(1 << 16, np.int64)
+    for batch in batches:
+        for counts in batch.column(0):
+            total += np.frombuffer(unpack(counts.as_py()), "<i8")
+    seen = np.nonzero(total)[0]
+    yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], ["token", "n"])
+
+
+def _blocks(block_tokens: int, table):
     schema = pa.schema(
         [
             ("shard", pa.int32()), ("block", pa.int32()), ("first", pa.int64()), ("n_tokens", pa.int64()),
@@ -163,8 +185,7 @@ def _blocks(path: str, end_id: int, block_tokens: int, table):
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encode, shard = encoder(path).encode, TaskContext.get().partitionId()
-        end = np.array([end_id], np.uint16)
+        unpack, shard = zstandard.ZstdDecompressor().decompress, TaskContext.get().partitionId()
         keys, texts, held, block, first = [], [], 0, 0, 0
 
         def made() -> pa.RecordBatch:
@@ -178,9 +199,9 @@ def _blocks(path: str, end_id: int, block_tokens: int, table):
             return pa.RecordBatch.from_pylist([row], schema)
 
         for batch in batches:
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+            for key, packed in zip(batch.column(0).to_pylist(), batch.column(1)):
                 keys.append(key)
-                texts.append(np.concatenate((encode(text.as_py()), end)))
+                texts.append(np.frombuffer(unpack(packed.as_py()), "<u2"))
                 held += len(texts[-1])
                 if held >= block_tokens:
                     yield made()
@@ -208,18 +229,22 @@ def write_tokens(
     or empty text is the end id alone; no documents leave an empty table of blocks.
     """
     spark = docs.sparkSession
-    counted = token_counts(docs, tokenizer_path, text_col, end_id)
-    counted.coalesce(1).write.parquet(f"{path}/table")
-    table = spark.sparkContext.broadcast(read_table(spark, path))
-    shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(
-        F.col(id_col).cast("long").alias("key"), F.col(text_col).alias("text"),
-        F.monotonically_increasing_id().alias("row"),
+        F.col(id_col).cast("long").alias("key"), F.monotonically_increasing_id().alias("row"),
+        F.col(text_col).alias("text"),
     )
-    ordered = rows.repartitionByRange(shards, "key", "row").sortWithinPartitions("key", "row")
-    made = ordered.select("key", "text").mapInArrow(
-        _blocks(tokenizer_path, end_id, block_tokens, table), BLOCK_SCHEMA
+    tokens = via_table(rows.mapInArrow(_tokens(tokenizer_path, end_id), TOKENS_SCHEMA), "tokens")
+    counted = tokens.where("counts IS NOT NULL").select("counts").mapInArrow(_unpacked, "token long, n long")
+    counted.groupBy("token").agg(F.sum("n").alias("n")).coalesce(1).write.parquet(f"{path}/table")
+    table = spark.sparkContext.broadcast(read_table(spark, path))
+    shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ordered = (
+        tokens.where("counts IS NULL")
+        .select("key", "row", "tokens")
+        .repartitionByRange(shards, "key", "row")
+        .sortWithinPartitions("key", "row")
     )
+    made = ordered.select("key", "tokens").mapInArrow(_blocks(block_tokens, table), BLOCK_SCHEMA)
     made.write.parquet(f"{path}/blocks")
 
 

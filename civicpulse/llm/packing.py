@@ -79,7 +79,7 @@ def _packed(path: str, window: int, end_id: int, batch_tokens: int):
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encode = encoder(path).encode
+        encode = encoder(path).encode_batch
         task, opened = TaskContext.get().partitionId(), OpenWindows(window)
         names = [part.split()[0] for part in PIECES_SCHEMA.split(", ")]
         pieces: list[tuple] = []
@@ -100,8 +100,8 @@ def _packed(path: str, window: int, end_id: int, batch_tokens: int):
             )
 
         for batch in batches:
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = np.append(encode(text.as_py()).astype("<u4"), np.array([end_id], "<u4"))
+            for key, tokens in zip(batch.column(0).to_pylist(), encode(batch.column(1))):
+                ids = np.append(tokens.astype("<u4"), np.array([end_id], "<u4"))
                 for start in range(0, len(ids), window):
                     part = ids[start : start + window]
                     pieces.append((key, start, len(part), part.tobytes(), len(ids)))

@@ -104,7 +104,10 @@ def _build(block_tokens: int):
 def build_index(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_tokens: int = BLOCK_TOKENS
 ) -> DataFrame:
-    """The index of ``docs`` as a table: write it once, search it often.
+    """The index of ``docs`` as a table: write it before the first search, search it often.
+
+    Blocks are numbered by the task that builds them, so an index that is worked out anew
+    for every use would number them differently.
 
     A null text has no words; null and repeated ids stay rows of their own. A
     document longer than ``block_tokens`` words is a block by itself.

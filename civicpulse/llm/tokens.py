@@ -9,17 +9,19 @@ be a boundary go through it whole. Results equal ``encode`` on the whole text.
 from __future__ import annotations
 
 import os
-import re
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-MOST_CUTS = 300_000
-MOST_PIECES = 400_000
-# A blank between white space (or the end) and white space belongs to a longer run.
-_RUN = re.compile(r"\s (?:\s|\Z)")
-# Python counts these as white space, the tokenizers' expressions do not.
-_CONTROL = re.compile("[\x1c-\x1f\x85]")
+MOST_WORDS = 700_000
+MOST_PHRASES = 250_000
+# A blank between white space and white space (or the end) belongs to a longer run; other
+# white space than these few is left to the library, as are characters that Python and
+# the tokenizers' expressions class differently.
+RUN = r"[\t\n\r\f\v ] (?:[\t\n\r\f\v ]|\z)"
+ODD = r"[\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
 
 def _byte_letters() -> dict[int, str]:
@@ -42,94 +44,116 @@ def load_tokenizer(path: str):
     return tokenizer
 
 
-class _Cuts(dict):
-    """Ids of a cut (as bytes), found on first use; emptied when it has grown large."""
-
-    def __init__(self, find):
-        super().__init__()
-        self.find = find
-
-    def __missing__(self, cut: str) -> bytes:
-        if len(self) >= MOST_CUTS:
-            self.clear()
-        self[cut] = ids = self.find(cut)
-        return ids
-
-
 class Encoder:
-    """``encode(text)`` gives the ids of a text as an array of unsigned 16-bit numbers."""
+    """Token ids of whole texts as unsigned 16-bit numbers; words seen before are looked up."""
 
     def __init__(self, path: str):
         self.tokenizer = load_tokenizer(path)
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids beyond 16 bits")
         self.normalizer = self.tokenizer.normalizer
-        self.words_end = self._ends_words()
-        self.pieces: dict[str, bytes] = {}
+        # Whether white space is dropped, so that every word is encoded alone.
+        self.words_end = not self.tokenizer.encode(" ", add_special_tokens=False).ids
         self.lead = "" if self.words_end else " "
-        self.cuts = _Cuts(self._cut)
-
-    def _ends_words(self) -> bool:
-        """Whether white space is dropped, so that every word is encoded alone."""
-        return not self.tokenizer.encode(" ", add_special_tokens=False).ids
+        self.words: dict[str, bytes] = {}  # of letters only, with what leads them
+        self.phrases: dict[str, bytes] = {}  # any other cut, what leads it left out
 
     def _library(self, text: str) -> bytes:
         ids = self.tokenizer.encode(text, add_special_tokens=False).ids
         return np.array(ids, dtype="<u2").tobytes()
 
-    def _piece(self, piece: str) -> bytes:
-        found = self.pieces.get(piece)
+    def _word(self, word: str) -> bytes:
+        """Ids of letters with at most one blank before: by the model where no rule splits them."""
+        found = self.words.get(word)
         if found is None:
-            if len(self.pieces) >= MOST_PIECES:
-                self.pieces.clear()
-            self.pieces[piece] = found = self._merge(piece)
+            if len(self.words) >= MOST_WORDS:
+                self.words.clear()
+            plain = word if self.normalizer is None else self.normalizer.normalize_str(word)
+            if plain.removeprefix(" ").isalpha():
+                letters = plain.encode().decode("latin-1").translate(BYTE_LETTERS)
+                tokens = self.tokenizer.model.tokenize(letters)
+                found = np.array([t.id for t in tokens], dtype="<u2").tobytes()
+            else:
+                found = self._library(word)
+            self.words[word] = found
         return found
 
-    def _merge(self, piece: str) -> bytes:
-        """Ids of one piece: by the model alone where no rule before it could split it."""
-        plain = piece if self.normalizer is None else self.normalizer.normalize_str(piece)
-        word = plain.removeprefix(self.lead)
-        if not word.isalpha():
-            return self._library(piece)
-        letters = plain.encode().decode("latin-1").translate(BYTE_LETTERS)
-        return np.array([t.id for t in self.tokenizer.model.tokenize(letters)], dtype="<u2").tobytes()
-
     def _cut(self, cut: str) -> bytes:
-        """A word, or a word and one closing mark, by pieces; anything else by the library."""
+        """Ids of what stands between two blanks, the first of them included."""
+        if cut.isalpha():
+            return self._word(self.lead + cut)
+        found = self.phrases.get(cut)
+        if found is None:
+            if len(self.phrases) >= MOST_PHRASES:
+                self.phrases.clear()
+            self.phrases[cut] = found = self._phrase(self.lead, cut)
+        return found
+
+    def _phrase(self, lead: str, cut: str) -> bytes:
+        """A word with a closing mark, two parts at a line break, or anything else."""
         if cut.isalpha():
-            return self._piece(self.lead + cut)
+            return self._word(lead + cut)
         if len(cut) > 1 and cut[-1] in ".,;:!?" and cut[:-1].isalpha():
-            return self._piece(self.lead + cut[:-1]) + self._piece(cut[-1])
+            return self._word(lead + cut[:-1]) + self._mark(cut[-1])
         head, line, tail = cut.partition("\n")
         if not self.words_end and line and tail[:1].isalpha() and head and not head[-1].isspace():
             # A line break between two words is a piece of its own.
-            return self.cuts[head] + self._piece("\n") + self._first(tail)
-        return self._library(self.lead + cut)
+            return self._phrase(lead, head) + self._mark("\n") + self._phrase("", tail)
+        return self._library(lead + cut)
 
-    def _first(self, word: str) -> bytes:
-        """A word that no blank precedes."""
-        if word.isalpha():
-            return self._piece(word)
-        if word[-1] in ".,;:!?" and word[:-1].isalpha():
-            return self._piece(word[:-1]) + self._piece(word[-1])
-        return self._library(word)
-
-    def encode(self, text: str | None) -> np.ndarray:
-        """Ids of a whole text; a null text has none."""
-        return np.frombuffer(self._encode(text or ""), dtype="<u2")
+    def _mark(self, mark: str) -> bytes:
+        found = self.phrases.get((mark,))
+        if found is None:
+            self.phrases[(mark,)] = found = self._library(mark)
+        return found
 
-    def _encode(self, text: str) -> bytes:
-        if not text:
-            return b""
+    def encode_batch(self, texts: pa.Array) -> list[np.ndarray]:
+        """Ids of every text of an Arrow array; a null text has none.
+
+        The texts are cut and their cuts numbered by Arrow; each different cut of the
+        batch is looked up once.
+        """
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        whole = pc.match_substring_regex(texts, ODD)
+        if not self.words_end:
+            whole = pc.or_(whole, pc.match_substring_regex(texts, RUN))
+        whole = whole.to_numpy(zero_copy_only=False)
         if self.words_end:
-            if _CONTROL.search(text):
-                return self._library(text)
-            return b"".join(map(self.cuts.__getitem__, text.split()))
-        if _RUN.search(text):
-            return self._library(text)
-        first, *rest = text.split(" ")
-        head = self._library(first) if first else b""
-        return head + b"".join(map(self.cuts.__getitem__, rest))
+            cuts = pc.ascii_split_whitespace(texts)
+        else:
+            cuts = pc.split_pattern(texts, " ")
+        offsets = cuts.offsets.to_numpy()
+        numbered = cuts.values.dictionary_encode()
+        number = numbered.indices.to_numpy(zero_copy_only=False)
+        different = numbered.dictionary.to_numpy(zero_copy_only=False)
+        used = np.zeros(len(different), bool)
+        fast = np.repeat(~whole, np.diff(offsets))
+        first = np.zeros(len(number), bool)
+        if not self.words_end:
+            first[offsets[:-1][np.diff(offsets) > 0]] = True  # no blank precedes these
+        used[number[fast & ~first]] = True
+        ids = np.full(len(different), b"", dtype=object)
+        for at in np.nonzero(used)[0]:
+            cut = different[at]
+            ids[at] = self._cut(cut) if cut else self._phrase(self.lead, "")
+        out = []
+        for at in range(len(texts)):
+            a, b = offsets[at], offsets[at + 1]
+            if whole[at]:
+                found = self._library(texts[at].as_py())
+            elif a == b:
+                found = b""
+            elif self.words_end:
+                found = b"".join(ids[number[a:b]].tolist())
+            else:
+                head = different[number[a]]
+                found = (self._phrase("", head) if head else b"") + b"".join(ids[number[a + 1 : b]].tolist())
+            out.append(np.frombuffer(found, dtype="<u2"))
+        return out
+
+    def encode(self, text: str | None) -> np.ndarray:
+        """Ids of one whole text."""
+        return self.encode_batch(pa.array([text], pa.string()))[0]
 
 
 @lru_cache(maxsize=4)
