@@ -48,7 +48,8 @@ def boosted_trees(
         maxIter=trees,
         maxDepth=depth,
         stepSize=rate,
-        maxBins=256,
+        # Spark's default: term weights are sparse, and the statistics of a level grow with it.
+        maxBins=32,
         seed=42,
         # Room for the statistics of a whole tree level, so a level is one pass.
         maxMemoryInMB=1024,

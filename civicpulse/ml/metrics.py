@@ -49,9 +49,9 @@ def classification_report(
     """``label, precision, recall, f1, support`` per class, then four averages.
 
     One pass over the rows: each adds a cell per class and one, at position -1,
-    with the scores of its own label set. What is kept has a row per class.
+    with the scores of its own label set. The averages reuse the shuffled cells.
     """
-    table = _report_cells(df, truth, predicted).persist()
+    table = _report_cells(df, truth, predicted)
     tp, fp, fn = (F.col(c) for c in ("tp", "fp", "fn"))
     names = F.array(*[F.lit(c) for c in classes])
     precision, recall, f1 = _ratio(tp, tp + fp), _ratio(tp, tp + fn), _f1(tp, fp, fn)

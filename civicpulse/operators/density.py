@@ -19,12 +19,11 @@ def hex_density(
     """Points per hexagon; elevation rescales the counts linearly."""
     east, north = local_metres(F.col("latitude"), F.col("longitude"), origin)
     points = df.select(east.alias("e"), north.alias("n")).dropna()
-    # Cells are bounded by the area covered; kept for the counts and their range.
+    # Their range comes from the same shuffled counts, which the subqueries reuse.
     cells = (
         with_hex_cell(points, F.col("e"), F.col("n"), radius)
         .groupBy("q", "r")
         .agg(F.count("*").alias("n"))
-        .persist()
     )
     low = cells.agg(F.min("n")).scalar()
     high = cells.agg(F.max("n")).scalar()
