@@ -47,7 +47,13 @@ FURNITURE = frozenset([
     "navigation", "menu", "menus", "breadcrumb", "breadcrumbs", "sidebar", "rail", "widget", "widgets",
     "footer", "header", "masthead", "comment", "comments", "disqus", "respond", "replies", "reply", "share",
     "sharing", "social", "related", "recommended", "toolbar", "pagination", "pager", "skip", "form", "search",
+    "adbox", "adslot", "adunit", "adsense", "topnav", "sidenav", "subnav", "mainnav", "topbar", "cookiebar",
+    "infobar", "commentlist", "sidebox", "teaser", "teasers", "paywall",
 ])
+SIDE_ARTICLES = frozenset([
+    "ad", "ads", "advert", "advertisement", "sponsored", "promo", "comment", "related", "teaser",
+])
+ARTICLE_PARTS = frozenset(["article", "post", "entry", "story", "main", "content"])
 ROLES = frozenset([
     "navigation", "banner", "contentinfo", "complementary", "search", "alert", "alertdialog", "dialog",
     "menu", "form",
@@ -93,8 +99,13 @@ def _is_furniture(tag: str, rest: str, within_article: bool) -> bool:
         elif name == "role":
             if value.lower() in ROLES:
                 return True
-        elif name in ("class", "id") and tag not in ("article", "main"):
-            if any(part.lower() in FURNITURE for part in _PART.findall(value)):
+        elif name in ("class", "id"):
+            parts = {part.lower() for part in _PART.findall(value)}
+            if tag in ("article", "main"):
+                if parts & SIDE_ARTICLES and not parts & ARTICLE_PARTS:
+                    return True
+            # A header of or inside the article is the article's own.
+            elif parts & FURNITURE - ({"header"} if within_article or parts & ARTICLE_PARTS else set()):
                 return True
     return False
 
@@ -223,20 +234,11 @@ def _container(root: Node) -> list[Node]:
     """The best container, widened to its article, and siblings that score like it."""
     best = _score(root)
     articles = [n for n in _walk(root) if n.tag in ("article", "main")]
-    if best is None:
-        # Too little text to score: the article if there is one, else the whole page.
-        filled = [n for n in articles if any(_own_text(x)[0] for x in _walk(n))]
-        return filled[:1] or [root]
-    above = best
-    while above is not None:
-        if above.tag == "article":
-            best = above
-            break
-        above = above.parent
-    else:
-        inside = [n for n in articles if n.tag == "article" and n.points > 0]
-        if inside and best.tag in ("body", "html", "main"):
-            best = max(inside, key=lambda n: n.points)
+    filled = [n for n in articles if any(_own_text(x)[0] for x in _walk(n))]
+    if named := [n for n in filled if n.tag == "article"]:
+        best = max(named, key=lambda n: n.points)  # the page says where its article is
+    elif best is None:
+        return filled[:1] or [root]  # too little text to score
     if best.parent is None:
         return [best]
     least = max(10.0, 0.2 * best.points)
