@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -40,7 +42,7 @@ def build_session(app: str = "civicpulse", master: str | None = None, **settings
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach, named by ``spark.checkpoint.dir``.
 
-    Only where a session names none (single-machine tests) is one made.
+    Only where a session names none (single-machine tests) is one made, until Python ends.
     """
     context = spark.sparkContext
     named = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
@@ -49,7 +51,9 @@ def shared_folder(spark: SparkSession) -> str:
         return named
     if not alone:
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    context.setCheckpointDir(tempfile.mkdtemp(prefix="civicpulse-"))
+    folder = tempfile.mkdtemp(prefix="civicpulse-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    context.setCheckpointDir(folder)
     return context.getCheckpointDir()
 
 
