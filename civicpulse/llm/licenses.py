@@ -10,6 +10,7 @@ not also "GNU General Public License". Only interval rows are shuffled, never te
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -87,6 +88,12 @@ def _hits(text: Column, rules: list[Rule]) -> Column:
     return F.filter(held, lambda h: F.size(h["sizes"]) > 0)
 
 
+def _gate(phrases: dict[str, str]) -> str:
+    """``GATE``, widened by a word of every phrase that does not imply it."""
+    more = [max(p.split(), key=len) for p in phrases if not re.search(GATE, p)]
+    return "|".join([GATE, *map(re.escape, more)])
+
+
 def scan_licenses(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -94,7 +101,7 @@ def scan_licenses(
     phrases: dict[str, str] | None = None,
     rules: list[Rule] | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """Documents and detections.
+    """Documents and detections. Rules of one's own have to match texts that pass ``GATE`` only.
 
     Documents, one row per row of ``docs``: ``row, id, n_words, places`` (word and label of
     every phrase). Detections: ``row, start, stop, label, priority`` (characters of the
@@ -106,7 +113,7 @@ def scan_licenses(
     gated = docs.select(
         F.col(id_col).alias("id"),
         F.regexp_count(text, F.lit(WORD_ANY_CASE)).cast("long").alias("n_words"),
-        F.when(text.rlike(GATE), lowered(text)).alias("lower"),
+        F.when(text.rlike(_gate(phrases)), lowered(text)).alias("lower"),
     )
     places = _phrase_places(F.regexp_extract_all("lower", F.lit(WORD), F.lit(0)), phrases)
     none_places, none_hits = "array<struct<word:int,label:string>>", "array<struct<rule:int,gaps:array<int>,sizes:array<int>>>"

@@ -109,3 +109,9 @@ def test_every_rule_is_gated_by_what_it_implies():
     for sample in ("spdx-license-identifier: mit", "mit license", "licensed under gpl", "public domain", "all rights reserved", "creativecommons.org/licenses/by/4.0"):
         assert gate.search(sample)
     assert zlib.crc32(b"") == 0
+
+
+def test_phrases_of_ones_own_pass_the_gate(spark):
+    frame = spark.createDataFrame(TEXTS, "doc_id bigint, text string")
+    docs, _ = scan_licenses(frame, phrases={"notice at all": "none"})
+    assert [(r.id, [p.word for p in r.places]) for r in docs.where("size(places) > 0").collect()] == [(9, [1])]
