@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from civicpulse.llm.fixed_lists import CHAR_CLASSES
+from civicpulse.llm.rowkeys import MARK, key_columns, without
 from civicpulse.llm.textstats import COUNTS_SCHEMA, WORD_LIST, text_counts
 from civicpulse.session import broadcast_within, via_table
 
@@ -167,10 +168,16 @@ def quality_rules(
     ).drop("counts")
 
 
-def keep_by_rules(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` without rejected rows; columns stay as they are."""
-    return (
-        quality_rules(docs, **options)
-        .where("kept")
-        .select(*[F.col(f"c_{c}").alias(c) for c in docs.columns])
-    )
+def keep_by_rules(
+    docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", **options
+) -> DataFrame:
+    """``docs`` without rejected rows; columns stay as they are.
+
+    The verdict hangs on text and language alone, so rows are dropped by these and their id.
+    """
+    names = list(dict.fromkeys([id_col, lang_col]))
+    keyed = docs.select(*key_columns(names, text_col), F.col(text_col).alias("__text"), F.col(lang_col).alias("__lang"))
+    carry = [*[f"key_{n}" for n in names], MARK]
+    judged = quality_rules(keyed, "__text", "__lang", carry, **options)
+    rejected = judged.where("NOT kept").select(*[F.col(f"c_{c}").alias(c) for c in carry])
+    return without(docs, rejected, text_col)

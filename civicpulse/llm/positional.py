@@ -20,9 +20,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from civicpulse.llm.rowkeys import MARK, text_mark, without
 from civicpulse.llm.words import alnum_words
 from civicpulse.session import via_table
 
@@ -117,11 +118,6 @@ def build_index(
     ).mapInArrow(_build(block_tokens), INDEX_SCHEMA)
 
 
-def text_mark(text: Column | str) -> Column:
-    """Hash by which rows of one id but different texts are told apart."""
-    return F.xxhash64(F.col(text) if isinstance(text, str) else text)
-
-
 def windows_of(words: list[bytes], size: int) -> list[list[bytes]]:
     """All runs of ``size`` consecutive words; of a shorter item the whole, of none nothing."""
     if not words:
@@ -351,11 +347,7 @@ def drop_contaminated(
 ) -> DataFrame:
     """``docs`` without rows that hold an exact window of an item; columns stay as they are.
 
-    The verdict hangs on the text alone, so rows are matched by id and text hash.
+    The verdict hangs on the text alone, so rows are dropped by id and text hash.
     """
-    from civicpulse.session import broadcast_within
-
     bad = contamination(docs, items, id_col, text_col, **options).where("n_hit > 0")
-    bad = broadcast_within(via_table(bad.select("key", "mark").distinct(), "contaminated"))
-    same = docs[id_col].cast("long").eqNullSafe(bad["key"]) & (text_mark(docs[text_col]) == bad["mark"])
-    return docs.join(bad, same, "left_anti")
+    return without(docs, bad.select(F.col("key").alias(f"key_{id_col}"), MARK), text_col)

@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from civicpulse.llm.components import components
+from civicpulse.llm.rowkeys import MARK, key_columns, once_each, without
 from civicpulse.llm.words import blank_words
 from civicpulse.session import broadcast_within, via_table
 
@@ -283,13 +284,20 @@ def drop_near_duplicates(
 ) -> DataFrame:
     """``docs`` with one row of each group: that of the smallest id (nulls last).
 
-    Ties between rows of one id go to the first in scan order. Columns stay as they are.
+    Ties between different texts of one id go to the lower text hash, of rows that repeat id
+    and text any one stays. Columns stay as they are.
     """
-    row = "__row"
-    rows = via_table(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
-    groups = near_duplicate_groups(rows, id_col, text_col, keep=[row], **options)
-    kept = groups.groupBy("group").agg(
-        F.min(F.struct(F.col("id").isNull().alias("none"), "id", row))[row].alias(row)
+    keyed = docs.select(*key_columns([id_col], text_col), F.col(id_col), F.col(text_col).alias("__text"))
+    groups = near_duplicate_groups(keyed, id_col, "__text", keep=[MARK], **options)
+    keys = via_table(groups.groupBy("group", "id", MARK).agg(F.count("*").alias("copies")), "keys")
+    first = keys.groupBy("group").agg(
+        F.min(F.struct(F.col("id").isNull().alias("none"), "id", MARK)).alias("first")
     )
-    kept = broadcast_within(via_table(kept.select(row), "kept"))
-    return rows.join(kept, row, "left_semi").drop(row)
+    judged = keys.join(first, "group").withColumn(
+        "stays", F.col("id").eqNullSafe(F.col("first.id")) & (F.col(MARK) == F.col(f"first.{MARK}"))
+    )
+    key = [F.col("id").alias(f"key_{id_col}"), F.col(MARK)]
+    # Rows that repeat id and text are taken out of the main scan and come back once.
+    apart = judged.where("NOT stays OR copies > 1").select(*key)
+    repeated = judged.where("stays AND copies > 1").select(*key)
+    return without(docs, apart, text_col).unionByName(once_each(docs, repeated, text_col))

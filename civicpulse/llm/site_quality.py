@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from civicpulse.llm.divergence import count_texts
 from civicpulse.llm.fixed_lists import CHAR_CLASSES
+from civicpulse.llm.rowkeys import MARK, key_columns, without
 from civicpulse.session import broadcast_within, via_table
 
 
@@ -171,10 +172,25 @@ def classify_quality(
     )
 
 
-def keep_quality(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """``docs`` without rejected rows; columns stay as they are."""
-    return (
-        classify_quality(docs, labels, **options)
-        .where("kept")
-        .select(*[F.col(f"c_{c}").alias(c) for c in docs.columns])
+def keep_quality(
+    docs: DataFrame,
+    labels: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    host_col: str = "source",
+    path_col: str = "lang",
+    **options,
+) -> DataFrame:
+    """``docs`` without rejected rows; columns stay as they are.
+
+    Rows of one id, site and text have one verdict, so they are dropped by these.
+    """
+    names = list(dict.fromkeys([id_col, host_col, path_col]))
+    keyed = docs.select(
+        *key_columns(names, text_col), F.col(text_col).alias("__text"), F.col(id_col).alias("__id"),
+        F.col(host_col).alias("__host"), F.col(path_col).alias("__path"),
     )
+    carry = [*[f"key_{n}" for n in names], MARK]
+    judged = classify_quality(keyed, labels, "__id", "__text", "__host", "__path", carry=carry, **options)
+    rejected = judged.where("NOT kept").select(*[F.col(f"c_{c}").alias(c) for c in carry])
+    return without(docs, rejected, text_col)

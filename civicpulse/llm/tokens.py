@@ -15,8 +15,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-MOST_WORDS = 700_000
-MOST_PHRASES = 250_000
+MOST_WORDS = 550_000
+MOST_PHRASES = 200_000
+# Texts are cut and numbered in slices of so many bytes.
+SLICE_BYTES = 12 << 20
 # A blank between white space and white space (or the end) belongs to a longer run; other
 # white space than these few is left to the library, as are characters that Python and
 # the tokenizers' expressions class differently.
@@ -114,6 +116,14 @@ class Encoder:
         batch is looked up once.
         """
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        lengths = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
+        cuts = np.searchsorted(lengths, np.arange(SLICE_BYTES, lengths[-1] if len(lengths) else 0, SLICE_BYTES))
+        bounds = np.unique([0, *cuts.tolist(), len(texts)]).tolist()
+        return [ids for a, b in zip(bounds, bounds[1:]) for ids in self._encode_slice(texts.slice(a, b - a))]
+
+    def _encode_slice(self, texts: pa.Array) -> list[np.ndarray]:
+        # A copy: Arrow's list offsets of a slice start inside its parent.
+        texts = pa.concat_arrays([texts])
         whole = pc.match_substring_regex(texts, ODD)
         if not self.words_end:
             whole = pc.or_(whole, pc.match_substring_regex(texts, RUN))
