@@ -22,8 +22,14 @@ from civicpulse.session import via_table
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WORD_ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+VERBS = "licensed|released|distributed|available|published|covered"
+GRANTED = rf"(?:{VERBS})(?: \w+){{0,3}} (?:under|by) "
 # A text without any of these holds no notice; every rule's pattern implies one of them.
-GATE = r"(?i)licen|spdx|public ?domain|rights reserved|proprietary|creative ?commons|gnu\.org|copyright"
+GATE = (
+    r"(?i)licen|spdx|public ?domain|rights reserved|proprietary|creative ?commons|gnu\.org|copyright"
+    r"|mit no attribution|zero[ -]clause|mozilla\.org|eclipse\.org|wtfpl\.net|sil\.org|joinup\.ec"
+    rf"|{GRANTED}"
+)
 # Priorities by kind of rule, and the confidence that a detection of it gives.
 TAG, ADDRESS, GRANT, NAME, SHORT = 5, 4, 3, 2, 1
 CONFIDENCE = {TAG: 1.0, ADDRESS: 0.95, GRANT: 0.9, NAME: 0.8, SHORT: 0.5}
@@ -33,21 +39,27 @@ CONFIDENCE = {TAG: 1.0, ADDRESS: 0.95, GRANT: 0.9, NAME: 0.8, SHORT: 0.5}
 class Rule:
     label: str
     regex: str
-    keyword: str
+    keywords: list[str]  # a match holds one of them
     priority: int
 
 
+def _literal_head(regex: str) -> str:
+    """The plain characters that every match of an address starts with."""
+    head = re.match(r"(?:[\w/-]|\\\.)*(?![?*{])", regex)[0]
+    return head.replace("\\.", ".")
+
+
 def signature_rules() -> list[Rule]:
     """All rules in order: a later one of equal priority gives way."""
     rules = []
-    for label, ids, name, short, address, keyword in LICENSES:
+    for label, ids, name, short, address, keywords in LICENSES:
         for spdx in ids:
-            rules.append(Rule(label, rf"spdx-license-identifier:\s{{0,9}}{spdx.replace('.', r'\.')}(?![\w.-])", "spdx", TAG))
-        rules.append(Rule(label, rf"(?:https?://)?(?:www\.)?{address}", ".", ADDRESS))
-        grant = r"(?:licensed|released|distributed|available|published|covered)(?: \w+){0,3} (?:under|by) (?:the )?(?:terms of )?(?:the )?"
-        rules.append(Rule(label, rf"\b{grant}(?:{name}|{short}\b(?! ?[\d-])(?: licen[cs]e)?)", keyword, GRANT))
-        rules.append(Rule(label, rf"\b(?:{name})", keyword, NAME))
-        rules.append(Rule(label, rf"\b(?:{short}) licen[cs]e|\blicen[cs]e:? {{0,4}}(?:{short})(?![\w.-])", keyword, SHORT))
+            rules.append(Rule(label, rf"spdx-license-identifier:\s{{0,9}}{spdx.replace('.', r'\.')}(?![\w.-])", ["spdx"], TAG))
+        rules.append(Rule(label, rf"(?:https?://)?(?:www\.)?{address}", [_literal_head(address)], ADDRESS))
+        grant = rf"{GRANTED}(?:the )?(?:terms of )?(?:the )?"
+        rules.append(Rule(label, rf"\b{grant}(?:{name}|{short}\b(?! ?[\d-])(?: licen[cs]e)?)", keywords, GRANT))
+        rules.append(Rule(label, rf"\b(?:{name})", keywords, NAME))
+        rules.append(Rule(label, rf"\b(?:{short}) licen[cs]e|\blicen[cs]e:? {{0,4}}(?:{short})(?![\w.-])", keywords, SHORT))
     return rules
 
 
@@ -73,8 +85,11 @@ def _phrase_places(words: Column, phrases: dict[str, str]) -> Column:
 
 def _hits(text: Column, rules: list[Rule]) -> Column:
     """Array of (rule, gaps, sizes): lengths of the text between and within its matches."""
+    groups: dict[tuple[str, ...], list[Column]] = {}
+    for i, r in enumerate(rules):
+        groups.setdefault(tuple(r.keywords), []).append(F.struct(F.lit(i).alias("rule"), F.lit(r.regex).alias("regex")))
     table = F.array(
-        *[F.struct(F.lit(i).alias("rule"), F.lit(r.keyword).alias("keyword"), F.lit(r.regex).alias("regex")) for i, r in enumerate(rules)]
+        *[F.struct(F.array(*map(F.lit, words)).alias("keywords"), F.array(*of).alias("rules")) for words, of in groups.items()]
     )
 
     def found(r: Column) -> Column:
@@ -84,13 +99,14 @@ def _hits(text: Column, rules: list[Rule]) -> Column:
             F.transform(F.regexp_extract_all(text, r["regex"], F.lit(0)), F.length).alias("sizes"),
         )
 
-    held = F.transform(F.filter(table, lambda r: F.contains(text, r["keyword"])), found)
-    return F.filter(held, lambda h: F.size(h["sizes"]) > 0)
+    held = F.filter(table, lambda g: F.exists(g["keywords"], lambda word: F.contains(text, word)))
+    tried = F.transform(F.flatten(F.transform(held, lambda g: g["rules"])), found)
+    return F.filter(tried, lambda h: F.size(h["sizes"]) > 0)
 
 
 def _gate(phrases: dict[str, str]) -> str:
-    """``GATE``, widened by a word of every phrase that does not imply it."""
-    more = [max(p.split(), key=len) for p in phrases if not re.search(GATE, p)]
+    """``GATE``, widened by a word of every phrase of which no word implies it."""
+    more = [max(p.split(), key=len) for p in phrases if not any(re.search(GATE, word) for word in p.split())]
     return "|".join([GATE, *map(re.escape, more)])
 
 

@@ -115,3 +115,55 @@ def test_phrases_of_ones_own_pass_the_gate(spark):
     frame = spark.createDataFrame(TEXTS, "doc_id bigint, text string")
     docs, _ = scan_licenses(frame, phrases={"notice at all": "none"})
     assert [(r.id, [p.word for p in r.places]) for r in docs.where("size(places) > 0").collect()] == [(9, [1])]
+
+
+def forms(regex):
+    """Texts that a rule matches: every alternative, optional parts with and without."""
+    import re._parser as parser
+
+    def joined(items):
+        out = [""]
+        for op, arg in items:
+            out = [a + b for a in out for b in form(str(op), arg)]
+        return out
+
+    def form(op, arg):
+        if op == "LITERAL":
+            return [chr(arg)]
+        if op == "IN":
+            return [chr(v) for o, v in arg if str(o) == "LITERAL"] or ["1" if "DIGIT" in str(arg) else " " if "SPACE" in str(arg) and "NOT" not in str(arg) else "x"]
+        if op == "BRANCH":
+            return [text for branch in arg[1] for text in joined(branch)]
+        if op == "SUBPATTERN":
+            return joined(arg[3])
+        if op == "MAX_REPEAT":
+            least, most, inner = arg
+            return [text * n for text in joined(inner) for n in {least, min(int(most), least + 1)}]
+        assert op in ("AT", "ASSERT_NOT"), op
+        return [""]
+
+    return [text for text in joined(parser.parse(regex)) if re.search(regex, text)]
+
+
+def test_every_form_of_every_rule_passes_gate_and_keywords():
+    from civicpulse.llm.licenses import GATE
+
+    gate = re.compile(GATE)
+    for rule in signature_rules():
+        texts = forms(rule.regex)
+        assert texts, rule
+        for text in texts:
+            assert gate.search(text) and any(word in text for word in rule.keywords), (rule, text)
+
+
+def test_notices_without_the_word_license(spark):
+    texts = {
+        "Released under the GPL v3.": "gpl-3.0", "distributed under the terms of the GPL": "gpl", "Available under CC BY-SA 4.0": "cc-by-sa",
+        "Published under MPL 2.0": "mpl-2.0", "http://mozilla.org/MPL/2.0/": "mpl-2.0", "MIT No Attribution": "mit-0",
+        "Common Development and Distribution License": "cddl-1.0", "SIL Open Font License": "ofl-1.1", "license: BSL-1.0": "bsl-1.0",
+        "Eclipse.org/legal/EPL-2.0": "epl-2.0", "released under the\nmoon": "",
+    }
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r.doc_id: r for r in license_report(frame).collect()}
+    for i, label in enumerate(texts.values()):
+        assert label in got[i].labels.split(",") and (got[i].score > 0) == bool(label), got[i]
