@@ -137,11 +137,11 @@ def decode_block(row: dict, table: Table, lanes: int = LANES, stride: int = STRI
 TOKENS_SCHEMA = "key long, row long, tokens binary, counts binary"
 
 
-def _tokens(path: str, end_id: int):
+def _tokens(path: str, end_id: int, names_as_text: bool):
     names = [part.split()[0] for part in TOKENS_SCHEMA.split(", ")]
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, pack = encoder(path).encode_batch, zstandard.ZstdCompressor(level=3).compress
+        encode, pack = encoder(path, names_as_text).encode_batch, zstandard.ZstdCompressor(level=3).compress
         counts = np.zeros(1 << 16, np.int64)
         end = np.array([end_id], "<u2")
         for batch in batches:
@@ -222,6 +222,7 @@ def write_tokens(
     end_id: int = 0,
     shards: int | None = None,
     block_tokens: int = BLOCK_TOKENS,
+    names_as_text: bool = True,
 ) -> None:
     """Write all of ``docs`` as token files below ``path``, in ascending id order.
 
@@ -233,7 +234,7 @@ def write_tokens(
         F.col(id_col).cast("long").alias("key"), F.monotonically_increasing_id().alias("row"),
         F.col(text_col).alias("text"),
     )
-    tokens = via_table(rows.mapInArrow(_tokens(tokenizer_path, end_id), TOKENS_SCHEMA), "tokens")
+    tokens = via_table(rows.mapInArrow(_tokens(tokenizer_path, end_id, names_as_text), TOKENS_SCHEMA), "tokens")
     counted = tokens.where("counts IS NOT NULL").select("counts").mapInArrow(_unpacked, "token long, n long")
     counted.groupBy("token").agg(F.sum("n").alias("n")).coalesce(1).write.parquet(f"{path}/table")
     table = spark.sparkContext.broadcast(read_table(spark, path))

@@ -75,11 +75,11 @@ class OpenWindows:
         return number, self.window - capacity
 
 
-def _packed(path: str, window: int, end_id: int, batch_tokens: int):
+def _packed(path: str, window: int, end_id: int, batch_tokens: int, names_as_text: bool):
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encode = encoder(path).encode_batch
+        encode = encoder(path, names_as_text).encode_batch
         task, opened = TaskContext.get().partitionId(), OpenWindows(window)
         names = [part.split()[0] for part in PIECES_SCHEMA.split(", ")]
         pieces: list[tuple] = []
@@ -124,6 +124,7 @@ def packed_pieces(
     window: int = WINDOW,
     end_id: int = END_ID,
     batch_tokens: int = BATCH_TOKENS,
+    names_as_text: bool = True,
 ) -> DataFrame:
     """``(doc_id, start, length, ids, doc_tokens, sequence_id, offset)``: one row per piece.
 
@@ -132,7 +133,7 @@ def packed_pieces(
     """
     pieces = via_table(
         docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
-            _packed(tokenizer_path, window, end_id, batch_tokens), PIECES_SCHEMA
+            _packed(tokenizer_path, window, end_id, batch_tokens, names_as_text), PIECES_SCHEMA
         ),
         "pieces",
     )

@@ -109,7 +109,7 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op3_rans_token_files")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "tokens")
-    write_tokens(table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"))
+    write_tokens(table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"), names_as_text=False)
     return read_tokens(spark, path).select(
         "doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32")
     )
@@ -117,7 +117,7 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("op9_best_fit_packing")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), names_as_text=False)
 
 
 @_query("op2_html_extraction")

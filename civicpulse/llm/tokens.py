@@ -37,23 +37,31 @@ BYTE_LETTERS = _byte_letters()
 
 
 @lru_cache(maxsize=4)
-def load_tokenizer(path: str):
+def load_tokenizer(path: str, names_as_text: bool = True):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True  # their names in a text are ordinary text
+    if names_as_text:
+        tokenizer.encode_special_tokens = True
     return tokenizer
 
 
 class Encoder:
-    """Token ids of whole texts as unsigned 16-bit numbers; words seen before are looked up."""
+    """Token ids of whole texts as unsigned 16-bit numbers; words seen before are looked up.
 
-    def __init__(self, path: str):
-        self.tokenizer = load_tokenizer(path)
+    Names of special tokens in a text are ordinary text with ``names_as_text``; without it
+    they get their own ids, as the library's defaults have it.
+    """
+
+    def __init__(self, path: str, names_as_text: bool = True):
+        self.tokenizer = load_tokenizer(path, names_as_text)
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids beyond 16 bits")
         self.normalizer = self.tokenizer.normalizer
+        added = [t for t in self.tokenizer.get_added_tokens_decoder().values() if not (names_as_text and t.special)]
+        # A text with such a name goes whole; one found after normalization can stand in any text.
+        self.names = ["" if t.normalized and self.normalizer is not None else t.content for t in added]
         # Whether white space is dropped, so that every word is encoded alone.
         self.words_end = not self.tokenizer.encode(" ", add_special_tokens=False).ids
         self.lead = "" if self.words_end else " "
@@ -125,6 +133,8 @@ class Encoder:
         # A copy: Arrow's list offsets of a slice start inside its parent.
         texts = pa.concat_arrays([texts])
         whole = pc.match_substring_regex(texts, ODD)
+        for name in self.names:
+            whole = pc.or_(whole, pc.match_substring(texts, name))
         if not self.words_end:
             whole = pc.or_(whole, pc.match_substring_regex(texts, RUN))
         whole = whole.to_numpy(zero_copy_only=False)
@@ -167,6 +177,6 @@ class Encoder:
 
 
 @lru_cache(maxsize=4)
-def encoder(path: str) -> Encoder:
+def encoder(path: str, names_as_text: bool = True) -> Encoder:
     """One encoder per worker process and vocabulary: its words stay for later tasks."""
-    return Encoder(path)
+    return Encoder(path, names_as_text)

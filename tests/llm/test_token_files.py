@@ -117,3 +117,30 @@ def test_digest_is_the_checksum_of_the_ids(docs):
     ids = {(r.doc_id, r.start, r.length): zlib.crc32(bytes(r.ids)) for r in packed_pieces(docs, WORDS).collect()}
     for r in pack_documents(docs, WORDS).collect():
         assert ids[r.doc_id, r.start, r.length] == r.ids_crc32
+
+
+@pytest.mark.parametrize("path", [BYTES, WORDS])
+def test_names_of_special_tokens_as_the_untouched_library(path):
+    pick, tokenizer = random.Random(6), Tokenizer.from_file(path)
+    parts = ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|endof", "text|>", " ", "a", " b", "\n", ".", "ß", "|>"]
+    texts = ["a <|endoftext|> b", *("".join(pick.choice(parts) for _ in range(pick.randint(0, 9))) for _ in range(3000))]
+    want = [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert len(want[0]) < 5
+    assert [i.tolist() for i in Encoder(path, names_as_text=False).encode_batch(pa.array(texts))] == want
+
+
+def test_queries_keep_the_ids_of_special_tokens(spark, docs):
+    import corpus_pipeline
+    from civicpulse.llm import queries
+
+    folder = scratch_path(spark, "names")
+    docs.write.parquet(f"{folder}/documents.parquet")
+    for path, end, rows, size in (
+        (BYTES, 0, queries.op3(spark, folder), "n_tokens"), (WORDS, 2, queries.op9(spark, folder), "length"),
+        (WORDS, 2, corpus_pipeline.packing(spark, docs, folder), "length"),
+    ):
+        tokenizer = Tokenizer.from_file(path)
+        (got,) = [r for r in rows.collect() if r.doc_id == 9]
+        text = next(r.text for r in docs.collect() if r.doc_id == 9)
+        ids = tokenizer.encode(text, add_special_tokens=False).ids + [end]
+        assert got[size] == len(ids) and got.ids_crc32 == zlib.crc32(np.array(ids, "<u4").tobytes())
