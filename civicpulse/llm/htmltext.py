@@ -22,7 +22,7 @@ DROPPED = frozenset([
     "svg", "canvas", "math", "button", "select", "option", "textarea", "input", "label", "fieldset", "dialog",
     "menu", "head", "title", "meta", "link", "audio", "video",
 ])
-MOST_DEPTH = 500  # elements nested deeper lie flat at this depth, none is lost
+MOST_DEPTH = 500  # texts nested deeper lie flat at this depth, none is lost
 VOID = frozenset([
     "area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track",
     "wbr",
@@ -54,22 +54,17 @@ SIDE_ARTICLES = frozenset([
     "ad", "ads", "advert", "advertisement", "sponsored", "promo", "comment", "related", "teaser",
 ])
 ARTICLE_PARTS = frozenset(["article", "post", "entry", "story", "main", "content"])
+READ = frozenset(["class", "id", "role", "hidden", "aria-hidden", "style"])
 ROLES = frozenset([
     "navigation", "banner", "contentinfo", "complementary", "search", "alert", "alertdialog", "dialog",
     "menu", "form",
 ])
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>script|style|textarea|title|noscript|template|iframe)\b[^>]{0,4000}+>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]{0,100}+)"
-    r"(?P<rest>(?:[^>\"'<]++|\"[^\"]{0,4000}+\"|'[^']{0,4000}+'|[\"']){0,200}+)>"
-    r"|<[!?/][^>]{0,4000}+>",
-    re.S | re.I,
-)
-_ATTRIBUTE = re.compile(
-    r"(?<![\w-])(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I
-)
+RAW = frozenset(["script", "style", "textarea", "title", "noscript", "template", "iframe"])
+_OPEN = re.compile(r"<(?:(?P<comment>!--)|(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*+)|[!?/])")
+_ATTRIBUTE = re.compile(r"[\s/]*+(=?[^\s/=>]*+)(\s*+=\s*+)?+")
+_PLAIN = re.compile(r"([^\s/=>]++)(?:\s*+=\s*+(?:\"([^\"]*)\"|'([^']*)'|(\S*)))?")
+_BARE = re.compile(r"[^\s>]*+")
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
@@ -83,66 +78,165 @@ class Node:
         self.depth = 0 if parent is None else parent.depth + 1
 
 
-def _is_furniture(tag: str, rest: str, within_article: bool) -> bool:
-    """Whether an element is page furniture by its name, role, class or id."""
+def _is_dropped(tag: str, rest: dict[str, str], within_article: bool) -> bool:
+    """Whether an element is page furniture by its name, or hidden, or by its role."""
     if tag in DROPPED or (tag == "header" and not within_article):
         return True
     if not rest or tag in ("html", "body"):
         return False
-    for name, double, single, bare in _ATTRIBUTE.findall(rest):
-        name, value = name.lower(), double or single or bare
-        if name == "hidden" or (name == "aria-hidden" and value.lower() == "true"):
-            return True
-        if name == "style":
-            if _HIDDEN.search(value):
-                return True
-        elif name == "role":
-            if value.lower() in ROLES:
-                return True
-        elif name in ("class", "id"):
-            parts = {part.lower() for part in _PART.findall(value)}
-            if tag in ("article", "main"):
-                if parts & SIDE_ARTICLES and not parts & ARTICLE_PARTS:
-                    return True
-            # A header of or inside the article is the article's own.
-            elif parts & FURNITURE - ({"header"} if within_article or parts & ARTICLE_PARTS else set()):
+    return (
+        "hidden" in rest
+        or rest.get("aria-hidden", "").lower() == "true"
+        or rest.get("role", "").lower() in ROLES
+        or bool(_HIDDEN.search(rest.get("style", "")))
+    )
+
+
+def _is_suspect(tag: str, rest: dict[str, str], within_article: bool) -> bool:
+    """Whether class or id speak of page furniture."""
+    if tag in ("html", "body"):
+        return False
+    for name in ("class", "id"):
+        value = rest.get(name)
+        if not value:
+            continue
+        words = {part.lower() for part in _PART.findall(value)}
+        if tag in ("article", "main"):
+            if words & SIDE_ARTICLES and not words & ARTICLE_PARTS:
                 return True
+            continue
+        # A header of or inside the article is the article's own.
+        found = words & FURNITURE - ({"header"} if within_article or words & ARTICLE_PARTS else set())
+        if found:
+            return True
     return False
 
 
+def _tokens(page: str):
+    """``(start, stop, tag, closes, attributes, closed)`` of all markup; of comments etc. the tag is None.
+
+    Quoted values end at their quote, however long. Every character is seen a bounded number of
+    times: what has once been sought in vain up to the end is not sought again.
+    """
+    at, size, gone, ran_off = 0, len(page), set(), False
+
+    def find(what: str, start: int) -> int:
+        if what in gone:
+            return -1
+        found = page.find(what, start)
+        if found < 0:
+            gone.add(what)
+        return found
+
+    while opened := _OPEN.search(page, at):
+        start, at = opened.span()
+        if opened["comment"]:
+            stop = find("-->", at)
+            at = size if stop < 0 else stop + 3
+            yield start, at, None, False, {}, False
+            continue
+        tag = opened["tag"]
+        if tag is None or opened["close"]:
+            stop = find(">", at)
+            if stop >= 0:
+                at = stop + 1
+                yield start, at, tag and tag.lower(), True, {}, False
+            continue
+        tag, rest, i, closed = tag.lower(), {}, at, False
+        while not ran_off:
+            part = _ATTRIBUTE.match(page, i)
+            i = part.end()
+            name, value = part[1].lower(), ""
+            if part[2] and i < size:
+                if page[i] in "\"'":
+                    stop = find(page[i], i + 1)
+                    if stop < 0:
+                        ran_off = True
+                        break
+                    value, i = page[i + 1 : stop], stop + 1
+                else:
+                    bare = _BARE.match(page, i)
+                    value, i = bare[0], bare.end()
+            if name:
+                rest.setdefault(name, value)
+            if i >= size:
+                ran_off = True
+            elif page[i] == ">":
+                closed = page[i - 1] == "/" and not value
+                break
+        if ran_off:  # no end outside quotes: from here on the first one counts
+            i = find(">", at)
+            if i < 0:
+                continue
+            closed = page[i - 1] == "/"
+            rest = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _PLAIN.finditer(page[at:i])}
+        at = i + 1
+        if tag in RAW:
+            end = re.compile(rf"</{tag}\s*+>", re.I).search(page, at)
+            at = end.end() if end else size
+            tag = None
+        yield start, at, tag, False, {k: entities.unescape(v) for k, v in rest.items() if k in READ}, closed
+
+
 def parse(page: str) -> Node:
     """The tree of a page; unclosed and stray tags are tolerated."""
     root = Node("html", None)
     here, at, article = root, 0, 0
-    for token in _TOKEN.finditer(page):
-        if token.start() > at:
-            here.children.append(entities.unescape(page[at : token.start()]))
-        at = token.end()
-        tag = token["tag"]
+    # Open elements below the greatest depth: only names, and the place of the first dropped one.
+    deep: list[str] = []
+    skip: int | None = None
+    for start, stop, tag, closes, rest, closed in _tokens(page):
+        if start > at and skip is None:
+            here.children.append(entities.unescape(page[at:start]))
+        at = stop
         if tag is None:
             continue
-        tag = tag.lower()
-        if token["close"]:
+        if closes:
+            place = len(deep) - 1
+            while place >= 0 and deep[place] != tag and (tag in BLOCKS or deep[place] not in BLOCKS):
+                place -= 1
+            if place >= 0:
+                if deep[place] == tag:
+                    del deep[place:]
+                    skip = skip if skip is not None and skip < len(deep) else None
+                continue
             node = here
             while node is not None and node.tag != tag:
                 node = node.parent
             # An inline end tag does not reach across the block it stands in.
             if node is None or node is root or (tag not in BLOCKS and _crosses(here, node)):
                 continue
-            if tag in ("article", "main"):
-                article -= 1
-            here = node.parent
+            deep, skip = [], None
+            while here is not node.parent:
+                article -= here.tag in ("article", "main")
+                here = here.parent
+            continue
+        opens = tag not in VOID and not closed
+        if deep or here.depth >= MOST_DEPTH:
+            if tag in BLOCKS and deep and deep[-1] in ("p", *HEADINGS):
+                deep.pop()
+                skip = skip if skip is not None and skip < len(deep) else None
+            if skip is None:
+                node = Node(tag, here)
+                node.kept = not _is_dropped(tag, rest, article > 0)
+                here.children.append(node)
+                if opens and (not node.kept or _is_suspect(tag, rest, article > 0)):
+                    skip = len(deep)
+            if opens:
+                deep.append(tag)
             continue
-        rest = token["rest"] or ""
         if tag in BLOCKS:
-            here = _after_paragraph(here, tag)
+            inner, here = here, _after_paragraph(here, tag)
+            while inner is not here:
+                article -= inner.tag in ("article", "main")
+                inner = inner.parent
         node = Node(tag, here)
-        node.kept = not _is_furniture(tag, rest, article > 0)
+        node.kept = not (_is_dropped(tag, rest, article > 0) or _is_suspect(tag, rest, article > 0))
         here.children.append(node)
-        if tag not in VOID and not rest.endswith("/") and node.depth < MOST_DEPTH:
+        if opens:
             here = node
             article += tag in ("article", "main")
-    if at < len(page):
+    if at < len(page) and skip is None:
         here.children.append(entities.unescape(page[at:]))
     return root
 

@@ -118,3 +118,29 @@ def test_trees_on_held_out_urls(spark):
     judged = judge_urls(frame.where("page_id % 2 = 1 AND page_id % 3 > 0").unionByName(frame.where("page_id % 8 = 4")), known)
     rated = judged.join(frame.withColumnRenamed("page_id", "id"), "id").collect()
     assert sum((r.verdict == "block") == (r.label == 1) for r in rated) / len(rated) > 0.95
+
+
+ARTICLE = "<p>The text, as such, is here and long enough.</p><p>It goes on, and ends, here.</p>"
+ARTICLE_TEXT = "The text, as such, is here and long enough.\n\nIt goes on, and ends, here."
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        (f"<article><div data-props='{'<p>{},</p>' * 3000}'>{ARTICLE}</div></article>", ARTICLE_TEXT),
+        (f"<article><div data-props=\"{'a > b, ' * 3000}\">{ARTICLE}</div></article>", ARTICLE_TEXT),
+        (f"<article><div {' '.join(f'a{i}=x' for i in range(900))}>{ARTICLE}</div></article>", ARTICLE_TEXT),
+        (f"<article><script data-x='{'y>' * 5000}'>var p = '<p>no</p>';</script><!DOCTYPE {'x' * 9000}>{ARTICLE}</article>", ARTICLE_TEXT),
+        (f"<article>{'<div>' * 600}{ARTICLE}<nav><div>Deep menu</div></nav><p hidden>No.</p>{'</div>' * 600}<p>Last, of all.</p></article>",
+         f"{ARTICLE_TEXT}\n\nLast, of all."),
+    ],
+)
+def test_no_length_or_depth_is_too_much(page, text):
+    assert main_text(page) == text
+
+
+@pytest.mark.parametrize("page", ["<a " + 'x="<a " ' * 50000, "<a x='" + '<a x="' * 50000, "<b>" + "<div>" * 30000 + "</b>" * 30000, "<i" * 50000])
+def test_more_hostile_pages_end_soon(page):
+    start = time.process_time()
+    main_text(page)
+    assert time.process_time() - start < 10
