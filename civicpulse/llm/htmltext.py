@@ -4,7 +4,8 @@ A page becomes a light tree. Paragraphs earn points for their length and commas
 them to their ancestors (all to the parent, half to its parent, less further up); a node's
 points are discounted by the share of its text that is link text. The best container,
 widened to the article around it, is kept, with siblings that score like it. Subtrees that
-are never article text (menus, forms, scripts, notices, comments, ...) are cut before.
+are never article text (menus, forms, scripts, notices, comments, ...) are cut before; those known
+by class or id only, unless they hold the article or most of the page's paragraph text.
 """
 
 from __future__ import annotations
@@ -54,6 +55,13 @@ SIDE_ARTICLES = frozenset([
     "ad", "ads", "advert", "advertisement", "sponsored", "promo", "comment", "related", "teaser",
 ])
 ARTICLE_PARTS = frozenset(["article", "post", "entry", "story", "main", "content"])
+# What follows one of these in a class or id tells of a layout, not what the element is.
+LAYOUT = frozenset(["has", "no", "not", "with", "without", "hide"])
+# Words that stand beside a furniture word in the id of furniture.
+BOXES = frozenset([
+    "list", "box", "area", "section", "wrapper", "wrap", "container", "block", "bar", "links", "buttons", "icons",
+    "left", "right", "top", "bottom", "inner", "slot", "unit", "main", "content", "site", "page",
+])
 READ = frozenset(["class", "id", "role", "hidden", "aria-hidden", "style"])
 ROLES = frozenset([
     "navigation", "banner", "contentinfo", "complementary", "search", "alert", "alertdialog", "dialog",
@@ -70,11 +78,11 @@ _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "kept", "points", "depth")
+    __slots__ = ("tag", "parent", "children", "kept", "suspect", "points", "depth")
 
     def __init__(self, tag: str, parent: Node | None):
         self.tag, self.parent, self.children = tag, parent, []
-        self.kept, self.points = True, 0.0
+        self.kept, self.suspect, self.points = True, False, 0.0
         self.depth = 0 if parent is None else parent.depth + 1
 
 
@@ -92,22 +100,33 @@ def _is_dropped(tag: str, rest: dict[str, str], within_article: bool) -> bool:
     )
 
 
+def _named_words(value: str) -> set[str]:
+    """Words of a class or id; what a name like ``has-sidebar`` or ``with-ads`` says of others is left out."""
+    words = set()
+    for name in value.split():
+        parts = [part.lower() for part in _PART.findall(name)]
+        at = next((i for i, part in enumerate(parts) if part in LAYOUT), len(parts))
+        words.update(parts[:at])
+    return words
+
+
 def _is_suspect(tag: str, rest: dict[str, str], within_article: bool) -> bool:
-    """Whether class or id speak of page furniture."""
+    """Whether class or id speak of page furniture; ``_cut`` judges by what the element holds."""
     if tag in ("html", "body"):
         return False
     for name in ("class", "id"):
         value = rest.get(name)
-        if not value:
+        if not value or (name == "id" and tag in HEADINGS):
             continue
-        words = {part.lower() for part in _PART.findall(value)}
+        words = _named_words(value)
         if tag in ("article", "main"):
             if words & SIDE_ARTICLES and not words & ARTICLE_PARTS:
                 return True
             continue
         # A header of or inside the article is the article's own.
         found = words & FURNITURE - ({"header"} if within_article or words & ARTICLE_PARTS else set())
-        if found:
+        # An id inside the article may be made from a heading's words.
+        if found and (name == "class" or not within_article or words <= FURNITURE | BOXES):
             return True
     return False
 
@@ -231,16 +250,36 @@ def parse(page: str) -> Node:
                 article -= inner.tag in ("article", "main")
                 inner = inner.parent
         node = Node(tag, here)
-        node.kept = not (_is_dropped(tag, rest, article > 0) or _is_suspect(tag, rest, article > 0))
+        node.kept = not _is_dropped(tag, rest, article > 0)
+        node.suspect = _is_suspect(tag, rest, article > 0)
         here.children.append(node)
         if opens:
             here = node
             article += tag in ("article", "main")
     if at < len(page) and skip is None:
         here.children.append(entities.unescape(page[at:]))
+    _cut(root)
     return root
 
 
+def _cut(root: Node) -> None:
+    """Drop suspect elements, but for those with the article or most of the paragraph text inside."""
+    order = [*_walk(root)]
+    if not any(node.suspect for node in order):
+        return
+    size, holds = dict.fromkeys(order, 0), dict.fromkeys(order, False)
+    for node in reversed(order):
+        if node.tag in ("p", "pre", "blockquote"):
+            text, links = _own_text(node)
+            size[node] += max(len(text) - 2 * links, 0)
+        if node.parent is not None:
+            size[node.parent] += size[node]
+            holds[node.parent] |= holds[node] or (node.tag in ("article", "main") and not node.suspect)
+    for node in order:
+        if node.suspect and not holds[node] and 2 * size[node] <= size[root]:
+            node.kept = False
+
+
 def _crosses(here: Node, outer: Node) -> bool:
     while here is not outer:
         if here.tag in BLOCKS:

@@ -144,3 +144,19 @@ def test_more_hostile_pages_end_soon(page):
     start = time.process_time()
     main_text(page)
     assert time.process_time() - start < 10
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        (f'<body><div class="content has-sidebar">{ARTICLE}</div></body>', ARTICLE_TEXT),
+        (f'<body><div id="page" class="no-comments"><article>{ARTICLE}</article></div></body>', ARTICLE_TEXT),
+        (f'<body><div class="content-with-sidebar">{ARTICLE}</div><div class="sidebar"><p>Side, text.</p></div></body>', ARTICLE_TEXT),
+        (f'<body><div class="sidebar-page"><article>{ARTICLE}</article></div></body>', ARTICLE_TEXT),
+        (f'<article><h2 id="related-work">Related</h2>{ARTICLE}<section id="search-and-retrieval"><h3 id="social-impact">Impact</h3>'
+         '<p>Of it.</p></section><section id="comments"><p>A reader, too.</p></section></article>',
+         f"Related\n\n{ARTICLE_TEXT}\n\nImpact\n\nOf it."),
+    ],
+)
+def test_names_alone_do_not_cut_the_article(page, text):
+    assert main_text(page) == text
