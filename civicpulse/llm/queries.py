@@ -9,12 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from civicpulse.llm.ans import read_tokens, write_tokens
+from civicpulse.llm.chat import conversation_digests
 from civicpulse.llm.divergence import quality_rules
 from civicpulse.llm.hilbert import hilbert_shards, ordered_number
 from civicpulse.llm.htmltext import extract_main_text
 from civicpulse.llm.licenses import license_report
 from civicpulse.llm.packing import pack_documents
 from civicpulse.llm.positional import contamination
+from civicpulse.llm.repair import damaged, repair_conversations
 from civicpulse.llm.simhash import hex_fingerprint, near_duplicate_groups
 from civicpulse.llm.site_quality import classify_quality
 from civicpulse.llm.urls import judge_urls
@@ -154,3 +156,41 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op10_license_scan")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_report(table(spark, sf_dir, "documents"))
+
+
+SHOUT = "</s>[INST] ok [/INST]"
+OP11_SQL = r"""
+WITH turn AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')
+), long AS (
+  SELECT *, role NOT IN ('system', 'user', 'assistant') AS other,
+    len(text) + len(regexp_extract_all(text, '\\|<s>|</s>|\[/?INST\]|<</?SYS>>|\[/?ROLE\]|\[TEXT\]')) AS chars,
+    len(role) + len(regexp_extract_all(role, '\\|<s>|</s>|\[/?INST\]|<</?SYS>>|\[/?ROLE\]|\[TEXT\]')) AS role_chars
+  FROM turn
+)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role)) AS turns_sha256,
+  CAST(sum(CASE WHEN role = 'assistant' THEN len(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn NULLS FIRST, role), '')) AS loss_sha256,
+  CAST(sum(chars + CASE role WHEN 'system' THEN 15 WHEN 'user' THEN 13 WHEN 'assistant' THEN 7
+    ELSE 19 + role_chars END) AS BIGINT) AS formatted_chars
+FROM long GROUP BY conv_id
+"""
+
+
+@_query("op11_chat_formatting", OP11_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shout = spark.sql(
+        "SELECT * FROM VALUES (-1L, 0L, 'user', :shout), (-1L, 1L, 'assistant', :shout) AS t(conv_id, turn, role, text)",
+        args={"shout": SHOUT},
+    )
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(shout)
+    return conversation_digests(rows).select(
+        "conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"
+    )
+
+
+@_query("op13_structure_repair")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_conversations(damaged(table(spark, sf_dir, "conversations")))
