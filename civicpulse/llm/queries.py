@@ -19,6 +19,7 @@ from civicpulse.llm.positional import contamination
 from civicpulse.llm.repair import damaged, repair_conversations
 from civicpulse.llm.simhash import hex_fingerprint, near_duplicate_groups
 from civicpulse.llm.site_quality import classify_quality
+from civicpulse.llm.sourceaudit import source_audit
 from civicpulse.llm.urls import judge_urls
 from civicpulse.session import scratch_path
 
@@ -191,6 +192,47 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+OP12_SQL = r"""
+WITH doc AS (
+  SELECT row_number() OVER () AS d, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w
+  FROM documents
+), token AS (SELECT d, lang, source, unnest(w) AS term FROM doc
+), kept AS (SELECT lang, term, count(*) AS total FROM token GROUP BY lang, term HAVING count(DISTINCT d) >= 3
+), size AS (SELECT lang, count(*) AS v, sum(total) AS n FROM kept GROUP BY lang
+), part AS (SELECT DISTINCT lang, source FROM doc
+), held AS (
+  SELECT lang, source, term, count(*) AS c FROM token JOIN kept USING (lang, term) GROUP BY ALL
+), sums AS (SELECT lang, source, sum(c) AS n FROM held GROUP BY ALL
+), grid AS (
+  SELECT part.lang, part.source, kept.term, coalesce(c, 0) AS c,
+    1 + (1000000000::HUGEINT * (coalesce(c, 0) + 1)) // (coalesce(sums.n, 0) + v) AS p,
+    1 + (1000000000::HUGEINT * (total + 1)) // (size.n + v) AS q
+  FROM part JOIN size USING (lang) JOIN kept USING (lang)
+  LEFT JOIN sums ON sums.lang = part.lang AND sums.source = part.source
+  LEFT JOIN held ON held.lang = part.lang AND held.source = part.source AND held.term = kept.term
+), pair AS (
+  SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+  FROM grid a JOIN grid b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+), found AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value
+  FROM part a JOIN part b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN pair ON pair.lang = a.lang AND pair.source = a.source AND pair.item = b.source
+  UNION ALL
+  SELECT lang, source, 'term', term, (p - q) * (p - q) // q FROM grid WHERE c > 0 AND p > q
+)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM found
+) WHERE part = 'pair' OR rank <= 200
+"""
+
+
+@_query("op12_source_audit", OP12_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_audit(table(spark, sf_dir, "documents"))
+
+
 @_query("op13_structure_repair")
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair_conversations(damaged(table(spark, sf_dir, "conversations")))
