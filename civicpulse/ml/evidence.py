@@ -14,13 +14,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from civicpulse.ml.classifiers import MultiLabelModel
+from civicpulse.ml.linear import LinearModel
+from civicpulse.ml.trees import TreesModel
 
 # A quasi-Newton run stops on small relative gains; its gradient is then this small.
 GRADIENT_WITHIN = 1e-2
 
 
-def is_fitted(model: MultiLabelModel, training: DataFrame) -> bool:
+def is_fitted(model: MultiLabelModel | LinearModel | TreesModel, training: DataFrame) -> bool:
     """Whether every class's model passes the test of its kind; constants pass."""
+    if isinstance(model, LinearModel):
+        return bool((model.gradient <= model.settings.tolerance * model.start).all())
+    if isinstance(model, TreesModel):
+        whole = len(model.losses) in (0, model.settings.trees + 1)
+        return whole and bool((model.losses[1:] <= model.losses[:-1] + 1e-9).all())
     tests = {
         LogisticRegressionModel: _is_stationary,
         LinearSVCModel: _separates,

@@ -10,35 +10,37 @@ from pyspark.sql import DataFrame
 
 from civicpulse import fixed_values as fixed
 from civicpulse.functions.text import Tokenizer, words
-from civicpulse.ml.classifiers import (
-    MultiLabelModel,
-    boosted_trees,
-    fit_one_vs_rest,
-    linear_svc,
-    logistic,
-)
+from civicpulse.ml.classifiers import MultiLabelModel, fit_one_vs_rest
 from civicpulse.ml.features import fit_tfidf, with_tokens
 from civicpulse.ml.labels import binarize, label_classes, labelled, split
+from civicpulse.ml.linear import Linear, LinearModel, linear_svc, logistic
+from civicpulse.ml.trees import BoostedTrees, TreesModel, boosted_trees
 from civicpulse.session import shared_folder, via_table
 
-# Model name -> (estimator for n rows, least document count of a term).
-MODELS: dict[str, tuple[Callable[[int], Estimator], int]] = {
-    "logistic": (logistic, fixed.MIN_DF),
-    "boosted_trees": (boosted_trees, fixed.MIN_DF),
-    "linear_svc": (linear_svc, 1),
+# What fits all classes in one go, or one estimator per class, given the number of rows.
+Fit = Linear | BoostedTrees | Callable[[int], Estimator]
+Fitted = LinearModel | TreesModel | MultiLabelModel
+
+# Model name -> (what fits it, least document count of a term).
+MODELS: dict[str, tuple[Fit, int]] = {
+    "logistic": (logistic(), fixed.MIN_DF),
+    "boosted_trees": (boosted_trees(), fixed.MIN_DF),
+    "linear_svc": (linear_svc(), 1),
 }
 
 
 @dataclass(frozen=True)
 class Classified:
-    """Classes, per model the test rows ``(key, truth, predicted)``, and what was fitted on what.
+    """Classes, per model the test rows, and what was fitted on what.
+
+    Test rows are ``(key, truth, predicted)``, with ``scores`` where the model has them.
 
     Feature rows stay cached until :meth:`close`; results are tables of their own.
     """
 
     classes: list[str]
     results: dict[str, DataFrame]
-    fitted: dict[str, MultiLabelModel]
+    fitted: dict[str, Fitted]
     training: dict[str, DataFrame]
     _cached: list[DataFrame]
 
@@ -52,11 +54,11 @@ def classify(
     key: str = "ticket_id",
     text: str = "comment",
     labels: str = "type",
-    models: Mapping[str, tuple[Callable[[int], Estimator], int]] = MODELS,
+    models: Mapping[str, tuple[Fit, int]] = MODELS,
     tokenizer: Tokenizer = words,
 ) -> Classified:
     """Train and score; texts are tokenized once, features made once per vocabulary setting."""
-    shared_folder(tickets.sparkSession)  # boosted trees cut their lineage there
+    shared_folder(tickets.sparkSession)  # Spark's own trees cut their lineage there
     rows = with_tokens(labelled(tickets.select(key, text, labels), text, labels), text, tokenizer)
     classes = label_classes(rows)
     train, test = split(rows, key)
@@ -71,9 +73,13 @@ def classify(
             )
             cached.append(features[min_df][0])
         training[name], test_rows = features[min_df]
-        fitted[name] = fit_one_vs_rest(training[name], classes, estimator)
+        if isinstance(estimator, Linear | BoostedTrees):
+            fitted[name] = estimator.fit(training[name], classes)
+        else:
+            fitted[name] = fit_one_vs_rest(training[name], classes, estimator)
         scored = fitted[name].transform(test_rows)
+        scores = [c for c in ("scores",) if c in scored.columns]
         results[name] = via_table(
-            scored.select(key, binarize(classes).alias("truth"), "predicted"), "scored"
+            scored.select(key, binarize(classes).alias("truth"), "predicted", *scores), "scored"
         )
     return Classified(classes, results, fitted, training, cached)
