@@ -9,14 +9,16 @@ be a boundary go through it whole. Results equal ``encode`` on the whole text.
 from __future__ import annotations
 
 import os
+from array import array
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-MOST_WORDS = 550_000
-MOST_PHRASES = 200_000
+# Words and phrases a worker keeps of each of two generations.
+MOST_WORDS = 220_000
+MOST_PHRASES = 100_000
 # Texts are cut and numbered in slices of so many bytes.
 SLICE_BYTES = 12 << 20
 # A blank between white space and white space (or the end) belongs to a longer run; other
@@ -37,74 +39,112 @@ BYTE_LETTERS = _byte_letters()
 
 
 @lru_cache(maxsize=4)
-def load_tokenizer(path: str, names_as_text: bool = True):
+def load_tokenizer(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(path)
-    if names_as_text:
-        tokenizer.encode_special_tokens = True
-    return tokenizer
+    return Tokenizer.from_file(path)
+
+
+LATIN = [c for c in map(chr, range(256)) if c.isalpha() and c not in "ªµº"]
+
+
+def _lowers(normalizer) -> bool:
+    """Whether words of Latin letters are lower-cased and no more."""
+    words = ["".join(LATIN), "".join(reversed(LATIN)), *LATIN]
+    return all(normalizer.normalize_str(w) == w.lower() for w in words)
+
+
+class _Remembered:
+    """Two generations of found values: what neither has used is forgotten when the newer is full."""
+
+    def __init__(self, most: int):
+        self.most, self.new, self.old = most, {}, {}
+
+    def get(self, key):
+        found = self.new.get(key)
+        if found is None:
+            found = self.old.get(key)
+            if found is not None:
+                self.put(key, found)
+        return found
+
+    def put(self, key, value: bytes) -> None:
+        if len(self.new) >= self.most:
+            self.old, self.new = self.new, {}
+        self.new[key] = value
 
 
 class Encoder:
     """Token ids of whole texts as unsigned 16-bit numbers; words seen before are looked up.
 
-    Names of special tokens in a text are ordinary text with ``names_as_text``; without it
-    they get their own ids, as the library's defaults have it.
+    Names of special tokens in a text get their own ids, as the library's defaults have it.
+    Vocabularies of more than 65,536 ids are refused.
     """
 
-    def __init__(self, path: str, names_as_text: bool = True):
-        self.tokenizer = load_tokenizer(path, names_as_text)
+    def __init__(self, path: str):
+        self.tokenizer = load_tokenizer(path)
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids beyond 16 bits")
         self.normalizer = self.tokenizer.normalizer
-        added = [t for t in self.tokenizer.get_added_tokens_decoder().values() if not (names_as_text and t.special)]
+        self.lowers = self.normalizer is not None and _lowers(self.normalizer)
+        added = self.tokenizer.get_added_tokens_decoder().values()
         # A text with such a name goes whole; one found after normalization can stand in any text.
         self.names = ["" if t.normalized and self.normalizer is not None else t.content for t in added]
         # Whether white space is dropped, so that every word is encoded alone.
         self.words_end = not self.tokenizer.encode(" ", add_special_tokens=False).ids
         self.lead = "" if self.words_end else " "
-        self.words: dict[str, bytes] = {}  # of letters only, with what leads them
-        self.phrases: dict[str, bytes] = {}  # any other cut, what leads it left out
+        self.words = _Remembered(MOST_WORDS)  # of letters only, with what leads them
+        self.phrases = _Remembered(MOST_PHRASES)  # any other cut, what leads it left out
 
     def _library(self, text: str) -> bytes:
-        ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-        return np.array(ids, dtype="<u2").tobytes()
+        return array("H", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def _word(self, word: str) -> bytes:
-        """Ids of letters with at most one blank before: by the model where no rule splits them."""
+    def _letters(self, word: str) -> str | None:
+        """The word as the model sees it; None if normalizing leaves anything but letters."""
+        if self.normalizer is not None:
+            if self.lowers and (word.isascii() or max(word) <= "ÿ"):
+                word = word.lower()
+            else:
+                word = self.normalizer.normalize_str(word)
+        if not word.removeprefix(" ").isalpha():
+            return None
+        if word.isascii():
+            return word.replace(" ", BYTE_LETTERS[32])
+        return word.encode().decode("latin-1").translate(BYTE_LETTERS)
+
+    def _word(self, word: str) -> bytes | None:
+        """Ids of letters with at most one blank before; None if they are no longer letters when normalized."""
         found = self.words.get(word)
         if found is None:
-            if len(self.words) >= MOST_WORDS:
-                self.words.clear()
-            plain = word if self.normalizer is None else self.normalizer.normalize_str(word)
-            if plain.removeprefix(" ").isalpha():
-                letters = plain.encode().decode("latin-1").translate(BYTE_LETTERS)
-                tokens = self.tokenizer.model.tokenize(letters)
-                found = np.array([t.id for t in tokens], dtype="<u2").tobytes()
-            else:
-                found = self._library(word)
-            self.words[word] = found
+            letters = self._letters(word)
+            if letters is None:
+                return None
+            found = array("H", [t.id for t in self.tokenizer.model.tokenize(letters)]).tobytes()
+            self.words.put(word, found)
         return found
 
     def _cut(self, cut: str) -> bytes:
         """Ids of what stands between two blanks, the first of them included."""
         if cut.isalpha():
-            return self._word(self.lead + cut)
+            found = self._word(self.lead + cut)
+            if found is not None:
+                return found
         found = self.phrases.get(cut)
         if found is None:
-            if len(self.phrases) >= MOST_PHRASES:
-                self.phrases.clear()
-            self.phrases[cut] = found = self._phrase(self.lead, cut)
+            found = self._phrase(self.lead, cut)
+            self.phrases.put(cut, found)
         return found
 
     def _phrase(self, lead: str, cut: str) -> bytes:
         """A word with a closing mark, two parts at a line break, or anything else."""
         if cut.isalpha():
-            return self._word(lead + cut)
+            found = self._word(lead + cut)
+            return self._library(lead + cut) if found is None else found
         if len(cut) > 1 and cut[-1] in ".,;:!?" and cut[:-1].isalpha():
-            return self._word(lead + cut[:-1]) + self._mark(cut[-1])
+            found = self._word(lead + cut[:-1])
+            # Where the word ends in a mark once normalized, both marks are one piece.
+            return self._library(lead + cut) if found is None else found + self._mark(cut[-1])
         head, line, tail = cut.partition("\n")
         if not self.words_end and line and tail[:1].isalpha() and head and not head[-1].isspace():
             # A line break between two words is a piece of its own.
@@ -114,7 +154,8 @@ class Encoder:
     def _mark(self, mark: str) -> bytes:
         found = self.phrases.get((mark,))
         if found is None:
-            self.phrases[(mark,)] = found = self._library(mark)
+            found = self._library(mark)
+            self.phrases.put((mark,), found)
         return found
 
     def encode_batch(self, texts: pa.Array) -> list[np.ndarray]:
@@ -177,6 +218,6 @@ class Encoder:
 
 
 @lru_cache(maxsize=4)
-def encoder(path: str, names_as_text: bool = True) -> Encoder:
+def encoder(path: str) -> Encoder:
     """One encoder per worker process and vocabulary: its words stay for later tasks."""
-    return Encoder(path, names_as_text)
+    return Encoder(path)

@@ -1,6 +1,7 @@
 """Token ids, rANS files and packing against the plain library."""
 
 import random
+import unicodedata
 import zlib
 
 import numpy as np
@@ -9,6 +10,7 @@ import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
+from civicpulse.llm import tokens
 from civicpulse.llm.ans import Table, decode_block, decode_segment, encode_block, read_tokens, write_tokens
 from civicpulse.llm.packing import OpenWindows, pack_documents, packed_pieces
 from civicpulse.llm.tokens import Encoder
@@ -20,7 +22,6 @@ WORDS = public_tokenizers.path("word_bpe_49k.json")
 
 def plain(path):
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
     return lambda text: tokenizer.encode(text or "", add_special_tokens=False).ids
 
 
@@ -33,21 +34,43 @@ def test_encoder_equals_the_library(path):
     assert [i.tolist() for i in Encoder(path).encode_batch(pa.array(texts))] == [encode(t) for t in texts]
 
 
+@pytest.mark.parametrize("path", [BYTES, WORDS])
+def test_every_character_beside_words_and_marks(path):
+    """Letters may normalize to something else: each assigned character, before and after letters and marks."""
+    encode, encoder = plain(path), Encoder(path)
+    chars = [chr(c) for c in range(0x11_0000) if unicodedata.category(chr(c)) not in ("Cn", "Cs", "Co")]
+    letters = [c for c in chars if c.isalpha() and c < "\u3400"]
+    shapes = [[f"a {c}. {c}b, x{c}\n{c} {c}{c}!" for c in letters], ["".join(chars[i : i + 40]) for i in range(0, len(chars), 40)]]
+    shapes.append(["SAHİBİ.", "İKİ, ÜÇ", "x İ.", "ΟΔΟΣ. ΣΑΣ", "ﬁne, ǅ! ẞ? ŉ. ΐ;", "e\u0301. É́!"])
+    for texts in shapes:
+        assert [i.tolist() for i in encoder.encode_batch(pa.array(texts))] == [encode(t) for t in texts]
+
+
+def test_small_caches_change_nothing(monkeypatch):
+    monkeypatch.setattr(tokens, "MOST_WORDS", 5)
+    monkeypatch.setattr(tokens, "MOST_PHRASES", 3)
+    texts = [f"word{chr(97 + i % 26)} other, lines\nof {chr(97 + i % 11)}b." for i in range(300)]
+    for path in (BYTES, WORDS):
+        encode, encoder = plain(path), Encoder(path)
+        assert [i.tolist() for i in encoder.encode_batch(pa.array(texts))] == [encode(t) for t in texts]
+        assert len(encoder.words.new) <= 5 and len(encoder.phrases.old) <= 3
+
+
 @pytest.mark.parametrize("size", [0, 1, 7, 1024, 5000])
 def test_blocks_round_trip_by_segment(size):
     rng = np.random.default_rng(size)
-    tokens = np.minimum(rng.zipf(1.3, size), 60_000).astype(np.uint16)
-    symbols, counts = np.unique(tokens, return_counts=True)
+    numbers = np.minimum(rng.zipf(1.3, size), 60_000).astype(np.uint16)
+    symbols, counts = np.unique(numbers, return_counts=True)
     table = Table(dict(zip(symbols.tolist(), counts.tolist())))
-    stream, states, places, checksums = encode_block(tokens, table, lanes=16, stride=8)
+    stream, states, places, checksums = encode_block(numbers, table, lanes=16, stride=8)
     row = {"n_tokens": size, "stream": stream, "states": states, "places": places, "checksums": checksums}
-    assert (decode_block(row, table, 16, 8) == tokens).all()
+    assert (decode_block(row, table, 16, 8) == numbers).all()
     if len(places) > 2:  # one segment alone
         part = decode_segment(
             2, size, np.frombuffer(stream, "<u4").astype(np.uint64),
             np.frombuffer(states, "<u8").reshape(-1, 16), places[2], checksums[2], table, 16, 8,
         )
-        assert (part == tokens[256:384]).all()
+        assert (part == numbers[256:384]).all()
         with pytest.raises(ValueError):
             decode_block(row | {"checksums": [c ^ 1 for c in checksums]}, table, 16, 8)
 
@@ -126,7 +149,7 @@ def test_names_of_special_tokens_as_the_untouched_library(path):
     texts = ["a <|endoftext|> b", *("".join(pick.choice(parts) for _ in range(pick.randint(0, 9))) for _ in range(3000))]
     want = [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
     assert len(want[0]) < 5
-    assert [i.tolist() for i in Encoder(path, names_as_text=False).encode_batch(pa.array(texts))] == want
+    assert [i.tolist() for i in Encoder(path).encode_batch(pa.array(texts))] == want
 
 
 def test_queries_keep_the_ids_of_special_tokens(spark, docs):
