@@ -16,15 +16,16 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-# Words and phrases a worker keeps of each of two generations.
-MOST_WORDS = 220_000
-MOST_PHRASES = 100_000
+# Words of which a worker begins a new generation; it keeps two.
+MOST_WORDS = 350_000
 # Texts are cut and numbered in slices of so many bytes.
-SLICE_BYTES = 12 << 20
+SLICE_BYTES = 6 << 20
 # A blank between white space and white space (or the end) belongs to a longer run; other
 # white space than these few is left to the library, as are characters that Python and
 # the tokenizers' expressions class differently.
 RUN = r"[\t\n\r\f\v ] (?:[\t\n\r\f\v ]|\z)"
+# Marks that follow a word as a piece of their own; an apostrophe may belong to a suffix.
+MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 ODD = r"[\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
 
@@ -55,26 +56,6 @@ def _lowers(normalizer) -> bool:
     return all(normalizer.normalize_str(w) == w.lower() for w in words)
 
 
-class _Remembered:
-    """Two generations of found values: what neither has used is forgotten when the newer is full."""
-
-    def __init__(self, most: int):
-        self.most, self.new, self.old = most, {}, {}
-
-    def get(self, key):
-        found = self.new.get(key)
-        if found is None:
-            found = self.old.get(key)
-            if found is not None:
-                self.put(key, found)
-        return found
-
-    def put(self, key, value: bytes) -> None:
-        if len(self.new) >= self.most:
-            self.old, self.new = self.new, {}
-        self.new[key] = value
-
-
 class Encoder:
     """Token ids of whole texts as unsigned 16-bit numbers; words seen before are looked up.
 
@@ -86,7 +67,7 @@ class Encoder:
         self.tokenizer = load_tokenizer(path)
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids beyond 16 bits")
-        self.normalizer = self.tokenizer.normalizer
+        self.model, self.normalizer = self.tokenizer.model, self.tokenizer.normalizer
         self.lowers = self.normalizer is not None and _lowers(self.normalizer)
         added = self.tokenizer.get_added_tokens_decoder().values()
         # A text with such a name goes whole; one found after normalization can stand in any text.
@@ -94,8 +75,11 @@ class Encoder:
         # Whether white space is dropped, so that every word is encoded alone.
         self.words_end = not self.tokenizer.encode(" ", add_special_tokens=False).ids
         self.lead = "" if self.words_end else " "
-        self.words = _Remembered(MOST_WORDS)  # of letters only, with what leads them
-        self.phrases = _Remembered(MOST_PHRASES)  # any other cut, what leads it left out
+        # Ids of words and marks, with what leads them: those met since the last turn of a
+        # generation, and those before. What neither has used is forgotten. Words with marks
+        # or line breaks are put together from these; kept as they are they would fill both.
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def _library(self, text: str) -> bytes:
         return array("H", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
@@ -115,47 +99,55 @@ class Encoder:
 
     def _word(self, word: str) -> bytes | None:
         """Ids of letters with at most one blank before; None if they are no longer letters when normalized."""
-        found = self.words.get(word)
+        found = self.new.get(word) or self.old.get(word)
         if found is None:
             letters = self._letters(word)
             if letters is None:
                 return None
-            found = array("H", [t.id for t in self.tokenizer.model.tokenize(letters)]).tobytes()
-            self.words.put(word, found)
+            found = array("H", [t.id for t in self.model.tokenize(letters)]).tobytes()
+        self.new[word] = found
         return found
 
-    def _cut(self, cut: str) -> bytes:
-        """Ids of what stands between two blanks, the first of them included."""
-        if cut.isalpha():
-            found = self._word(self.lead + cut)
-            if found is not None:
-                return found
-        found = self.phrases.get(cut)
-        if found is None:
-            found = self._phrase(self.lead, cut)
-            self.phrases.put(cut, found)
-        return found
+    def _look_up(self, cuts: list[str]) -> list[bytes]:
+        """Ids of what stands between blanks, the first of them included."""
+        if self.lead:
+            cuts = [self.lead + cut for cut in cuts]
+        if len(self.new) >= MOST_WORDS:
+            self.old, self.new = self.new, {}
+        new, old = self.new, self.old
+        out = list(map(new.get, cuts))
+        for at, found in enumerate(out):
+            if found is None:
+                found = old.get(cuts[at])
+                if found is None:
+                    found = self._fresh(cuts[at])
+                else:
+                    new[cuts[at]] = found
+                out[at] = found
+        return out
 
-    def _phrase(self, lead: str, cut: str) -> bytes:
-        """A word with a closing mark, two parts at a line break, or anything else."""
-        if cut.isalpha():
-            found = self._word(lead + cut)
-            return self._library(lead + cut) if found is None else found
-        if len(cut) > 1 and cut[-1] in ".,;:!?" and cut[:-1].isalpha():
-            found = self._word(lead + cut[:-1])
-            # Where the word ends in a mark once normalized, both marks are one piece.
-            return self._library(lead + cut) if found is None else found + self._mark(cut[-1])
+    def _fresh(self, cut: str) -> bytes:
+        """A word, a word with a closing mark, two parts at a line break, or anything else."""
+        body = cut.removeprefix(" ")
+        if body.isalpha():
+            found = self._word(cut)
+            return self._library(cut) if found is None else found
+        bare = body.rstrip(MARKS)
+        if bare.isalpha():
+            marks = body[len(bare) :]
+            found = self._word(cut[: -len(marks)])
+            # Where the word ends in a mark once normalized, all marks are one piece.
+            return self._library(cut) if found is None else found + self._piece(marks)
         head, line, tail = cut.partition("\n")
-        if not self.words_end and line and tail[:1].isalpha() and head and not head[-1].isspace():
+        if not self.words_end and line and tail[:1].isalpha() and head.strip() and not head[-1].isspace():
             # A line break between two words is a piece of its own.
-            return self._phrase(lead, head) + self._mark("\n") + self._phrase("", tail)
-        return self._library(lead + cut)
+            return self._fresh(head) + self._piece("\n") + self._fresh(tail)
+        return self._piece(cut)
 
-    def _mark(self, mark: str) -> bytes:
-        found = self.phrases.get((mark,))
-        if found is None:
-            found = self._library(mark)
-            self.phrases.put((mark,), found)
+    def _piece(self, piece: str) -> bytes:
+        """Ids of a piece that is no word."""
+        found = self.new.get(piece) or self.old.get(piece) or self._library(piece)
+        self.new[piece] = found
         return found
 
     def encode_batch(self, texts: pa.Array) -> list[np.ndarray]:
@@ -194,9 +186,7 @@ class Encoder:
             first[offsets[:-1][np.diff(offsets) > 0]] = True  # no blank precedes these
         used[number[fast & ~first]] = True
         ids = np.full(len(different), b"", dtype=object)
-        for at in np.nonzero(used)[0]:
-            cut = different[at]
-            ids[at] = self._cut(cut) if cut else self._phrase(self.lead, "")
+        ids[used] = self._look_up(different[used].tolist())
         out = []
         for at in range(len(texts)):
             a, b = offsets[at], offsets[at + 1]
@@ -208,7 +198,7 @@ class Encoder:
                 found = b"".join(ids[number[a:b]].tolist())
             else:
                 head = different[number[a]]
-                found = (self._phrase("", head) if head else b"") + b"".join(ids[number[a + 1 : b]].tolist())
+                found = (self._fresh(head) if head else b"") + b"".join(ids[number[a + 1 : b]].tolist())
             out.append(np.frombuffer(found, dtype="<u2"))
         return out
 
