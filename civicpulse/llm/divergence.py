@@ -14,12 +14,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from civicpulse.llm.fixed_lists import CHAR_CLASSES
 from civicpulse.llm.rowkeys import MARK, key_columns, without
-from civicpulse.llm.textstats import COUNTS_SCHEMA, WORD_LIST, text_counts
+from civicpulse.llm.textstats import COUNTS_SCHEMA, COUNTS_TYPE, WORD_LIST, text_counts
+from civicpulse.llm.words import by_slices
 from civicpulse.session import broadcast_within, via_table
 
 
@@ -40,10 +42,9 @@ class DivergenceLimits:
 def count_texts(text: Column) -> Column:
     """Struct of the counts of a text column."""
 
-    @F.pandas_udf(COUNTS_SCHEMA)
-    def counted(texts: pd.Series) -> pd.DataFrame:
-        names = [part.split()[0] for part in COUNTS_SCHEMA.split(", ")]
-        return pd.DataFrame([text_counts(t) for t in texts], columns=names)
+    @F.arrow_udf(COUNTS_SCHEMA)
+    def counted(texts: pa.Array) -> pa.Array:
+        return by_slices(texts, lambda some: pa.array([text_counts(t) for t in some], COUNTS_TYPE))
 
     return counted(text)
 

@@ -20,7 +20,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -28,7 +27,7 @@ from pyspark.sql import functions as F
 
 from civicpulse.llm.components import components
 from civicpulse.llm.rowkeys import MARK, key_columns, once_each, without
-from civicpulse.llm.words import blank_words
+from civicpulse.llm.words import blank_words, by_slices
 from civicpulse.session import broadcast_within, via_table
 
 SEED = 42
@@ -61,10 +60,11 @@ def fingerprint(text: str | None, shingle: int = 4) -> int:
 def fingerprint_column(text: Column | str, shingle: int = 4) -> Column:
     """SimHash of a text column as a signed long (the same 64 bits)."""
 
-    @F.pandas_udf("long")
-    def simhash(texts: pd.Series) -> pd.Series:
-        values = np.fromiter((fingerprint(t, shingle) for t in texts), np.uint64, len(texts))
-        return pd.Series(values.view(np.int64))
+    @F.arrow_udf("long")
+    def simhash(texts: pa.Array) -> pa.Array:
+        return by_slices(
+            texts, lambda some: pa.array(np.array([fingerprint(t, shingle) for t in some], np.uint64).view(np.int64))
+        )
 
     return simhash(text)
 

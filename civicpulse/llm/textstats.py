@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 
 from civicpulse.llm.fixed_lists import (
     BRACKET_CHARS, CHAR_CLASSES, COMMON_WORDS, STOP_CHARS, SYMBOL_CHARS,
@@ -96,3 +97,9 @@ COUNTS_SCHEMA = (
     "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
     "n_distinct long, n_lines long, char_hist array<long>, word_hist array<long>"
 )
+COUNTS_TYPE = pa.struct(
+    [
+        *[(n, pa.int64()) for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_distinct", "n_lines")],
+        ("char_hist", pa.list_(pa.int64())), ("word_hist", pa.list_(pa.int64())),
+    ]
+)

@@ -7,6 +7,12 @@ classes may be applied to bytes. ``bytes.lower`` changes A-Z only and
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
+
+SLICE_ROWS = 500
+
 
 def _alnum_table() -> bytes:
     """A-Z to a-z; ASCII that is neither digit nor letter to a blank; the rest as it is."""
@@ -33,3 +39,9 @@ def blank_words(text: str | None) -> list[bytes]:
 def alnum_words(text: str | None) -> list[bytes]:
     """Words ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` of a text with A-Z lower-cased."""
     return utf8(text).translate(ALNUM).split()
+
+
+def by_slices(texts: pa.Array, work: Callable[[Iterator[str | None]], pa.Array]) -> pa.Array:
+    """``work`` on a few texts at a time, so that a batch is never there as Python objects whole."""
+    parts = [work(t.as_py() for t in texts.slice(at, SLICE_ROWS)) for at in range(0, len(texts), SLICE_ROWS)]
+    return pa.concat_arrays(parts) if parts else work(iter(()))
