@@ -56,6 +56,8 @@ RESOLUTION_LIMIT_DAYS = 60
 HISTOGRAM_BINS = 30
 KDE_POINTS = 200
 HEX_RADIUS_M = 200
+HEAT_RADIUS_PIXELS = 50
+DEFAULT_ZOOM = 11
 HEX_ELEVATION_RANGE = (0, 1000)
 HEX_ELEVATION_SCALE = 2
 WEEKDAYS = [

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from fractions import Fraction
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from civicpulse import fixed_values as fixed
 from civicpulse.functions.parse import parse_set
+from civicpulse.operators.shares import smallest
 
 
 def labelled(df: DataFrame, text: str = "comment", labels: str = "type") -> DataFrame:
@@ -34,6 +36,10 @@ def binarize(classes: Sequence[str], labels: str = "labels") -> Column:
     )
 
 
+def _place(key: str, seed: int) -> Column:
+    return F.md5(F.concat(F.col(key).cast("string"), F.lit(f"|{seed}")))
+
+
 def in_test_set(
     key: str, fraction: float = fixed.TEST_FRACTION, seed: int = fixed.SPLIT_SEED
 ) -> Column:
@@ -43,11 +49,29 @@ def in_test_set(
     partitioning moves a row to the other side.
     """
     threshold = format(int(fraction * 2**32), "08x")
-    digest = F.md5(F.concat(F.col(key).cast("string"), F.lit(f"|{seed}")))
-    return F.substring(digest, 1, 8) < F.lit(threshold)
+    return F.substring(_place(key, seed), 1, 8) < F.lit(threshold)
+
+
+def in_exact_test_set(
+    df: DataFrame, key: str, fraction: float = fixed.TEST_FRACTION, seed: int = fixed.SPLIT_SEED
+) -> Column:
+    """M3: true for exactly ``ceil(fraction * n)`` of the ``n`` rows of ``df``, whose keys differ.
+
+    The rows with the smallest hashes; they stay the same however the rows are laid out.
+    """
+    n = df.count()
+    # As fractions of whole numbers, so that 0.2 * 5 is 1.
+    share = Fraction(str(fraction))
+    return smallest(df, _place(key, seed), -(-n * share.numerator // share.denominator))
 
 
 def split(df: DataFrame, key: str, **settings) -> tuple[DataFrame, DataFrame]:
     """M3: train and test rows."""
     test = in_test_set(key, **settings)
     return df.filter(~test), df.filter(test)
+
+
+def exact_split(df: DataFrame, key: str, **settings) -> tuple[DataFrame, DataFrame]:
+    """M3: train and test rows, the latter of exact number."""
+    test = in_exact_test_set(df, key, **settings)
+    return df.filter(~test), df.filter(test)

@@ -13,21 +13,15 @@ from civicpulse import schemas
 from civicpulse.operators.arrival import arrivals_per_key
 from civicpulse.sources.files import or_empty
 from civicpulse.streaming.ingest import now_text
+from civicpulse.streaming.ledger import IdLedger
 from civicpulse.streaming.messages import decode, quarantine, records
 from civicpulse.streaming.sinks import writer
 
-LEDGER = "ticket_id string, batch bigint, bucket int"
-# Hash folders of the ledger: a batch reads those its ids fall into.
-LEDGER_BUCKETS = 64
 COUNTED = ["saved", "duplicates", "missing_id", "no_coords", "unreadable"]
 COUNTERS = ", ".join(f"{name} bigint" for name in [*COUNTED, "batch"])
 QUARANTINE = "seq bigint, value string, batch bigint"
 
 
-def _bucket(key: str = "ticket_id") -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(LEDGER_BUCKETS)).cast("int")
-
-
 class _Landing:
     """What both landings share: unreadable messages are kept and counted in the same batch."""
 
@@ -41,9 +35,8 @@ class _Landing:
         )
         return found.select("seq", "value")
 
-    def _write(self, rows: DataFrame, name: str, batch_id: int, *by: str) -> None:
-        out = rows.write.mode("overwrite")
-        (out.partitionBy(*by) if by else out).parquet(f"{self.folder}/{name}/batch={batch_id}")
+    def _write(self, rows: DataFrame, name: str, batch_id: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{self.folder}/{name}/batch={batch_id}")
 
 
 @dataclass(frozen=True)
@@ -57,11 +50,18 @@ class TicketLanding(_Landing):
     batch reads the ledger of earlier batches only: a repeated batch, after a
     lost driver, writes the same rows again.
 
-    The ledger lies in hash folders of the id; a batch reads those its own ids fall into,
-    so a small batch does not scan every id ever seen.
+    The ledger merges its runs as batches go on and asks Bloom filters which of them to open
+    (:class:`civicpulse.streaming.ledger.IdLedger`), so a small batch does not scan every id
+    ever seen, and files stay few.
     """
 
     folder: str
+    buckets: int = 64
+    fan: int = 8
+
+    @property
+    def ledger(self) -> IdLedger:
+        return IdLedger(f"{self.folder}/ledger", self.buckets, self.fan)
 
     def start(self, messages: DataFrame, every: str | None = None) -> StreamingQuery:
         incoming = decode(messages, schemas.TICKET_MESSAGE)
@@ -80,27 +80,14 @@ class TicketLanding(_Landing):
             *[F.sum(c).alias(c) for c in COUNTED]
         )
 
-    def _known(self, spark: SparkSession, ids: DataFrame, batch_id: int) -> DataFrame:
-        """Ids of earlier batches from the ledger folders that ``ids`` touch."""
-        touched = [row.bucket for row in ids.select(_bucket().alias("bucket")).distinct().collect()]
-        ledger = or_empty(
-            spark,
-            lambda: spark.read.schema(LEDGER).parquet(f"{self.folder}/ledger"),
-            T.StructType.fromDDL(LEDGER),
-        )
-        return ledger.filter(F.col("bucket").isin(touched) & (F.col("batch") < batch_id)).select(
-            "ticket_id", F.lit(True).alias("known")
-        )
-
     def _land(self, batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
         batch = batch.persist()
         per_id = arrivals_per_key(records(batch), "ticket_id").persist()
-        ids = per_id.join(self._known(spark, per_id, batch_id), "ticket_id", "left")
+        ids = per_id.join(self.ledger.known(per_id, batch_id), "ticket_id", "left")
         fresh = ids.filter(F.col("ticket_id").isNotNull() & F.col("known").isNull())
         bronze = fresh.filter(F.col("coords").isNotNull()).withColumn("processing_time", now_text())
         self._write(bronze.select(*schemas.BRONZE_TICKET.fieldNames()), "bronze", batch_id)
-        self._write(fresh.select("ticket_id", _bucket().alias("bucket")), "ledger", batch_id, "bucket")
+        self.ledger.add(fresh, batch_id)
         broken = quarantine(batch)
         self._write(broken, "quarantine", batch_id)
         # One row each: the batch's totals beside the count of what could not be read.

@@ -383,6 +383,24 @@ def grid_density(t):
     return six(density.grid_density(t.tickets()))
 
 
+_HEAT_CELL = density.pixel_metres(fixed.DEFAULT_ZOOM, _LAT0) * fixed.HEAT_RADIUS_PIXELS / 4
+
+
+@query(
+    "heat_surface",
+    f"""WITH {SQL_TICKETS}, cell AS (
+      SELECT CAST(floor({_EAST} / {_HEAT_CELL!r}::DOUBLE) AS BIGINT) AS x,
+        CAST(floor({_NORTH} / {_HEAT_CELL!r}::DOUBLE) AS BIGINT) AS y, count(*)::DOUBLE AS w
+      FROM tickets WHERE latitude IS NOT NULL GROUP BY ALL),
+    raw AS (SELECT i, exp(-4.5 * pow(i / 4e0, 2)) AS k FROM range(-4, 5) AS r(i)),
+    kernel AS (SELECT i, k / (SELECT sum(k) FROM raw) AS k FROM raw)
+    SELECT x + a.i AS x, y + b.i AS y, round(sum(w * a.k * b.k), 6) AS heat
+    FROM cell, kernel a, kernel b GROUP BY 1, 2""",
+)
+def heat_surface(t):
+    return six(density.heat_surface(t.tickets(), cells_per_radius=4))
+
+
 @query(
     "quality_checks",
     f"""WITH {SQL_TICKETS} SELECT count(*) AS n_rows,

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from civicpulse import fixed_values as fixed
+from civicpulse.functions.segment import dictionary_tokenizer
 from civicpulse.ml import features, labels, metrics
 from civicpulse.ml.evidence import is_fitted
 from civicpulse.plans.classification import MODELS, classify
@@ -73,6 +74,27 @@ def hash_split(t):
     return t.documents.select("doc_id", labels.in_test_set("doc_id").cast("int").alias("in_test"))
 
 
+@query(
+    "exact_split",
+    """SELECT doc_id, CASE WHEN row_number() OVER (ORDER BY md5(CAST(doc_id AS VARCHAR) || '|2025'))
+      <= ceil(count(*) OVER () / 5e0) THEN 1 ELSE 0 END AS in_test FROM documents""",
+)
+def exact_split(t):
+    docs = t.documents.select("doc_id")
+    return docs.select("doc_id", labels.in_exact_test_set(docs, "doc_id").cast("int").alias("in_test"))
+
+
+@query("dictionary_tokens")
+def dictionary_tokens(t):
+    """Documents cut into the short words that occur alone in at least five of them."""
+    found = features.with_terms(t.documents.select("text"), "text", ngram_range=(1, 1))
+    known = features.term_statistics(found).where("df >= 5 AND length(term) BETWEEN 2 AND 8")
+    cut = dictionary_tokenizer(known, "term")(F.lower("text"))
+    return t.documents.select("doc_id", cut.alias("t")).select(
+        "doc_id", F.size("t").cast("bigint").alias("n_tokens"), F.md5(F.array_join("t", "|")).alias("digest")
+    )
+
+
 @query(
     "token_counts",
     f"""WITH {SQL_TERMS} SELECT doc_id, len(w) AS n_tokens, len(list_distinct(w)) AS n_distinct

@@ -13,6 +13,7 @@ from civicpulse.sources.files import read_bronze_air, read_bronze_tickets
 from civicpulse.streaming import ingest, sinks
 from civicpulse.streaming.arrival import first_arrivals_stream, recent_arrivals_stream
 from civicpulse.streaming.landing import AirLanding, TicketLanding
+from civicpulse.streaming.ledger import IdLedger
 from civicpulse.streaming.messages import decode, quarantine, records, staged_stream
 
 # (seq, text): burned id A, blank ids, missing ids, non-messages, one hot id.
@@ -98,13 +99,67 @@ def test_ledger_is_read_where_the_batch_needs_it(spark, tmp_path):
 
     landing._land(batch([f"t{i}" for i in range(500)]), 0)
     ids = arrival.arrivals_per_key(records(batch(["t7"])), "ticket_id")
-    known = landing._known(spark, ids, 1)
+    known = landing.ledger.known(ids, 1)
     files = {f.split("bucket=")[1].split("/")[0] for f in known.select(F.input_file_name()).distinct().toPandas().iloc[:, 0]}
     assert len(files) == 1 and "t7" in column(known, "ticket_id")
     landing._land(batch(["t7", "new"]), 1)
     assert landing.bronze(spark).count() == 501
 
 
+def ledger_files(folder):
+    return [p for p in folder.rglob("part-*.parquet") if ".blooms" not in str(p)]
+
+
+def test_ledger_stays_small_and_forgets_nothing(spark, tmp_path):
+    ledger, seen = IdLedger(str(tmp_path), buckets=2, fan=3), set()
+    for n in range(30):
+        ids = {f"t{i}" for i in range(7 * n, 7 * n + 20)} | {f"t{n}"}
+        frame = spark.createDataFrame([(i,) for i in ids], "ticket_id string")
+        known = {r.ticket_id for r in frame.join(ledger.known(frame, n), "ticket_id").collect()}
+        assert known == ids & seen
+        ledger.add(frame.where(~F.col("ticket_id").isin(list(known))), n)
+        seen |= ids
+        # Fewer than ``fan`` runs a level, and those a merge has just replaced.
+        levels = 1 + max(r.level for r in ledger.runs(spark, n + 1))
+        assert len(ledger_files(tmp_path)) <= 2 * (levels * 2 + 3 * levels)
+    assert len(ledger.runs(spark, 99)) <= 2 * 4
+    held = [i for r in ledger.runs(spark, 99) for i in column(spark.read.parquet(f"{tmp_path}/{r.name}"), "ticket_id")]
+    assert sorted(held) == sorted(seen)
+
+
+def test_bloom_filters_spare_the_runs_that_lack_the_ids(spark, tmp_path):
+    ledger = IdLedger(str(tmp_path), buckets=1, fan=2)
+    for n in range(4):
+        ledger.add(spark.range(5000).select(F.concat(F.lit(f"{n}-"), "id").alias("ticket_id")), n)
+    (run,) = ledger.runs(spark, 4)
+    assert run.level == 2
+    other = spark.range(200).select(F.concat(F.lit("x"), "id").alias("ticket_id"))
+    keyed = other.withColumn("bucket", ledger.bucket())
+    hits = sum(bool(ledger._may_hold(keyed.where(F.col("ticket_id") == f"x{i}"), [run], [0])) for i in range(6))
+    assert hits <= 2
+    for key in ("0-0", "3-4999"):
+        asked = spark.createDataFrame([(key,)], "ticket_id string")
+        assert key in column(ledger.known(asked, 4), "ticket_id")
+
+
+def test_a_merge_that_breaks_off_is_repeated(spark, tmp_path, monkeypatch):
+    def frame(a, b):
+        return spark.range(a, b).select(F.col("id").cast("string").alias("ticket_id"))
+
+    ledger = IdLedger(str(tmp_path), buckets=2, fan=2)
+    ledger.add(frame(0, 50), 0)
+    for broken in ("_write_blooms", "_write_manifest"):
+        monkeypatch.setattr(IdLedger, broken, lambda *a: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            ledger.add(frame(50, 90), 1)
+        monkeypatch.undo()
+        assert {r.ticket_id for r in ledger.known(frame(0, 90), 1).collect()} == {str(i) for i in range(50)}
+    ledger.add(frame(50, 90), 1)
+    ledger.add(frame(50, 90), 1)  # a batch that had been finished already
+    (run,) = ledger.runs(spark, 2)
+    assert run.level == 1 and spark.read.parquet(f"{tmp_path}/{run.name}").count() == 90
+
+
 def test_air_landing_keeps_what_it_cannot_read(spark, tmp_path):
     base = str(tmp_path)
     good = json.dumps({"district": "d", "date": "2024-01-01", "avg_pm25_ug_m3": 1.5})
