@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.classification import (
     GBTClassificationModel,
     LinearSVCModel,
@@ -14,7 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from civicpulse.ml.classifiers import MultiLabelModel
-from civicpulse.ml.linear import LinearModel
+from civicpulse.ml.labels import binarize
+from civicpulse.ml.linear import LinearModel, Loss, logistic_loss
 from civicpulse.ml.trees import TreesModel
 
 # A quasi-Newton run stops on small relative gains; its gradient is then this small.
@@ -24,10 +28,12 @@ GRADIENT_WITHIN = 1e-2
 def is_fitted(model: MultiLabelModel | LinearModel | TreesModel, training: DataFrame) -> bool:
     """Whether every class's model passes the test of its kind; constants pass."""
     if isinstance(model, LinearModel):
-        return bool((model.gradient <= model.settings.tolerance * model.start).all())
+        steady = bool((model.gradient <= model.settings.tolerance * model.start).all())
+        return steady and _agree(model.losses, _losses(model, training, model.settings.loss, model.live))
     if isinstance(model, TreesModel):
         whole = len(model.losses) in (0, model.settings.trees + 1)
-        return whole and bool((model.losses[1:] <= model.losses[:-1] + 1e-9).all())
+        steady = whole and bool((model.losses[1:] <= model.losses[:-1] + 1e-9).all())
+        return steady and (not len(model.losses) or _agree(model.losses[-1], _losses(model, training, logistic_loss, model.live)))
     tests = {
         LogisticRegressionModel: _is_stationary,
         LinearSVCModel: _separates,
@@ -42,6 +48,27 @@ def is_fitted(model: MultiLabelModel | LinearModel | TreesModel, training: DataF
     return True
 
 
+def _losses(model: LinearModel | TreesModel, rows: DataFrame, loss: Loss, live: np.ndarray) -> np.ndarray:
+    """Each live class's loss, summed over the scores that ``model`` gives ``rows`` beside their truth."""
+    scored = model.transform(rows.select("features", "labels")).select("scores", binarize(model.classes).alias("truth"))
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(len(live))
+        for batch in batches:
+            for scores, truth in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                sign = 2.0 * np.array(truth)[live] - 1
+                total += loss(sign * np.array(scores)[live])[0]
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(total)), pa.int32()), pa.array(total)], ["label", "loss"])
+
+    found = scored.mapInArrow(summed, "label int, loss double").groupBy("label").agg(F.sum("loss").alias("loss")).collect()
+    by_label = {r.label: r.loss for r in found}
+    return np.array([by_label.get(k, 0.0) for k in range(len(live))])
+
+
+def _agree(one: np.ndarray, two: np.ndarray) -> bool:
+    return len(one) == len(two) and bool(np.allclose(one, two, rtol=1e-6, atol=1e-6))
+
+
 def gradient_norm(model: LogisticRegressionModel, rows: DataFrame) -> float:
     """Norm of the penalised logistic loss's gradient at the model's weights."""
     excess = vector_to_array("probability")[1] - F.col("label")

@@ -58,15 +58,16 @@ class Linear:
             constant = (positives == 0) | (positives == n)
             weights = np.zeros((len(classes), feature_count(train, features) + 1))
             live = np.nonzero(~constant)[0]
-            gradient, start = np.zeros(len(classes)), np.zeros(len(classes))
+            gradient, start, value = np.zeros(len(classes)), np.zeros(len(classes)), np.empty(0)
             if len(live):
-                weights[live], gradient[live], start[live] = _minimize(
+                weights[live], gradient[live], start[live], value = _minimize(
                     lambda w: _pass(blocks, self, w, live, len(classes)), weights[live], self.tolerance, self.passes
                 )
         finally:
             blocks.unpersist()
         weights[constant, -1] = np.where(positives[constant] > 0, 1.0, -1.0)
-        return LinearModel(list(classes), weights, gradient, start, self)
+        losses = (value - (weights[live] ** 2).sum(axis=1) / 2) / self.c
+        return LinearModel(list(classes), weights, gradient, start, live, losses, self)
 
 
 def logistic(c: float = 1.0) -> Linear:
@@ -132,7 +133,7 @@ def _direction(gradient: np.ndarray, steps: list, changes: list) -> np.ndarray:
 
 
 def _minimize(evaluate, start: np.ndarray, tolerance: float, passes: int) -> tuple[np.ndarray, ...]:
-    """``(weights, greatest gradient part at the end, at the start)``; each pass tries a step of every class."""
+    """``(weights, greatest gradient part at the end, at the start, objective)``; each pass tries a step of every class."""
     k = len(start)
     weights = start.copy()
     value, gradient = evaluate(weights)
@@ -168,7 +169,7 @@ def _minimize(evaluate, start: np.ndarray, tolerance: float, passes: int) -> tup
                     steps[at].pop(0)
                     changes[at].pop(0)
             way[at], length[at] = _direction(gradient[at], steps[at], changes[at]), 1.0
-    return weights, np.abs(gradient).max(axis=1), begun
+    return weights, np.abs(gradient).max(axis=1), begun, value
 
 
 @dataclass(frozen=True)
@@ -176,13 +177,15 @@ class LinearModel:
     """A weight vector per class, the intercept last; a constant class has only that.
 
     ``gradient`` and ``start`` are the greatest part of the objective's gradient at these
-    weights and at zero.
+    weights and at zero; ``losses`` are the ``live`` (not constant) classes' summed losses.
     """
 
     classes: list[str]
     weights: np.ndarray
     gradient: np.ndarray
     start: np.ndarray
+    live: np.ndarray
+    losses: np.ndarray
     settings: Linear
 
     def transform(self, df: DataFrame, output: str = "predicted", scores: str = "scores", features: str = "features") -> DataFrame:

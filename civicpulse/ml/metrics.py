@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from civicpulse.session import via_table
+
 
 def _ratio(top: Column, bottom: Column) -> Column:
     """A quotient that is 0 where it is undefined."""
@@ -141,3 +143,63 @@ def _report_cells(df: DataFrame, truth: str, predicted: str) -> DataFrame:
             *[F.avg(c).alias(c) for c in ("precision", "recall", "f1")],
         )
     )
+
+
+def _score_cells(df: DataFrame, truth: str, scores: str) -> DataFrame:
+    """``(label, score, t)``, one row per row and class; rows without a score are left out."""
+    cell = F.posexplode(F.arrays_zip(F.col(truth).alias("t"), F.col(scores).alias("s")))
+    return df.select(cell.alias("label", "c")).select("label", F.col("c.s").alias("score"), F.col("c.t").alias("t")).dropna()
+
+
+def ranking_scores(
+    df: DataFrame, truth: str = "truth", scores: str = "scores", slices: int = 64
+) -> DataFrame:
+    """``label, positives, negatives, auc``: how often a row of the class scores above another.
+
+    Ties count half; the area is null where a class has only one side. Rows are first summed
+    by score. Ranks come from two windows, over the sums of ``slices`` ranges of scores and
+    over the scores inside one range, so no task sees all scores of a class.
+    """
+    pos, neg = F.col("pos"), F.col("neg")
+    counts = via_table(
+        _score_cells(df, truth, scores)
+        .groupBy("label", "score")
+        .agg(F.count_if(F.col("t") == 1).alias("pos"), F.count_if(F.col("t") != 1).alias("neg")),
+        "scores",
+    )
+    # One row per class.
+    bounds = counts.groupBy("label").agg(
+        F.percentile_approx("score", [i / slices for i in range(1, slices)]).alias("bounds")
+    )
+    sliced = counts.join(F.broadcast(bounds), "label").select(
+        "label", "score", "pos", "neg",
+        F.size(F.filter("bounds", lambda b: b < F.col("score"))).alias("slice"),
+    )
+    earlier = Window.partitionBy("label").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    below = sliced.groupBy("label", "slice").agg(F.sum(neg).alias("n")).select(
+        "label", "slice", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("below")
+    )
+    inside = Window.partitionBy("label", "slice").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = sliced.withColumn("inside", F.coalesce(F.sum(neg).over(inside), F.lit(0)))
+    won = pos * (F.col("below") + F.col("inside") + neg / F.lit(2.0))
+    sides = F.sum(pos).cast("double") * F.sum(neg)
+    return (
+        ranked.join(F.broadcast(below), ["label", "slice"])  # ``slices`` rows a class
+        .groupBy("label")
+        .agg(
+            F.sum(pos).alias("positives"), F.sum(neg).alias("negatives"),
+            F.when(sides > 0, F.sum(won) / sides).alias("auc"),
+        )
+    )
+
+
+def calibration(
+    df: DataFrame, truth: str = "truth", probabilities: str = "probabilities", bins: int = 10
+) -> DataFrame:
+    """``label, bin, n, mean_probability, rate``: what was expected and what was seen."""
+    place = F.least(F.floor(F.col("score") * bins), F.lit(bins - 1)).cast("int")
+    return (
+        _score_cells(df, truth, probabilities)
+        .groupBy("label", place.alias("bin"))
+        .agg(F.count("*").alias("n"), F.avg("score").alias("mean_probability"), F.avg("t").alias("rate"))
+    )

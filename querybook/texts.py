@@ -192,6 +192,40 @@ def classification_report(t):
     return six(metrics.classification_report(_scored(t), ["quality", "toxic"]))
 
 
+SQL_GRADED = """graded AS (SELECT doc_id, quality AS t1, toxic AS t2,
+    (n_chars % 101) / 101e0 AS s1, (doc_id % 17) / 17e0 AS s2 FROM documents JOIN labels USING (doc_id)),
+cell AS (SELECT CAST(0 AS INTEGER) AS label, t1 AS t, s1 AS s FROM graded UNION ALL SELECT 1, t2, s2 FROM graded)"""
+
+
+def _graded(t):
+    return t.documents.join(t.labels, "doc_id").select(
+        "doc_id",
+        F.array("quality", "toxic").alias("truth"),
+        F.array(F.col("n_chars") % 101 / F.lit(101e0), F.col("doc_id") % 17 / F.lit(17e0)).alias("scores"),
+    )
+
+
+@query(
+    "ranking_scores",
+    f"""WITH {SQL_GRADED}, c AS (SELECT label, s, sum(t) AS p, sum(1 - t) AS n FROM cell GROUP BY ALL),
+    r AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY label ORDER BY s
+      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM c)
+    SELECT label, CAST(sum(p) AS BIGINT) AS positives, CAST(sum(n) AS BIGINT) AS negatives,
+      round(sum(p * (b + n / 2e0)) / nullif(sum(p)::DOUBLE * sum(n), 0), 6) AS auc FROM r GROUP BY label""",
+)
+def ranking_scores(t):
+    return six(metrics.ranking_scores(_graded(t), slices=8))
+
+
+@query(
+    "calibration",
+    f"""WITH {SQL_GRADED} SELECT label, CAST(least(floor(s * 10), 9) AS INTEGER) AS bin, count(*) AS n,
+      round(avg(s), 6) AS mean_probability, round(avg(t), 6) AS rate FROM cell GROUP BY ALL""",
+)
+def calibration(t):
+    return six(metrics.calibration(_graded(t), probabilities="scores"))
+
+
 SQL_TEST_ROWS = f"""WITH {SQL_LABELLED}
     SELECT doc_id, CASE WHEN list_contains(labels, 'quality') THEN '1' ELSE '0' END || ',' ||
       CASE WHEN list_contains(labels, 'toxic') THEN '1' ELSE '0' END AS truth, true AS fitted
@@ -200,12 +234,17 @@ SQL_TEST_ROWS = f"""WITH {SQL_LABELLED}
 
 
 def _classified(t, model):
-    """Test rows with their truth; ``fitted`` says that the model of every class passes its test
-    and that each row has a prediction of 0 or 1 per class."""
+    """Test rows with their truth.
+
+    ``fitted`` says that the model of every class passes its test, that the loss worked out from
+    the scores of the training rows beside their truth is the one the fit ended with (scores of other rows
+    would give another), and that a row's predictions follow from its scores.
+    """
     done = classify(_tickets(t), "doc_id", "text", "type", models={model: MODELS[model]})
     sound = is_fitted(done.fitted[model], done.training[model])
     done.close()
-    whole = (F.size("predicted") == len(done.classes)) & F.forall("predicted", lambda p: p.isin(0, 1))
+    follows = F.forall(F.arrays_zip("predicted", "scores"), lambda c: c["predicted"] == (c["scores"] > 0).cast("int"))
+    whole = (F.size("predicted") == len(done.classes)) & follows
     return done.results[model].select(
         "doc_id",
         F.array_join(F.col("truth").cast("array<string>"), ",").alias("truth"),
@@ -226,3 +265,13 @@ def ovr_gbt(t):
 @query("ovr_svc", SQL_TEST_ROWS)
 def ovr_svc(t):
     return _classified(t, "linear_svc")
+
+
+@query("ovr_predictions")
+def ovr_predictions(t):
+    """Test rows with truth, prediction and score of the logistic model."""
+    done = classify(_tickets(t), "doc_id", "text", "type", models={"logistic": MODELS["logistic"]})
+    done.close()
+    digits = [F.array_join(F.col(c).cast("array<string>"), ",").alias(c) for c in ("truth", "predicted")]
+    scores = F.array_join(F.transform("scores", lambda s: F.format_number(s, 2)), ",").alias("scores")
+    return done.results["logistic"].select("doc_id", *digits, scores)

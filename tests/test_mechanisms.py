@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from civicpulse import fixed_values as fixed
 from civicpulse.functions.geo import METRES_PER_DEGREE
 from civicpulse.functions.segment import Segmenter, dictionary_tokenizer
-from civicpulse.ml import features, labels
+from civicpulse.ml import features, labels, metrics
 from civicpulse.operators import density, distribution, shares
 
 
@@ -147,3 +147,16 @@ def features_words(text):
     import regex
 
     return [t for t in regex.split(r"[^\p{L}\p{M}\p{N}_]+", text.lower()) if t]
+
+
+@pytest.mark.parametrize("slices", [2, 16])
+def test_area_under_the_curve_by_all_pairs(spark, slices):
+    rng = random.Random(3)
+    rows = [([rng.randint(0, 1), 1], [rng.choice([0.1, 0.2, rng.random()]), rng.random()]) for _ in range(200)]
+    df = spark.createDataFrame(rows, "truth array<int>, scores array<double>").repartition(3)
+    got = {r.label: r for r in metrics.ranking_scores(df, slices=slices).collect()}
+    up = [s[0] for t, s in rows if t[0]]
+    down = [s[0] for t, s in rows if not t[0]]
+    want = sum((a > b) + (a == b) / 2 for a in up for b in down) / (len(up) * len(down))
+    assert got[0].auc == pytest.approx(want) and (got[0].positives, got[0].negatives) == (len(up), len(down))
+    assert got[1].auc is None

@@ -91,6 +91,14 @@ def test_linear_models_equal_newton(rows, dense, make, loss):
     assert {tuple(r.predicted[::2]) for r in scored.values()} == {(1, 0)}
 
 
+@pytest.mark.parametrize("fit", [logistic(), linear_svc(), boosted_trees(trees=3, depth=2)])
+def test_scores_of_other_rows_are_found_out(rows, fit):
+    model = fit.fit(rows, CLASSES)
+    assert is_fitted(model, rows)
+    other = rows.select("features", (299 - rows.id).alias("id")).join(rows.select("id", "labels"), "id")
+    assert not is_fitted(model, other)
+
+
 def test_number_of_passes_does_not_grow_with_classes(rows, monkeypatch):
     from civicpulse.ml import linear
 
