@@ -19,11 +19,12 @@ from pyspark.sql import functions as F
 
 # Element names and name parts by which page furniture is known.
 DROPPED = frozenset([
-    "nav", "footer", "aside", "form", "script", "style", "noscript", "template", "iframe", "object", "embed",
-    "svg", "canvas", "math", "button", "select", "option", "textarea", "input", "label", "fieldset", "dialog",
-    "menu", "head", "title", "meta", "link", "audio", "video",
+    "nav", "footer", "aside", "script", "style", "noscript", "template", "iframe", "object", "embed", "svg",
+    "canvas", "button", "select", "option", "textarea", "input", "dialog", "menu", "head", "title", "meta", "link",
+    "audio", "video",
 ])
-MOST_DEPTH = 500  # texts nested deeper lie flat at this depth, none is lost
+# Parts of forms that may as well hold the whole page: what is inside decides.
+FORMS = frozenset(["form", "fieldset", "label"])
 VOID = frozenset([
     "area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track",
     "wbr",
@@ -41,6 +42,9 @@ PARAGRAPHS = frozenset([
 HEADINGS = frozenset([
     "h1", "h2", "h3", "h4", "h5", "h6",
 ])
+# Which open items an item ends, and what holds items.
+ENDS = {"li": ("li",), "dd": ("dd", "dt"), "dt": ("dd", "dt"), "td": ("td", "th"), "th": ("td", "th"), "tr": ("tr",)}
+HOLDERS = ("ul", "ol", "dl", "table", "tbody", "thead", "tfoot", "tr")
 FURNITURE = frozenset([
     "ad", "ads", "advert", "adverts", "advertisement", "advertising", "banner", "sponsor", "sponsored",
     "promo", "promotion", "cookie", "cookies", "consent", "gdpr", "notice", "notices", "alert", "popup",
@@ -65,7 +69,7 @@ BOXES = frozenset([
 READ = frozenset(["class", "id", "role", "hidden", "aria-hidden", "style"])
 ROLES = frozenset([
     "navigation", "banner", "contentinfo", "complementary", "search", "alert", "alertdialog", "dialog",
-    "menu", "form",
+    "menu",
 ])
 
 RAW = frozenset(["script", "style", "textarea", "title", "noscript", "template", "iframe"])
@@ -78,12 +82,14 @@ _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "kept", "suspect", "points", "depth")
+    __slots__ = ("tag", "parent", "children", "kept", "suspect", "points", "depth", "block")
 
     def __init__(self, tag: str, parent: Node | None):
         self.tag, self.parent, self.children = tag, parent, []
         self.kept, self.suspect, self.points = True, False, 0.0
         self.depth = 0 if parent is None else parent.depth + 1
+        # The nearest block, the node itself included.
+        self.block = self if tag in BLOCKS or parent is None else parent.block
 
 
 def _is_dropped(tag: str, rest: dict[str, str], within_article: bool) -> bool:
@@ -111,9 +117,11 @@ def _named_words(value: str) -> set[str]:
 
 
 def _is_suspect(tag: str, rest: dict[str, str], within_article: bool) -> bool:
-    """Whether class or id speak of page furniture; ``_cut`` judges by what the element holds."""
+    """Whether name, class or id speak of page furniture; ``_cut`` judges by what the element holds."""
     if tag in ("html", "body"):
         return False
+    if tag in FORMS or rest.get("role", "").lower() == "form":
+        return True
     for name in ("class", "id"):
         value = rest.get(name)
         if not value or (name == "id" and tag in HEADINGS):
@@ -197,67 +205,70 @@ def _tokens(page: str):
         yield start, at, tag, False, {k: entities.unescape(v) for k, v in rest.items() if k in READ}, closed
 
 
+class _Open:
+    """The open elements, and the innermost of each name, so that no end tag has to climb for its start."""
+
+    def __init__(self, root: Node):
+        self.here, self.articles = root, 0
+        self.named: dict[str, list[Node]] = {}
+
+    def innermost(self, *tags: str) -> Node | None:
+        found = [self.named[tag][-1] for tag in tags if self.named.get(tag)]
+        return max(found, key=lambda node: node.depth, default=None)
+
+    def enter(self, node: Node) -> None:
+        self.here = node
+        self.named.setdefault(node.tag, []).append(node)
+        self.articles += node.tag in ("article", "main")
+
+    def leave_for(self, node: Node) -> None:
+        """Close what is open below ``node``."""
+        while self.here is not node:
+            self.named[self.here.tag].pop()
+            self.articles -= self.here.tag in ("article", "main")
+            self.here = self.here.parent
+
+    def close(self, tag: str) -> None:
+        node = self.innermost(tag)
+        # An inline end tag does not reach across the block it stands in.
+        if node is not None and (tag in BLOCKS or node.block is self.here.block):
+            self.leave_for(node.parent)
+
+    def before_block(self, tag: str) -> None:
+        """Where a block starts an open paragraph ends, like an open item before an item."""
+        ends = ENDS.get(tag, ())
+        block = self.here.block
+        if block.tag in ends or block.tag in ("p", *HEADINGS):
+            self.leave_for(block.parent)
+        elif ends:
+            item, outer = self.innermost(*ends), self.innermost(*HOLDERS)
+            if item is not None and (outer is None or item.depth > outer.depth):
+                self.leave_for(item.parent)
+
+
 def parse(page: str) -> Node:
-    """The tree of a page; unclosed and stray tags are tolerated."""
+    """The tree of a page; unclosed and stray tags are tolerated, of any depth."""
     root = Node("html", None)
-    here, at, article = root, 0, 0
-    # Open elements below the greatest depth: only names, and the place of the first dropped one.
-    deep: list[str] = []
-    skip: int | None = None
+    opened, at = _Open(root), 0
     for start, stop, tag, closes, rest, closed in _tokens(page):
-        if start > at and skip is None:
-            here.children.append(entities.unescape(page[at:start]))
+        if start > at:
+            opened.here.children.append(entities.unescape(page[at:start]))
         at = stop
         if tag is None:
             continue
         if closes:
-            place = len(deep) - 1
-            while place >= 0 and deep[place] != tag and (tag in BLOCKS or deep[place] not in BLOCKS):
-                place -= 1
-            if place >= 0:
-                if deep[place] == tag:
-                    del deep[place:]
-                    skip = skip if skip is not None and skip < len(deep) else None
-                continue
-            node = here
-            while node is not None and node.tag != tag:
-                node = node.parent
-            # An inline end tag does not reach across the block it stands in.
-            if node is None or node is root or (tag not in BLOCKS and _crosses(here, node)):
-                continue
-            deep, skip = [], None
-            while here is not node.parent:
-                article -= here.tag in ("article", "main")
-                here = here.parent
-            continue
-        opens = tag not in VOID and not closed
-        if deep or here.depth >= MOST_DEPTH:
-            if tag in BLOCKS and deep and deep[-1] in ("p", *HEADINGS):
-                deep.pop()
-                skip = skip if skip is not None and skip < len(deep) else None
-            if skip is None:
-                node = Node(tag, here)
-                node.kept = not _is_dropped(tag, rest, article > 0)
-                here.children.append(node)
-                if opens and (not node.kept or _is_suspect(tag, rest, article > 0)):
-                    skip = len(deep)
-            if opens:
-                deep.append(tag)
+            opened.close(tag)
             continue
         if tag in BLOCKS:
-            inner, here = here, _after_paragraph(here, tag)
-            while inner is not here:
-                article -= inner.tag in ("article", "main")
-                inner = inner.parent
-        node = Node(tag, here)
-        node.kept = not _is_dropped(tag, rest, article > 0)
-        node.suspect = _is_suspect(tag, rest, article > 0)
-        here.children.append(node)
-        if opens:
-            here = node
-            article += tag in ("article", "main")
-    if at < len(page) and skip is None:
-        here.children.append(entities.unescape(page[at:]))
+            opened.before_block(tag)
+        node = Node(tag, opened.here)
+        node.kept = not _is_dropped(tag, rest, opened.articles > 0)
+        node.suspect = _is_suspect(tag, rest, opened.articles > 0)
+        opened.here.children.append(node)
+        if tag not in VOID and not closed:
+            opened.enter(node)
+    if at < len(page):
+        opened.here.children.append(entities.unescape(page[at:]))
     _cut(root)
     return root
 
@@ -268,10 +279,14 @@ def _cut(root: Node) -> None:
     if not any(node.suspect for node in order):
         return
     size, holds = dict.fromkeys(order, 0), dict.fromkeys(order, False)
+    for tags in (("p", "pre", "blockquote"), BLOCKS):  # a page may write its text without paragraphs
+        for node in order:
+            if node.tag in tags:
+                text, links = _own_text(node)
+                size[node] = max(len(text) - 2 * links, 0)
+        if any(size.values()):
+            break
     for node in reversed(order):
-        if node.tag in ("p", "pre", "blockquote"):
-            text, links = _own_text(node)
-            size[node] += max(len(text) - 2 * links, 0)
         if node.parent is not None:
             size[node.parent] += size[node]
             holds[node.parent] |= holds[node] or (node.tag in ("article", "main") and not node.suspect)
@@ -280,33 +295,6 @@ def _cut(root: Node) -> None:
             node.kept = False
 
 
-def _crosses(here: Node, outer: Node) -> bool:
-    while here is not outer:
-        if here.tag in BLOCKS:
-            return True
-        here = here.parent
-    return False
-
-
-def _after_paragraph(here: Node, tag: str) -> Node:
-    """Where a block starts: an open paragraph ends, like an open item before an item."""
-    ends = {"li": ("li",), "dd": ("dd", "dt"), "dt": ("dd", "dt"), "td": ("td", "th"), "th": ("td", "th"), "tr": ("tr",)}
-    node = here
-    while node is not None and (node.tag not in BLOCKS or node.tag in ends.get(tag, ())):
-        if node.tag in ends.get(tag, ()):
-            return node.parent
-        node = node.parent
-    if node is not None and node.tag in ("p", *HEADINGS):
-        return node.parent
-    if node is not None and tag in ends:
-        outer = node
-        while outer is not None and outer.tag not in ("ul", "ol", "dl", "table", "tbody", "thead", "tfoot", "tr"):
-            if outer.tag in ends[tag]:
-                return outer.parent
-            outer = outer.parent
-    return here
-
-
 def _walk(root: Node):
     """Kept nodes below and including ``root``, in page order."""
     stack = [root]
@@ -343,11 +331,11 @@ def _score(root: Node) -> Node | None:
         if not text:
             continue
         above = node
-        while above is not None:
-            total = sizes.setdefault(above, [0, 0])
-            total[0] += len(text)
-            total[1] += min(links, len(text))
+        while above is not None and above not in sizes:
+            sizes[above] = [0, 0]
             above = above.parent
+        sizes[node][0] += len(text)
+        sizes[node][1] += min(links, len(text))
         if node.tag not in PARAGRAPHS or node.tag in HEADINGS or len(text) < 25:
             continue
         points = 1 + text.count(",") + min(len(text) // 100, 3)
@@ -355,6 +343,10 @@ def _score(root: Node) -> Node | None:
         while target is not None and level < 5:
             target.points += points / (1, 2, 6, 9, 12)[level]
             target, level = target.parent, level + 1
+    for node in sorted(sizes, key=lambda n: -n.depth):
+        if node.parent is not None:
+            sizes[node.parent][0] += sizes[node][0]
+            sizes[node.parent][1] += sizes[node][1]
     best = None
     for node, (length, links) in sizes.items():
         node.points *= 1 - links / max(length, 1)

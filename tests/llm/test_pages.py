@@ -160,3 +160,36 @@ def test_more_hostile_pages_end_soon(page):
 )
 def test_names_alone_do_not_cut_the_article(page, text):
     assert main_text(page) == text
+    # However deep the page lies.
+    for depth in (480, 510, 700, 5000):
+        assert main_text("<body>" + "<div>" * depth + page + "</div>" * depth) == text
+
+
+FORM = '<form action="/find"><label>Find</label><input><fieldset><p>Choose, now.</p></fieldset></form>'
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        (f'<body><form id="aspnetForm"><div class="main">{ARTICLE}</div>{FORM}</form></body>', ARTICLE_TEXT),
+        (f'<body><form role="form"><article>{ARTICLE}{FORM}</article></form></body>', ARTICLE_TEXT),
+        (f"<article>{FORM}{ARTICLE}<form><p>Subscribe, please, to this.</p><button>Go</button></form></article>", ARTICLE_TEXT),
+        (f"<body><form><div>{'Plain text, without paragraphs. ' * 9}</div></form></body>", ("Plain text, without paragraphs. " * 9).strip()),
+        (f"<article>{ARTICLE}<p>Where <math><mi>x</mi><mo>=</mo><mn>1</mn></math> holds.</p></article>", f"{ARTICLE_TEXT}\n\nWhere x=1 holds."),
+    ],
+)
+def test_forms_are_judged_by_what_they_hold(page, text):
+    assert main_text(page) == text
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<b>" * 50_000 + "<p>x</p>" * 50_000, "<i><div>" + "<b>" * 50_000 + "</i>" * 50_000, "<div><li>x" * 30_000,
+        "<ul>" * 20_000 + "<li>x</li>" * 20_000, "<div>some text of a page, long enough to count" * 20_000,
+    ],
+)
+def test_deep_pages_end_soon(page):
+    start = time.process_time()
+    main_text(page)
+    assert time.process_time() - start < 10
