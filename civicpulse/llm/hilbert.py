@@ -16,17 +16,39 @@ from pyspark.sql import functions as F
 from civicpulse.session import broadcast_within, via_table
 
 
-def ordered_number(column: Column | str) -> Column:
-    """A long that orders strings like their first seven bytes (null: 0)."""
-    text = F.col(column) if isinstance(column, str) else column
-    head = F.rpad(F.hex(F.substring(F.encode(text.cast("string"), "UTF-8"), 1, 7)), 14, "0")
-    return F.coalesce(F.conv(head, 16, 10).cast("long"), F.lit(0).cast("long"))
+def value_bounds(rows: DataFrame, name: str, parts: int) -> list[str]:
+    """Strings that cut the rows of a column, in order of value, into ``parts`` of about equal size.
+
+    Distinct values are counted and sorted by ranges; a running count per range, and one row
+    per range for what lies before it, tell which value each cut falls on. Nulls do not count.
+    """
+    spread = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counts = rows.where(F.col(name).isNotNull()).groupBy(F.col(name).alias("value")).agg(F.count("*").alias("n"))
+    ordered = via_table(
+        counts.repartitionByRange(spread, "value")
+        .sortWithinPartitions("value")
+        .select("value", "n", F.monotonically_increasing_id().alias("row")),
+        "values",
+    ).withColumn("part", F.shiftright("row", 33))
+    sums = ordered.groupBy("part").agg(F.sum("n").alias("here"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    everything = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    # One row per range of the sort.
+    bases = sums.select(
+        "part", F.coalesce(F.sum("here").over(before), F.lit(0)).alias("base"), F.sum("here").over(everything).alias("total")
+    )
+    upto = F.col("base") + F.sum("n").over(Window.partitionBy("part").orderBy("row"))
+    placed = ordered.join(F.broadcast(bases), "part").withColumn("upto", upto)
+    after, until = F.floor(F.col("upto") * parts / F.col("total")), F.floor((F.col("upto") - F.col("n")) * parts / F.col("total"))
+    cuts = placed.where((after > until) & (until < parts - 1)).select("value").collect()  # at most one per cut
+    return sorted((r.value for r in cuts), key=lambda v: v.encode())
 
 
-def quantised(column: Column, bounds: list[float]) -> Column:
-    """Number of ``bounds`` (ascending) at or below the value."""
-    held = F.array(*[F.lit(float(b)) for b in bounds]) if bounds else F.array().cast("array<double>")
-    return F.size(F.filter(held, lambda b: b <= column)).cast("long")
+def quantised(column: Column, bounds: list[float] | list[str]) -> Column:
+    """Number of ``bounds`` (ascending) at or below the value; a null is below all."""
+    if not bounds:
+        return F.lit(0).cast("long")
+    return F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b <= column)).cast("long")
 
 
 def _bit(value: Column, level: Column) -> Column:
@@ -110,21 +132,23 @@ def hilbert_shards(
 ) -> DataFrame:
     """``rows`` with ``shard`` (0 to shards - 1), ``slot`` (gapless from 0) and ``curve``.
 
-    ``dimensions`` are numeric columns, null counted as the lowest; ``group`` names a
+    ``dimensions`` are columns of numbers, or of strings, which are taken whole in the order of
+    their UTF-8 bytes; null counts as the lowest. ``group`` names a
     column whose equal values lie together; ``tie`` orders rows of one place.
     Shard counts differ by one row at most, also with fewer rows than shards; no rows give
     an empty table.
     """
     names = [f"__d{i}" for i in range(len(dimensions))]
-    numbered = rows.select(
-        "*", *[F.coalesce(c.cast("double"), F.lit(float("-inf"))).alias(n) for n, c in zip(names, dimensions.values())]
-    )
+    numbered = rows.select("*", *[c.alias(n) for n, c in zip(names, dimensions.values())])
+    text = {n for n in names if numbered.schema[n].dataType.typeName() == "string"}
+    numbered = numbered.withColumns({n: F.col(n).cast("double") for n in names if n not in text})
     numbered = via_table(numbered, "dimensions")
     steps = [i / (1 << bits) for i in range(1, 1 << bits)]
     cuts = numbered.agg(
-        *[F.percentile_approx(F.when(F.col(n) > float("-inf"), F.col(n)), steps, 10_000).alias(n) for n in names]
+        F.lit(0), *[F.percentile_approx(n, steps, 10_000).alias(n) for n in names if n not in text]
     ).first()
-    cells = [quantised(F.col(n), sorted(set(cuts[n] or []))) for n in names]
+    bounds = {n: value_bounds(numbered, n, 1 << bits) if n in text else sorted(set(cuts[n] or [])) for n in names}
+    cells = [quantised(F.col(n), bounds[n]) for n in names]
     placed = numbered.withColumn("curve", hilbert_index(cells, bits)).drop(*names)
     if group is not None:
         lead = placed.groupBy(group).agg(F.min("curve").alias("__lead"), F.count("*").alias("__copies"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from civicpulse.llm.ans import read_tokens, write_tokens
 from civicpulse.llm.chat import conversation_digests
 from civicpulse.llm.divergence import quality_rules
-from civicpulse.llm.hilbert import hilbert_shards, ordered_number
+from civicpulse.llm.hilbert import hilbert_shards
 from civicpulse.llm.htmltext import extract_main_text
 from civicpulse.llm.licenses import license_report
 from civicpulse.llm.packing import pack_documents
@@ -138,7 +138,7 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.xxhash64(text).alias("same"), "lang", "source",
     )
     dimensions = {
-        "size": F.col("size"), "lang": ordered_number("lang"), "source": ordered_number("source"),
+        "size": F.col("size"), "lang": F.col("lang"), "source": F.col("source"),
     }
     sharded = hilbert_shards(rows, dimensions, shards=16, group="same", tie=("doc_id",))
     return sharded.select(

@@ -6,7 +6,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
-from civicpulse.llm.hilbert import hilbert_index, hilbert_shards, ordered_number
+from civicpulse.llm.hilbert import hilbert_index, hilbert_shards, value_bounds
 from civicpulse.llm.licenses import license_report, scan_licenses, signature_rules
 from helpers import plan_text
 
@@ -26,7 +26,7 @@ def test_curve_visits_every_cell_by_single_steps(spark, n, bits):
 def test_shards_of_awkward_rows(spark, docs, nothing):
     def shard(frame, n=4):
         rows = frame.select("*", F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("same"))
-        sizes = {"size": F.length("text"), "lang": ordered_number("lang"), "source": ordered_number("source")}
+        sizes = {"size": F.length("text"), "lang": F.col("lang"), "source": F.col("source")}
         return hilbert_shards(rows, sizes, n, group="same", tie=("doc_id",))
 
     got = shard(docs).collect()
@@ -167,3 +167,29 @@ def test_notices_without_the_word_license(spark):
     got = {r.doc_id: r for r in license_report(frame).collect()}
     for i, label in enumerate(texts.values()):
         assert label in got[i].labels.split(",") and (got[i].score > 0) == bool(label), got[i]
+
+
+def test_strings_that_begin_alike_are_told_apart(spark):
+    rows = spark.range(3200).select(
+        "id", F.when(F.col("id") % 40 == 0, None).otherwise(F.format_string("https://www.example.com/%05d", "id")).alias("url")
+    ).repartition(5)
+    bounds = value_bounds(rows, "url", 32)
+    assert len(bounds) == 31
+    held = sorted(r.url for r in rows.collect() if r.url)
+    for i, bound in enumerate(bounds, 1):
+        assert abs(held.index(bound) - i * len(held) / 32) <= 1
+    spread = hilbert_shards(rows, {"url": F.col("url")}, shards=8).groupBy("shard").agg(F.min("url").alias("lo"), F.max("url").alias("hi")).orderBy("shard").collect()
+    cells = [(r.lo, r.hi) for r in spread]
+    assert all(a[1] < b[0] or a[1][:-3] <= b[0] for a, b in zip(cells, cells[1:])) and len({c[0] for c in cells}) == 8
+    assert value_bounds(rows.where("id < 0"), "url", 32) == []
+    hot = spark.range(900).select(F.when(F.col("id") < 600, "m").otherwise(F.col("id").cast("string")).alias("v"))
+    assert value_bounds(hot, "v", 4)[-1] == "m"
+
+
+def test_sources_of_one_prefix_shape_the_curve(spark):
+    def sharded(prefix):
+        rows = spark.range(2000).select("id", F.concat(F.lit(prefix), (F.col("id") % 20).cast("string")).alias("source"), (F.col("id") * 7919 % 997).alias("size"))
+        out = hilbert_shards(rows, {"size": F.col("size"), "source": F.col("source")}, tie=("id",))
+        return sorted(tuple(r) for r in out.select("id", "shard", "slot").collect())
+
+    assert sharded("src") == sharded("https://www.example.com/")
