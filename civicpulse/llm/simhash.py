@@ -6,12 +6,14 @@ some block differs in at most r bits. For each block a vantage-point tree
 partitions the fingerprints by their distance, within the block, to a vantage point: what
 is nearer than the median goes left, the rest right, and by the triangle bound a
 neighbour of a left point lies below median + r, so exactly the right points in
-that boundary ring are sent left as well. The top of each tree (from a bounded sample,
-which shapes shards but never results) deals fingerprints out to shards; the rest of
+that boundary ring are sent left as well. The top of each tree deals fingerprints out to
+shards. It is grown in rounds: of every shard that is still crowded a few points, drawn by hash,
+give the vantage points and medians of its next levels (which shapes shards but never results;
+the driver sees ``DRAWN`` points a round at most, whatever the number of fingerprints). The rest of
 the tree is grown inside each shard, and leaves are compared exactly on all 64 bits.
 
 Equal fingerprints are one row from the start, a leaf returns each linked group as a
-star, and a shard above ``shard_rows`` rows is split into blocks that meet in pairs, so no
+star, and a shard that no vantage point splits is cut into blocks that meet in pairs, so no
 task sees more than two blocks and no group is expanded into its pairs.
 """
 
@@ -33,6 +35,10 @@ from civicpulse.session import broadcast_within, via_table
 SEED = 42
 BITS = 64
 LEAF = 96
+# Points drawn in a round, of one crowded shard at most, and rounds of growing.
+DRAWN = 131_072
+DRAWN_OF_SHARD = 4_096
+ROUNDS = 12
 _BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little")
 _BYTE_AT = np.arange(8) * 256
 
@@ -188,11 +194,52 @@ def _shard_rows(trees: list, plan: list[tuple[int, int]]):
     return deal
 
 
+def _extended(tree: dict | None, code: int, grown: dict) -> dict:
+    """``tree`` with ``grown`` in place of the shard that ``code`` leads to."""
+    if code == 1:
+        return grown
+    top = code.bit_length() - 2
+    side = "right" if (code >> top) & 1 else "left"
+    return {**tree, side: _extended(tree[side], (1 << top) | (code & ((1 << top) - 1)), grown)}
+
+
+def _grown(points: DataFrame, plan: list[tuple[int, int]], shard_rows: int) -> list[dict | None]:
+    """A tree top per block of bits, under which shards hold about ``shard_rows`` points."""
+    spark, trees, stuck = points.sparkSession, [None] * len(plan), set()
+    rng = np.random.default_rng(11)
+    for _ in range(ROUNDS):
+        dealt = points.mapInArrow(_shard_rows(trees, plan), "shard long, point long")
+        sizes = dealt.groupBy("shard").agg(F.count("*").alias("rows")).where(F.col("rows") > 2 * shard_rows)
+        # The largest first; the others have their turn in a later round.
+        sizes = sizes.where(~F.col("shard").isin(*stuck)) if stuck else sizes
+        crowded = sizes.orderBy(F.desc("rows"), "shard").limit(DRAWN // 256).collect()
+        if not crowded:
+            break
+        most = min(DRAWN_OF_SHARD, DRAWN // len(crowded))
+        # A sixteenth of a shard at most: small sets are not drawn whole either.
+        shares = [(r.shard, min(1 / 16, most / r.rows)) for r in crowded]
+        shares = F.broadcast(spark.createDataFrame(shares, "shard long, share double"))
+        drawn = dealt.join(shares, "shard").where(
+            F.pmod(F.xxhash64("point"), F.lit(1 << 30)) < F.col("share") * (1 << 30)
+        )
+        found = drawn.select("shard", "point").toPandas()
+        for row in crowded:
+            part, code = row.shard & 255, row.shard >> 8
+            sample = found["point"][found["shard"] == row.shard].to_numpy(np.int64).view(np.uint64)
+            depth = int(np.ceil(np.log2(row.rows / shard_rows)))
+            depth = min(depth, max(1, int(np.log2(max(len(sample), 1) / 32))))
+            grown = _grow(sample, *plan[part], depth, rng)
+            if grown is None:
+                stuck.add(row.shard)
+            else:
+                trees[part] = _extended(trees[part], code, grown)
+    return trees
+
+
 def links(
     points: DataFrame,
     max_distance: int = 4,
     shard_rows: int = 20_000,
-    sample_rows: int = 100_000,
     blocks: int = 3,
 ) -> DataFrame:
     """``(a, b)`` edges that connect all fingerprints within ``max_distance`` bits.
@@ -200,17 +247,9 @@ def links(
     ``points`` has one column of distinct signed longs. Edges form stars, so the edge
     count stays below the rows dealt out; their components are those of all pairs.
     """
-    spark = points.sparkSession
     points = points.toDF("point")
     plan = block_plan(max_distance, blocks)
-    total = points.count()
-    share = min(1.0, sample_rows / max(total, 1))
-    rows = points.sample(share, seed=7).limit(2 * sample_rows).toPandas()["point"]
-    sample = np.unique(rows.to_numpy(dtype=np.int64).view(np.uint64))
-    depth = max(0, int(np.ceil(np.log2(max(total, 1) / shard_rows))) + 1)
-    depth = min(depth, max(0, int(np.log2(max(len(sample), 1) / 32))))
-    rng = np.random.default_rng(11)
-    trees = [_grow(sample, mask, radius, depth, rng) for mask, radius in plan]
+    trees = _grown(points, plan, shard_rows)
     dealt = points.mapInArrow(_shard_rows(trees, plan), "shard long, point long")
     crowded = (
         dealt.groupBy("shard")

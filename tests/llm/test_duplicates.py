@@ -7,6 +7,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+from civicpulse.llm import simhash
 from civicpulse.llm.components import components
 from civicpulse.llm.positional import Probes, _block, _spans, contamination, drop_contaminated
 from civicpulse.llm.simhash import (
@@ -81,7 +82,7 @@ def test_links_connect_what_brute_force_connects(spark):
     points = clustered(3)
     frame = spark.createDataFrame([(int(np.uint64(p).view(np.int64)),) for p in points], "p bigint")
     # Small shards: several levels of trees, crowded shards cut into pairs of blocks.
-    edges = links(frame, 4, shard_rows=20, sample_rows=400)
+    edges = links(frame, 4, shard_rows=20)
     found = components(edges).collect()
     groups = {}
     for r in found:
@@ -90,6 +91,20 @@ def test_links_connect_what_brute_force_connects(spark):
     assert sorted(map(sorted, groups.values())) == want
 
 
+def test_trees_grow_in_rounds_from_few_points(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    points = np.unique(rng.integers(0, 1 << 62, 6000))
+    frame = spark.createDataFrame([(int(p),) for p in points], "point bigint")
+    monkeypatch.setattr(simhash, "DRAWN_OF_SHARD", 64)
+    plan = block_plan(4)
+    trees = simhash._grown(frame, plan, 400)
+    held = frame.mapInArrow(simhash._shard_rows(trees, plan), "shard long, point long")
+    sizes = [r["count"] for r in held.groupBy("shard").count().collect()]
+    assert len(sizes) > 30 and max(sizes) < 2400
+    monkeypatch.setattr(simhash, "ROUNDS", 0)
+    assert simhash._grown(frame, plan, 400) == [None] * 3
+
+
 def test_crowded_leaf_is_not_expanded_into_pairs():
     base = 0x0123456789ABCDEF
     points = np.array([base ^ (1 << i) ^ (1 << j) for i in range(22, 64) for j in range(22, i + 1)], np.uint64)
