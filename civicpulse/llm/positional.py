@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from civicpulse.llm.rowkeys import MARK, text_mark, without
-from civicpulse.llm.words import alnum_words
+from civicpulse.llm.words import alnum_words, utf8
 from civicpulse.session import via_table
 
 GAP = 64
@@ -260,27 +260,35 @@ def search(
     """Spans of ``index`` that match windows of ``items``: exact ones, and near ones if ``slop``.
 
     Items are read in portions of at most ``portion_bytes`` of text (an item larger than
-    that is one portion), each sent to all blocks; a null text has no windows.
+    that is one portion). Each portion is sent to all blocks, its spans are written as a table, and
+    it is released before the next is read; a null text has no windows.
     """
     spark = index.sparkSession
-    portions: list[list[tuple[str, str | None]]] = [[]]
-    held = 0
-    for name, text in items.select(F.col(id_col).cast("string"), text_col).toLocalIterator():
-        size = len(text or "")
-        if held and held + size > portion_bytes:
-            portions.append([])
-            held = 0
-        portions[-1].append((str(name), text))
-        held += size
     lists = index.select("block", "starts", "terms", "heads", "postings")
-    found = None
-    for portion in portions:
+    found = spark.createDataFrame([], SPAN_SCHEMA)
+    for portion in _portions(items.select(F.col(id_col).cast("string"), text_col), portion_bytes):
         probes = spark.sparkContext.broadcast(Probes(portion, window))
         part = lists.mapInArrow(_search(probes, min(slop, GAP - 1)), SPAN_SCHEMA)
-        found = part if found is None else found.union(part)
+        found = found.union(via_table(part, "spans"))
+        probes.destroy()
     return found
 
 
+def _portions(items: DataFrame, most_bytes: int) -> Iterator[list[tuple[str, str | None]]]:
+    """Items ``(name, text)``, a bounded number of bytes at a time."""
+    portion: list[tuple[str, str | None]] = []
+    held = 0
+    for name, text in items.toLocalIterator():
+        size = len(utf8(text))
+        if portion and held + size > most_bytes:
+            yield portion
+            portion, held = [], 0
+        portion.append((str(name), text))
+        held += size
+    if portion:
+        yield portion
+
+
 def index_documents(index: DataFrame) -> DataFrame:
     """``(block, ordinal, key, mark, n_words)`` of every indexed document."""
     return index.select(
@@ -322,7 +330,6 @@ def contamination(
     """
     index = via_table(build_index(docs, id_col, text_col), "index")
     spans = search(index, items, window, slop, item_id, item_text)
-    spans = via_table(spans, "spans")
     found = hit_words(spans)
     if slop:
         near = spans.where("NOT exact").groupBy("block", "ordinal").agg(F.collect_set("item").alias("near"))
