@@ -34,7 +34,10 @@ BINS = 256
 LEAST_GAIN = 1e-6
 REMEMBERED_BYTES = 64 << 20
 SUMS_SCHEMA = "part int, keys binary, g binary, h binary, totals binary"
-SPLIT_SCHEMA = "slot int, gain double, feature int, bin int, zeros_left boolean, g double, h double, left_g double, left_h double"
+SPLIT_SCHEMA = (
+    "slot int, gain double, feature int, bin int, zeros_left boolean, g double, h double, "
+    "left_g double, left_h double, loss double"
+)
 LOSS_SCHEMA = "label int, loss double"
 
 
@@ -124,6 +127,10 @@ def _probability(margins: np.ndarray) -> np.ndarray:
     return np.exp(-np.logaddexp(0.0, -margins))
 
 
+def _loss(margins: np.ndarray, targets: np.ndarray) -> np.ndarray:
+    return np.logaddexp(0.0, np.where(targets > 0, -margins, margins)).sum(axis=0)
+
+
 def _binned(cuts: "Cuts", n_classes: int):
     names = ["block", "sizes", "indices", "values", "targets"]
 
@@ -198,11 +205,13 @@ def _level_sums(fit: str, forest, rounds: int, tree: tuple, going: np.ndarray, l
         growing = Forest(held.base, held.depth)
         growing.feature, growing.bin, growing.zeros_left, growing.value = tree
         keys, gs, hs = [], [], []
-        totals = np.zeros((2, len(live) * count))
+        totals = np.zeros((3, len(live) * count))  # gradients, hessians and, at the root, losses
         for number, n, codes, rows, targets in _read_binned(batches, n_classes):
             margins = _REMEMBERED.margins(fit, number, held, rounds, codes, rows, n)
             p = _probability(margins)
             g_all, h_all = p - targets[:, live], np.maximum(p * (1 - p), 1e-16)
+            if level == 0:
+                totals[2] += _loss(margins, targets[:, live])
             for k in range(len(live)):
                 if not going[k]:
                     continue
@@ -298,7 +307,7 @@ def _level_splits(span: int, penalty: float, least_weight: float):
                 gs.append(np.frombuffer(g.as_buffer(), "<f4"))
                 hs.append(np.frombuffer(h.as_buffer(), "<f4"))
                 part = part.as_py()
-                totals[part] = totals.get(part, 0) + np.frombuffer(total.as_buffer()).reshape(2, -1)
+                totals[part] = totals.get(part, 0) + np.frombuffer(total.as_buffer()).reshape(3, -1)
         if not keys:
             return
         total = next(iter(totals.values()))  # every range of features has them all
@@ -309,16 +318,17 @@ def _level_splits(span: int, penalty: float, least_weight: float):
                 pa.array(slot, pa.int32()), pa.array(found[1], pa.float64()), pa.array(found[2], pa.int32()),
                 pa.array(found[3], pa.int32()), pa.array(found[4].astype(bool)), pa.array(total[0][slot], pa.float64()),
                 pa.array(total[1][slot], pa.float64()), pa.array(found[5], pa.float64()), pa.array(found[6], pa.float64()),
+                pa.array(total[2][slot], pa.float64()),
             ],
             names,
         )
-        if 0 in totals:  # once a level: what nodes weigh that are not split
+        if 0 in totals:  # once a level: what whole nodes weigh, split or not
             every = np.arange(total.shape[1])
             none = np.zeros(len(every))
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(every, pa.int32()), pa.array(none - 1), pa.array(none.astype(np.int32)), pa.array(none.astype(np.int32)),
-                    pa.array(none > 0), pa.array(total[0]), pa.array(total[1]), pa.array(none), pa.array(none),
+                    pa.array(none > 0), pa.array(total[0]), pa.array(total[1]), pa.array(none), pa.array(none), pa.array(total[2]),
                 ],
                 names,
             )
@@ -331,7 +341,7 @@ def _losses(fit: str, forest, rounds: int, n_classes: int, live: np.ndarray):
         total = np.zeros(len(live))
         for number, n, codes, rows, targets in _read_binned(batches, n_classes):
             margins = _REMEMBERED.margins(fit, number, forest.value, rounds, codes, rows, n)
-            total += np.logaddexp(0.0, np.where(targets[:, live] > 0, -margins, margins)).sum(axis=0)
+            total += _loss(margins, targets[:, live])
         yield pa.RecordBatch.from_arrays([pa.array(range(len(total)), pa.int32()), pa.array(total)], ["label", "loss"])
 
     return losses
@@ -367,23 +377,24 @@ class BoostedTrees:
         context = blocks.sparkSession.sparkContext
         for at in range(self.trees if len(live) else 0):
             sent = context.broadcast(forest)
-            losses.append(self._loss(blocks, fit, sent, at, len(classes), live))
-            tree = self._tree(blocks, fit, sent, at, len(classes), live, width)
+            tree, loss = self._tree(blocks, fit, sent, at, len(classes), live, width)
+            losses.append(loss)
             forest = _joined(forest, tree)
             sent.destroy()
         if len(live):
             sent = context.broadcast(forest)
-            losses.append(self._loss(blocks, fit, sent, len(forest), len(classes), live))
+            losses.append(self._last_loss(blocks, fit, sent, len(forest), len(classes), live))
             sent.destroy()
         return TreesModel(classes, positives, n, live, forest, cuts, np.array(losses).reshape(-1, len(live)), self)
 
-    def _loss(self, blocks: DataFrame, fit: str, sent, rounds: int, n_classes: int, live: np.ndarray) -> np.ndarray:
+    def _last_loss(self, blocks: DataFrame, fit: str, sent, rounds: int, n_classes: int, live: np.ndarray) -> np.ndarray:
         rows = blocks.mapInArrow(_losses(fit, sent, rounds, n_classes, live), LOSS_SCHEMA)
         found = {r.label: r.loss for r in rows.groupBy("label").agg(F.sum("loss").alias("loss")).collect()}
         return np.array([found.get(k, 0.0) for k in range(len(live))])
 
-    def _tree(self, blocks: DataFrame, fit: str, sent, rounds: int, n_classes: int, live: np.ndarray, width: int) -> Forest:
-        tree = Forest(sent.value.base, self.depth)
+    def _tree(self, blocks: DataFrame, fit: str, sent, rounds: int, n_classes: int, live: np.ndarray, width: int) -> tuple[Forest, np.ndarray]:
+        """The next tree of every class, and each class's loss before it."""
+        tree, losses = Forest(sent.value.base, self.depth), np.zeros(len(live))
         tree.grow()
         span, parts = width * BINS, min(int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions")), width)
         going = np.ones(len(live), bool)
@@ -401,6 +412,7 @@ class BoostedTrees:
                 whole = found[found["gain"] < 0]
                 for r in whole.itertuples():
                     tree.value[0, r.slot, 0] = -self.rate * r.g / (r.h + self.penalty)
+                    losses[r.slot] = r.loss
             best = found[found["gain"] > 0].sort_values(["gain", "feature"], ascending=[False, True]).drop_duplicates("slot")
             going[:] = False
             for r in best.itertuples():
@@ -413,7 +425,7 @@ class BoostedTrees:
                 tree.value[0, label, right] = -self.rate * (r.g - r.left_g) / (r.h - r.left_h + self.penalty)
             if not going.any():
                 break
-        return tree
+        return tree, losses
 
 
 def _joined(one: Forest, two: Forest) -> Forest:
