@@ -18,7 +18,7 @@ from civicpulse.ml.labels import binarize
 from civicpulse.session import scratch_path
 
 BLOCK_ROWS = 8192
-BLOCK_CELLS = 1 << 20
+BLOCK_CELLS = 1 << 17
 BLOCK_SCHEMA = "block long, sizes binary, indices binary, values binary, targets binary"
 
 
@@ -138,7 +138,10 @@ def settled(blocks: DataFrame, purpose: str) -> DataFrame:
     quick = blocks.sparkSession.newSession()
     quick.conf.set("spark.sql.adaptive.enabled", "false")
     quick.conf.set("spark.sql.shuffle.partitions", blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return quick.read.schema(blocks.schema).parquet(path)
+    table = quick.read.schema(blocks.schema).parquet(path)
+    # Few files would leave most cores idle in every pass; the blocks are dealt out once.
+    cores = quick.sparkContext.defaultParallelism
+    return table.repartition(cores) if table.rdd.getNumPartitions() < cores else table
 
 
 def feature_count(rows: DataFrame, features: str) -> int:

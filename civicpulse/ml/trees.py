@@ -31,6 +31,7 @@ from civicpulse import fixed_values as fixed
 from civicpulse.ml.blocks import class_counts, feature_count, read_blocks, settled, to_blocks, vector_cells
 
 BINS = 256
+BINS_OF_PART = 100_000
 LEAST_GAIN = 1e-6
 REMEMBERED_BYTES = 64 << 20
 SUMS_SCHEMA = "part int, keys binary, g binary, h binary, totals binary"
@@ -373,11 +374,14 @@ class BoostedTrees:
         live = np.nonzero((positives > 0) & (positives < n))[0]
         rate = positives[live] / max(n, 1)
         forest, fit = Forest(np.log(rate / (1 - rate)), self.depth), uuid.uuid4().hex
+        # Ranges of features, by how many bins there are to scan.
+        most = min(int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions")), width)
+        parts = min(most, 1 + len(cuts.points) // BINS_OF_PART)
         losses = []
         context = blocks.sparkSession.sparkContext
         for at in range(self.trees if len(live) else 0):
             sent = context.broadcast(forest)
-            tree, loss = self._tree(blocks, fit, sent, at, len(classes), live, width)
+            tree, loss = self._tree(blocks, fit, sent, at, len(classes), live, width, parts)
             losses.append(loss)
             forest = _joined(forest, tree)
             sent.destroy()
@@ -392,11 +396,11 @@ class BoostedTrees:
         found = {r.label: r.loss for r in rows.groupBy("label").agg(F.sum("loss").alias("loss")).collect()}
         return np.array([found.get(k, 0.0) for k in range(len(live))])
 
-    def _tree(self, blocks: DataFrame, fit: str, sent, rounds: int, n_classes: int, live: np.ndarray, width: int) -> tuple[Forest, np.ndarray]:
+    def _tree(self, blocks: DataFrame, fit: str, sent, rounds: int, n_classes: int, live: np.ndarray, width: int, parts: int) -> tuple[Forest, np.ndarray]:
         """The next tree of every class, and each class's loss before it."""
         tree, losses = Forest(sent.value.base, self.depth), np.zeros(len(live))
         tree.grow()
-        span, parts = width * BINS, min(int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions")), width)
+        span = width * BINS
         going = np.ones(len(live), bool)
         for level in range(self.depth):
             count, first = 1 << level, (1 << level) - 1
