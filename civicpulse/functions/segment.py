@@ -5,13 +5,18 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterable
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from civicpulse.functions.text import Tokenizer, words
 
 MOST_WORDS = 2_000_000
+# Pieces whose cuts a worker remembers, and how long they may be.
+MOST_CUTS = 200_000
+LONGEST_PIECE = 64
 
 
 class Segmenter:
@@ -26,6 +31,7 @@ class Segmenter:
         import ahocorasick
 
         self.automaton = ahocorasick.Automaton()
+        self.cuts: dict[str, list[str]] = {}
         for word in dictionary:
             if word:
                 self.automaton.add_word(word, len(word))
@@ -36,6 +42,8 @@ class Segmenter:
         n = len(text)
         if not n or not len(self.automaton):
             return [text] if n else []
+        if text in self.automaton:  # one token and nothing left over: no cut is better
+            return [text]
         starts: list[list[int]] = [[] for _ in range(n)]
         for end, size in self.automaton.iter(text):
             starts[end + 1 - size].append(end + 1)
@@ -66,6 +74,36 @@ class Segmenter:
             at = end
         return found
 
+    def cut_again(self, text: str) -> list[str]:
+        """:meth:`cut`, remembered for short pieces; a full memory is begun anew."""
+        found = self.cuts.get(text)
+        if found is None:
+            found = self.cut(text)
+            if len(text) <= LONGEST_PIECE:
+                if len(self.cuts) >= MOST_CUTS:
+                    self.cuts.clear()
+                self.cuts[text] = found
+        return found
+
+    def cut_all(self, rows: pa.ListArray) -> pa.ListArray:
+        """Every row's pieces cut, equal pieces of the rows once; a null row stays null."""
+        sizes = pc.fill_null(pc.list_value_length(rows), 0).to_numpy(zero_copy_only=False)
+        pieces = rows.flatten().dictionary_encode()
+        cuts = [self.cut_again(p) for p in pieces.dictionary.to_pylist()]
+        if not cuts:
+            return pa.ListArray.from_arrays(pa.array(np.zeros(len(rows) + 1, np.int32), mask=_ends(rows)), pa.array([], pa.string()))
+        lengths = np.array([len(c) for c in cuts], np.int64)
+        at = pieces.indices.to_numpy()
+        tokens = pa.array(cuts, pa.list_(pa.string())).take(pieces.indices).flatten()
+        before = np.concatenate(([0], np.cumsum(lengths[at])))
+        heads = before[np.concatenate(([0], np.cumsum(sizes)))]
+        return pa.ListArray.from_arrays(pa.array(heads.astype(np.int32), mask=_ends(rows)), tokens)
+
+
+def _ends(rows: pa.Array) -> np.ndarray:
+    """Which offsets of a list array are null, so that null rows are."""
+    return np.append(rows.is_null().to_numpy(zero_copy_only=False), False)
+
 
 # One segmenter per dictionary and worker process: it is built once, not once a batch.
 _BUILT: dict[str, Segmenter] = {}
@@ -90,11 +128,7 @@ def dictionary_tokenizer(dictionary: DataFrame, column: str) -> Tokenizer:
         if built is None:
             segment._BUILT.clear()
             built = segment._BUILT[name] = Segmenter(sent.value)
-        out = [
-            None if row is None else [token for piece in row for token in built.cut(piece)]
-            for row in (p.as_py() for p in pieces)
-        ]
-        return pa.array(out, pa.list_(pa.string()))
+        return built.cut_all(pieces)
 
     def tokenize(text: Column) -> Column:
         return cut(words(text))

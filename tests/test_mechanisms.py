@@ -143,6 +143,24 @@ def test_dictionary_query_equals_a_plain_version(spark):
     assert got == want
 
 
+def test_equal_pieces_are_cut_once(monkeypatch):
+    import pyarrow as pa
+
+    from civicpulse.functions import segment
+
+    cuts, plain = [], Segmenter.cut
+    monkeypatch.setattr(Segmenter, "cut", lambda self, text: cuts.append(text) or plain(self, text))
+    built = Segmenter(["ab", "abc", "cd", "d"])
+    rows = pa.array([["abcd", "zz", "ab"], None, [], ["abcd"], ["", "abx", "abcd"]], pa.list_(pa.string()))
+    want = [["abc", "d", "zz", "ab"], None, [], ["abc", "d"], ["ab", "x", "abc", "d"]]
+    assert built.cut_all(rows).to_pylist() == want
+    assert built.cut_all(rows.slice(1, 3)).to_pylist() == want[1:4]
+    assert built.cut_all(rows.slice(1, 2)).to_pylist() == [None, []]
+    assert sorted(cuts) == sorted({"abcd", "zz", "ab", "", "abx"})
+    monkeypatch.setattr(segment, "MOST_CUTS", 2)  # a memory that overflows changes nothing
+    assert Segmenter(["ab", "abc", "cd", "d"]).cut_all(rows).to_pylist() == want
+
+
 def features_words(text):
     import regex
 
