@@ -119,7 +119,8 @@ def ngrams(t):
 
 @query("vocabulary", f"WITH {SQL_VOCABULARY} SELECT term, tf, df FROM vocabulary")
 def vocabulary(t):
-    return features.vocabulary(features.with_terms(t.documents, "text"))
+    tokens = features.with_terms(t.documents, "text", ngram_range=(1, 1))
+    return features.vocabulary(tokens, ngram_range=fixed.NGRAM_RANGE)
 
 
 @query(

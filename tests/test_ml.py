@@ -157,3 +157,19 @@ def test_constant_classes(spark, complaints):
     assert model.models == [1, 0]
     predicted = model.transform(train).select("predicted").distinct()
     assert column(predicted, "predicted") == [[1, 0]]
+
+
+@pytest.mark.parametrize("most", [1, 5, 1 << 20])
+@pytest.mark.parametrize("low, high", [(1, 1), (1, 2), (2, 3)])
+def test_ngrams_are_counted_from_tokens(spark, monkeypatch, most, low, high):
+    monkeypatch.setattr(features, "SLICE_TERMS", most)
+    rows = [["a", "b", "a", "b"], None, [], ["b"], ["a b", "c", "a"], ["c", "a", "b", "c"]]
+    want = {}
+    for tokens in filter(None, rows):
+        grams = [" ".join(tokens[i : i + n]) for n in range(low, high + 1) for i in range(len(tokens) - n + 1)]
+        for g in set(grams):
+            tf, texts = want.get(g, (0, 0))
+            want[g] = (tf + grams.count(g), texts + 1)
+    df = spark.createDataFrame([(r,) for r in rows], "terms array<string>").coalesce(1)
+    got = {r.term: (r.tf, r.df) for r in features.term_statistics(df, ngram_range=(low, high)).collect()}
+    assert got == want
