@@ -8,11 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from civicpulse.ml.labels import binarize
 from civicpulse.session import scratch_path
@@ -43,10 +45,18 @@ class Block:
         filled = self.sizes > 0
         if filled.any():
             heads = (np.cumsum(self.sizes) - self.sizes)[filled]
-            out[filled] = np.add.reduceat(self.values[:, None] * weights[self.indices], heads)
+            # A class at a time: sums along one axis are several times faster than of narrow rows.
+            for k in range(weights.shape[1]):
+                out[filled, k] = np.add.reduceat(self.values * np.ascontiguousarray(weights[:, k])[self.indices], heads)
         return out
 
 
+@cache
+def parsed(schema: str) -> StructType:
+    """A schema as a type, so that a short pass need not have the JVM read its text anew."""
+    return StructType.fromDDL(schema)
+
+
 def vector_cells(vector: Column) -> tuple[Column, Column]:
     """Indices and values of a vector column."""
     raw = F.unwrap_udt(vector)

@@ -28,10 +28,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from civicpulse import fixed_values as fixed
-from civicpulse.ml.blocks import class_counts, feature_count, read_blocks, settled, to_blocks, vector_cells
+from civicpulse.ml.blocks import class_counts, feature_count, parsed, read_blocks, settled, to_blocks, vector_cells
 
 BINS = 256
-BINS_OF_PART = 100_000
+BINS_OF_PART = 25_000
+SCANNED = 8_192
 LEAST_GAIN = 1e-6
 REMEMBERED_BYTES = 64 << 20
 SUMS_SCHEMA = "part int, keys binary, g binary, h binary, totals binary"
@@ -263,6 +264,19 @@ def best_splits(key, g, h, totals: np.ndarray, span: int, penalty: float, least_
     if not len(heads):
         return [np.empty(0)] * 7
     key, g, h = key[heads], np.add.reduceat(g, heads), np.add.reduceat(h, heads)
+    # Whole columns (slot and feature), so many at a time that what is worked out stays in the cache.
+    columns = np.flatnonzero(np.diff(key // BINS, prepend=-1))
+    cuts = columns[np.flatnonzero(np.diff(columns // SCANNED, prepend=-1))]
+    found = [_scan(key[a:b], g[a:b], h[a:b], totals, span, penalty, least_weight) for a, b in zip(cuts, [*cuts[1:], len(key)])]
+    slot, gain, *rest = (np.concatenate(x) for x in zip(*found))
+    # Of a slot's equal gains the first is kept, as in one scan.
+    order = np.lexsort((np.arange(len(slot)), -gain, slot))
+    chosen = order[np.flatnonzero(np.diff(slot[order], prepend=-1))]
+    return [slot[chosen], gain[chosen], *(x[chosen] for x in rest)]
+
+
+def _scan(key, g, h, totals: np.ndarray, span: int, penalty: float, least_weight: float):
+    """:func:`best_splits` of ascending, distinct keys."""
     column = key // BINS
     starts = np.flatnonzero(np.diff(column, prepend=-1))
     sizes = np.diff(np.append(starts, len(key)))
@@ -376,7 +390,8 @@ class BoostedTrees:
         forest, fit = Forest(np.log(rate / (1 - rate)), self.depth), uuid.uuid4().hex
         # Ranges of features, by how many bins there are to scan.
         most = min(int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions")), width)
-        parts = min(most, 1 + len(cuts.points) // BINS_OF_PART)
+        cores = blocks.sparkSession.sparkContext.defaultParallelism
+        parts = min(most, cores, 1 + len(cuts.points) // BINS_OF_PART)
         losses = []
         context = blocks.sparkSession.sparkContext
         for at in range(self.trees if len(live) else 0):
@@ -407,9 +422,9 @@ class BoostedTrees:
             shape = (tree.feature, tree.bin, tree.zeros_left, tree.value)
             task = _level_sums(fit, sent, rounds, shape, going, level, width, parts, n_classes, live)
             found = (
-                blocks.mapInArrow(task, SUMS_SCHEMA)
+                blocks.mapInArrow(task, parsed(SUMS_SCHEMA))
                 .repartition(parts, "part")
-                .mapInArrow(_level_splits(span, self.penalty, self.least_weight), SPLIT_SCHEMA)
+                .mapInArrow(_level_splits(span, self.penalty, self.least_weight), parsed(SPLIT_SCHEMA))
                 .toPandas()  # at most a row per node and range of features
             )
             if level == 0:

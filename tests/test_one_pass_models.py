@@ -190,6 +190,29 @@ def test_split_needs_weight_on_both_sides():
     assert [f.tolist() for f in found] == [[0], [6.0], [3], [0], [False], [-3.0], [2.0]]
 
 
+def test_splits_do_not_hang_on_the_portions_scanned(monkeypatch):
+    from civicpulse.ml import trees
+
+    rng = np.random.default_rng(4)
+    keys = [rng.choice(4 * 6 * BINS, 900, replace=False) for _ in range(3)]
+    key = np.concatenate([np.sort(k) for k in keys])
+    g, h = rng.integers(-3, 4, len(key)).astype(float), np.ones(len(key))
+    totals = np.array([[5.0, -3.0, 0.0, 2.0], [1e3, 1e3, 1e3, 1e3]])
+    found = {}
+    for most in (1, 5, 1 << 20):
+        monkeypatch.setattr(trees, "SCANNED", most)
+        found[most] = [x.tolist() for x in best_splits(key, g, h, totals, 6 * BINS, 1.0, 1.0)]
+    assert found[1] == found[5] == found[1 << 20] and found[1][0] == [0, 1, 2, 3]
+
+
+def test_rows_times_weights():
+    sizes, values = np.array([2, 0, 3]), np.array([1.0, 2.0, 3.0, -1.0, 0.5])
+    block = blocks_module.Block(0, sizes, np.array([0, 3, 1, 2, 0]), values, np.zeros((3, 3)))
+    weights = np.arange(12.0).reshape(4, 3)
+    dense = np.array([[1.0, 0, 0, 2], [0, 0, 0, 0], [0.5, 3, -1, 0]])
+    assert block.times(weights) == pytest.approx(dense @ weights)
+
+
 def test_classify_gives_scores_beside_truth(spark):
     data = [(i, f"{'water' if i % 2 else 'road'} place{i % 5}", "{wet}" if i % 2 else "{dry}") for i in range(200)]
     tickets = spark.createDataFrame(data, "ticket_id int, comment string, type string")
