@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from civicpulse import fixed_values as fixed
-from civicpulse.ml.blocks import class_counts, feature_count, read_blocks, settled, to_blocks, vector_cells
+from civicpulse.ml.blocks import class_counts, feature_count, parsed, read_blocks, settled, to_blocks, vector_cells
 
 Loss = Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]
 HISTORY = 10
@@ -88,7 +88,7 @@ def _pass(blocks: DataFrame, task: Linear, weights: np.ndarray, live: np.ndarray
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = sent.value
-        across = np.ascontiguousarray(held[:, :-1].T)
+        across = held[:, :-1].T
         total = np.zeros((len(held), held.shape[1] + 1))
         for block in read_blocks(batches, n_classes):
             sign = 2.0 * block.targets[:, live] - 1
@@ -104,7 +104,7 @@ def _pass(blocks: DataFrame, task: Linear, weights: np.ndarray, live: np.ndarray
         )
 
     rows = (
-        blocks.mapInArrow(sums, "label int, sums array<double>")
+        blocks.mapInArrow(sums, parsed("label int, sums array<double>"))
         .groupBy("label")
         .agg(vector_to_array(Summarizer.sum(array_to_vector("sums"))).alias("sums"))
         .toPandas()  # a vector per class
