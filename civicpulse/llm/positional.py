@@ -45,11 +45,17 @@ class _Terms(dict):
         return number
 
 
-def _block(block: int, keys: list, texts: list, tokens: list[list[bytes]]) -> dict:
-    """One row of the index table."""
-    terms = _Terms()
+def _numbers(terms: _Terms, words: list[bytes]) -> np.ndarray:
+    return np.fromiter((terms[w] for w in words), np.int32, len(words))
+
+
+def _block(block: int, keys: list, texts: list, tokens: list, terms: _Terms | None = None) -> dict:
+    """One row of the index table; ``tokens`` are each document's words, or their numbers in ``terms``."""
+    if terms is None:
+        terms = _Terms()
+        tokens = [_numbers(terms, words) for words in tokens]
     counts = np.array([len(t) for t in tokens], np.int64)
-    ids = np.fromiter((terms[w] for t in tokens for w in t), np.int32, counts.sum())
+    ids = np.concatenate(tokens)
     starts = np.concatenate(([0], np.cumsum(counts + GAP)[:-1]))
     places = np.arange(len(ids)) + np.repeat(np.arange(len(counts)) * GAP, counts)
     order = np.argsort(ids, kind="stable")
@@ -83,7 +89,8 @@ def _build(block_tokens: int):
             ]
         )
         block = TaskContext.get().partitionId() << 32
-        keys, texts, tokens, held = [], [], [], 0
+        # Words are numbered at once: a block never is there as a Python object per word.
+        keys, texts, terms, numbers, held = [], [], _Terms(), [], 0
         for batch in batches:
             for key, mark, text in zip(
                 batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)
@@ -91,13 +98,13 @@ def _build(block_tokens: int):
                 words = alnum_words(text.as_py())
                 keys.append(key)
                 texts.append(mark)
-                tokens.append(words)
+                numbers.append(_numbers(terms, words))
                 held += len(words) + GAP
                 if held >= block_tokens:
-                    yield pa.RecordBatch.from_pylist([_block(block, keys, texts, tokens)], schema)
-                    block, keys, texts, tokens, held = block + 1, [], [], [], 0
+                    yield pa.RecordBatch.from_pylist([_block(block, keys, texts, numbers, terms)], schema)
+                    block, keys, texts, terms, numbers, held = block + 1, [], [], _Terms(), [], 0
         if keys:
-            yield pa.RecordBatch.from_pylist([_block(block, keys, texts, tokens)], schema)
+            yield pa.RecordBatch.from_pylist([_block(block, keys, texts, numbers, terms)], schema)
 
     return build
 

@@ -189,3 +189,32 @@ def test_random_texts_by_block():
     for i, text in enumerate(texts):
         words, found = hit.get(i, [set(), set()])
         assert (len(words), sorted(found)) == slow_hits(text, items, 5)[1:]
+
+
+def test_blocks_are_built_of_numbers(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+    from pyspark import TaskContext
+
+    from civicpulse.llm import positional
+
+    class Task:
+        def partitionId(self):
+            return 3
+
+    texts = ["a b a", None, "b c", "", "c c c a"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(5)), pa.array([7] * 5), pa.array(texts)], ["key", "mark", "text"])
+    held, plain = [], positional._block
+    monkeypatch.setattr(TaskContext, "get", classmethod(lambda cls: Task()))
+    monkeypatch.setattr(positional, "_block", lambda *a: held.append(a) or plain(*a))
+    for most in (1, 130, 1 << 20):
+        held.clear()
+        built = [r for b in positional._build(most)(iter([batch])) for r in b.to_pylist()]
+        assert all(isinstance(n, np.ndarray) for a in held for n in a[3])
+        at = 0
+        for number, row in enumerate(built):
+            n = len(row["keys"])
+            words = [(t or "").encode().split() for t in texts[at : at + n]]
+            assert row == plain((3 << 32) + number, list(range(at, at + n)), [7] * n, words)
+            at += n
+        assert at == 5
