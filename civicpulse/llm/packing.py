@@ -16,12 +16,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from civicpulse.llm.tokens import encoder
+from civicpulse.llm.tokens import MOST_WORDS, encoder
 from civicpulse.session import via_table
 
 END_ID = 2
 WINDOW = 4096
 BATCH_TOKENS = 4_000_000
+# Pieces that a task hands back at once: 8 MB of ids at most.
+HANDED = 512
 PIECES_SCHEMA = (
     "doc_id long, start long, length long, ids binary, doc_tokens long, "
     "task long, place long, offset long"
@@ -75,29 +77,31 @@ class OpenWindows:
         return number, self.window - capacity
 
 
-def _packed(path: str, window: int, end_id: int, batch_tokens: int):
+def _packed(path: str, window: int, end_id: int, batch_tokens: int, most_words: int = MOST_WORDS):
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encode = encoder(path).encode_batch
+        encode = encoder(path, most_words).encode_batch
         task, opened = TaskContext.get().partitionId(), OpenWindows(window)
         names = [part.split()[0] for part in PIECES_SCHEMA.split(", ")]
         pieces: list[tuple] = []
         held = 0
 
-        def placed() -> pa.RecordBatch:
+        def placed() -> Iterator[pa.RecordBatch]:
             pieces.sort(key=lambda p: -p[2])  # stable: ties stay in document order
             where = [opened.put(p[2]) for p in pieces]
-            columns = [*zip(*pieces)]
-            return pa.RecordBatch.from_arrays(
-                [
-                    pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()),
-                    pa.array(columns[2], pa.int64()), pa.array(columns[3], pa.binary()),
-                    pa.array(columns[4], pa.int64()), pa.array([task] * len(pieces), pa.int64()),
-                    pa.array([w for w, _ in where], pa.int64()), pa.array([o for _, o in where], pa.int64()),
-                ],
-                names,
-            )
+            for at in range(0, len(pieces), HANDED):
+                columns = [*zip(*pieces[at : at + HANDED])]
+                spots = where[at : at + HANDED]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()),
+                        pa.array(columns[2], pa.int64()), pa.array(columns[3], pa.binary()),
+                        pa.array(columns[4], pa.int64()), pa.array([task] * len(spots), pa.int64()),
+                        pa.array([w for w, _ in spots], pa.int64()), pa.array([o for _, o in spots], pa.int64()),
+                    ],
+                    names,
+                )
 
         for batch in batches:
             for key, tokens in zip(batch.column(0).to_pylist(), encode(batch.column(1))):
@@ -107,11 +111,11 @@ def _packed(path: str, window: int, end_id: int, batch_tokens: int):
                     pieces.append((key, start, len(part), part.tobytes(), len(ids)))
                 held += len(ids)
                 if held >= batch_tokens:
-                    yield placed()
+                    yield from placed()
                     pieces.clear()
                     held = 0
         if pieces:
-            yield placed()
+            yield from placed()
 
     return pack
 
@@ -124,15 +128,17 @@ def packed_pieces(
     window: int = WINDOW,
     end_id: int = END_ID,
     batch_tokens: int = BATCH_TOKENS,
+    most_words: int = MOST_WORDS,
 ) -> DataFrame:
     """``(doc_id, start, length, ids, doc_tokens, sequence_id, offset)``: one row per piece.
 
     ``ids`` are little-endian unsigned 32-bit numbers. A null or empty text is the end id
     alone; null and repeated ids are documents like any other; an empty table gives none.
+    ``most_words`` bounds the words a worker remembers; it shapes memory and time, never results.
     """
     pieces = via_table(
         docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
-            _packed(tokenizer_path, window, end_id, batch_tokens), PIECES_SCHEMA
+            _packed(tokenizer_path, window, end_id, batch_tokens, most_words), PIECES_SCHEMA
         ),
         "pieces",
     )

@@ -194,6 +194,30 @@ def _shard_rows(trees: list, plan: list[tuple[int, int]]):
     return deal
 
 
+def _shard_sizes(trees: list, plan: list[tuple[int, int]]):
+    """As ``_shard_rows``, but only how many points of a batch fall into each shard."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            points = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
+            rows: dict[int, int] = {}
+            for part, (tree, (mask, radius)) in enumerate(zip(trees, plan)):
+                out: list = []
+                _deal(tree, points, mask, radius, 1, out)
+                rows |= {(code << 8) | part: len(held) for code, held in out}
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([*rows], pa.int64()), pa.array([*rows.values()], pa.int64())], ["shard", "rows"]
+            )
+
+    return count
+
+
+def _sizes(points: DataFrame, trees: list, plan: list[tuple[int, int]]) -> DataFrame:
+    """``(shard, rows)`` of all shards; points are counted where they are dealt."""
+    counted = points.mapInArrow(_shard_sizes(trees, plan), "shard long, rows long")
+    return counted.groupBy("shard").agg(F.sum("rows").alias("rows"))
+
+
 def _extended(tree: dict | None, code: int, grown: dict) -> dict:
     """``tree`` with ``grown`` in place of the shard that ``code`` leads to."""
     if code == 1:
@@ -208,8 +232,7 @@ def _grown(points: DataFrame, plan: list[tuple[int, int]], shard_rows: int) -> l
     spark, trees, stuck = points.sparkSession, [None] * len(plan), set()
     rng = np.random.default_rng(11)
     for _ in range(ROUNDS):
-        dealt = points.mapInArrow(_shard_rows(trees, plan), "shard long, point long")
-        sizes = dealt.groupBy("shard").agg(F.count("*").alias("rows")).where(F.col("rows") > 2 * shard_rows)
+        sizes = _sizes(points, trees, plan).where(F.col("rows") > 2 * shard_rows)
         # The largest first; the others have their turn in a later round.
         sizes = sizes.where(~F.col("shard").isin(*stuck)) if stuck else sizes
         crowded = sizes.orderBy(F.desc("rows"), "shard").limit(DRAWN // 256).collect()
@@ -218,10 +241,12 @@ def _grown(points: DataFrame, plan: list[tuple[int, int]], shard_rows: int) -> l
         most = min(DRAWN_OF_SHARD, DRAWN // len(crowded))
         # A sixteenth of a shard at most: small sets are not drawn whole either.
         shares = [(r.shard, min(1 / 16, most / r.rows)) for r in crowded]
+        lot = F.pmod(F.xxhash64("point"), F.lit(1 << 30))
+        # Points that no shard draws are left out before they are dealt.
+        some = points.where(lot < max(share for _, share in shares) * (1 << 30))
+        dealt = some.mapInArrow(_shard_rows(trees, plan), "shard long, point long")
         shares = F.broadcast(spark.createDataFrame(shares, "shard long, share double"))
-        drawn = dealt.join(shares, "shard").where(
-            F.pmod(F.xxhash64("point"), F.lit(1 << 30)) < F.col("share") * (1 << 30)
-        )
+        drawn = dealt.join(shares, "shard").where(lot < F.col("share") * (1 << 30))
         found = drawn.select("shard", "point").toPandas()
         for row in crowded:
             part, code = row.shard & 255, row.shard >> 8
@@ -252,8 +277,7 @@ def links(
     trees = _grown(points, plan, shard_rows)
     dealt = points.mapInArrow(_shard_rows(trees, plan), "shard long, point long")
     crowded = (
-        dealt.groupBy("shard")
-        .agg(F.count("*").alias("rows"))
+        _sizes(points, trees, plan)
         .where(F.col("rows") > 4 * shard_rows)
         .select("shard", F.ceil(F.col("rows") / (2 * shard_rows)).cast("long").alias("cuts"))
     )

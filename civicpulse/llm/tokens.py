@@ -63,7 +63,8 @@ class Encoder:
     Vocabularies of more than 65,536 ids are refused.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, most_words: int = MOST_WORDS):
+        self.most_words = most_words
         self.tokenizer = load_tokenizer(path)
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids beyond 16 bits")
@@ -112,7 +113,7 @@ class Encoder:
         """Ids of what stands between blanks, the first of them included."""
         if self.lead:
             cuts = [self.lead + cut for cut in cuts]
-        if len(self.new) >= MOST_WORDS:
+        if len(self.new) >= self.most_words:
             self.old, self.new = self.new, {}
         new, old = self.new, self.old
         out = list(map(new.get, cuts))
@@ -208,6 +209,6 @@ class Encoder:
 
 
 @lru_cache(maxsize=4)
-def encoder(path: str) -> Encoder:
+def encoder(path: str, most_words: int = MOST_WORDS) -> Encoder:
     """One encoder per worker process and vocabulary: its words stay for later tasks."""
-    return Encoder(path)
+    return Encoder(path, most_words)

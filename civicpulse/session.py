@@ -21,6 +21,13 @@ RUNTIME_SETTINGS = {
     ),
 }
 
+# What is held at once where whole texts pass through many stages of one session: bytes of a
+# batch that goes to a Python worker, rows of a batch that a scan reads.
+BATCH_BOUNDS = {
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20),
+    "spark.sql.parquet.columnarReaderBatchSize": "512",
+}
+
 
 def tune(spark: SparkSession) -> SparkSession:
     """Apply the runtime settings to a session built elsewhere."""
@@ -29,6 +36,13 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def bound_batches(spark: SparkSession) -> SparkSession:
+    """Apply the bounds of batches; they shape memory, never results."""
+    for key, value in BATCH_BOUNDS.items():
+        spark.conf.set(key, value)
+    return spark
+
+
 def build_session(app: str = "civicpulse", master: str | None = None, **settings) -> SparkSession:
     """A session with the package's settings; extra settings are given as ``{key: value}``."""
     builder = SparkSession.builder.appName(app)

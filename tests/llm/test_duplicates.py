@@ -218,3 +218,15 @@ def test_blocks_are_built_of_numbers(monkeypatch):
             assert row == plain((3 << 32) + number, list(range(at, at + n)), [7] * n, words)
             at += n
         assert at == 5
+
+
+def test_shards_are_counted_where_points_are_dealt(spark):
+    values = np.random.default_rng(3).integers(-(1 << 62), 1 << 62, 3000).tolist()
+    points = spark.createDataFrame([(v,) for v in values], "point long").repartition(3)
+    plan = block_plan(4)
+    trees = simhash._grown(points, plan, 200)
+    dealt = points.mapInArrow(simhash._shard_rows(trees, plan), "shard long, point long")
+    want = {(r.shard, r["count"]) for r in dealt.groupBy("shard").count().collect()}
+    assert len(want) > 3 and {(r.shard, r.rows) for r in simhash._sizes(points, trees, plan).collect()} == want
+    counted = points.mapInArrow(simhash._shard_sizes(trees, plan), "shard long, rows long")
+    assert counted.count() <= 3 * len(want)
