@@ -61,32 +61,38 @@ class Table:
         self.freq = freq.astype(np.uint64)
         self.start = np.concatenate(([0], np.cumsum(freq)[:-1])).astype(np.uint64)
         self.symbol = np.repeat(np.arange(size, dtype=np.uint16), freq)
-        self.bound = self.freq << np.uint64(63 - scale)
+        self.slots = np.uint64(slots)
 
 
 def encode_block(tokens: np.ndarray, table: Table, lanes: int = LANES, stride: int = STRIDE):
     """``(stream, states, places, checksums)`` of a block's tokens (unsigned 16-bit)."""
-    rows = -(-len(tokens) // lanes)
-    state = np.full(lanes, LOW, np.uint64)
+    state, quotients = np.full(lanes, LOW, np.uint64), np.empty(lanes, np.uint64)
+    size = stride * lanes
     groups: list[np.ndarray] = []
     states, places, written = [], [], 0
-    for row in range(rows - 1, -1, -1):
-        symbols = tokens[row * lanes : (row + 1) * lanes]
-        x = state[: len(symbols)]
-        freq = table.freq[symbols]
-        full = x >= table.bound[symbols]
-        if full.any():
-            words = x[full].astype(np.uint32)
-            groups.append(words)
-            written += len(words)
-            x[full] >>= np.uint64(32)
-        quotient, rest = np.divmod(x, freq)
-        state[: len(symbols)] = (quotient << table.scale) + rest + table.start[symbols]
-        if row % stride == 0:
-            states.append(state.copy())
-            places.append(written)
+    for first in range((len(tokens) - 1) // size * size, -1, -size):
+        part = tokens[first : first + size]
+        freqs, starts = table.freq.take(part), table.start.take(part)
+        bounds = freqs << np.uint64(63 - table.scale)
+        gaps = table.slots - freqs
+        for at in range((len(part) - 1) // lanes * lanes, -1, -lanes):
+            row = slice(at, at + lanes)
+            freq = freqs[row]
+            x, quotient = state[: len(freq)], quotients[: len(freq)]
+            full = np.flatnonzero(x >= bounds[row])
+            if len(full):
+                words = x.take(full)
+                groups.append(words.astype(np.uint32))
+                written += len(words)
+                x[full] = words >> np.uint64(32)
+            # The quotient takes whole turns of slots, the rest stays: x + quotient * (slots - freq) + start.
+            np.floor_divide(x, freq, out=quotient)
+            quotient *= gaps[row]
+            x += quotient
+            x += starts[row]
+        states.append(state.copy())
+        places.append(written)
     stream = np.concatenate(groups[::-1]) if groups else np.empty(0, np.uint32)
-    size = stride * lanes
     checksums = [zlib.crc32(tokens[i : i + size].tobytes()) for i in range(0, len(tokens), size)]
     return (
         stream.astype("<u4").tobytes(),
@@ -105,20 +111,20 @@ def decode_segment(
     count = min(n_tokens - first, stride * lanes)
     out = np.empty(count, np.uint16)
     state = states[number].copy()
-    mask = np.uint64((1 << int(table.scale)) - 1)
+    mask = table.slots - np.uint64(1)
     for at in range(0, count, lanes):
-        width = min(lanes, count - at)
-        x = state[:width]
+        x = state[: count - at]
         slot = x & mask
-        symbols = table.symbol[slot]
-        out[at : at + width] = symbols
-        x = table.freq[symbols] * (x >> table.scale) + slot - table.start[symbols]
-        low = x < LOW
-        taken = int(np.count_nonzero(low))
-        if taken:
-            x[low] = (x[low] << np.uint64(32)) | stream[place : place + taken]
-            place += taken
-        state[:width] = x
+        symbols = table.symbol.take(slot.view(np.int64))
+        out[at : at + lanes] = symbols
+        slot -= table.start.take(symbols)
+        x >>= table.scale
+        x *= table.freq.take(symbols)
+        x += slot
+        low = np.flatnonzero(x < LOW)
+        if len(low):
+            x[low] = (x.take(low) << np.uint64(32)) | stream[place : place + len(low)]
+            place += len(low)
     if zlib.crc32(out.tobytes()) != checksum:
         raise ValueError(f"checksum of segment {number} differs")
     return out

@@ -19,13 +19,17 @@ import pyarrow.compute as pc
 # Words of which a worker begins a new generation; it keeps two.
 MOST_WORDS = 350_000
 # Texts are cut and numbered in slices of so many bytes.
-SLICE_BYTES = 6 << 20
+SLICE_BYTES = 12 << 20
+# Texts whose ids are put together at once.
+GATHERED = 128
 # A blank between white space and white space (or the end) belongs to a longer run; other
 # white space than these few is left to the library, as are characters that Python and
 # the tokenizers' expressions class differently.
 RUN = r"[\t\n\r\f\v ] (?:[\t\n\r\f\v ]|\z)"
 # Marks that follow a word as a piece of their own; an apostrophe may belong to a suffix.
 MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+# Two words at a line break, the second of which begins with a Latin letter.
+LINE = r"^[^\n]*[^\s\v]\n[A-Za-zÀ-ÖØ-öø-ÿ][^\n]*\z"
 ODD = r"[\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
 
@@ -56,6 +60,43 @@ def _lowers(normalizer) -> bool:
     return all(normalizer.normalize_str(w) == w.lower() for w in words)
 
 
+# Ids of many entries in one array, and where each entry starts; the last number is the end.
+Ragged = tuple[np.ndarray, np.ndarray]
+
+
+def _ragged(entries: list[bytes]) -> Ragged:
+    sizes = np.fromiter(map(len, entries), np.int64, len(entries)) // 2
+    return np.frombuffer(b"".join(entries), "<u2"), np.concatenate(([0], np.cumsum(sizes)))
+
+
+def _gather(held: Ragged, spots: np.ndarray) -> Ragged:
+    """The entries with the given numbers, in this order."""
+    ids, stops = held
+    sizes = np.diff(stops)[spots]
+    ends = np.concatenate(([0], np.cumsum(sizes)))
+    at = np.repeat(stops[spots] - ends[:-1], sizes)
+    at += np.arange(len(at))
+    return ids.take(at), ends
+
+
+def _chained(*parts: Ragged) -> Ragged:
+    """The entries of all parts, one part after the other."""
+    sizes = np.concatenate([np.diff(stops) for _, stops in parts])
+    return np.concatenate([ids for ids, _ in parts]), np.concatenate(([0], np.cumsum(sizes)))
+
+
+def _strings(strings: pa.Array) -> list[str]:
+    return strings.to_numpy(zero_copy_only=False).tolist()
+
+
+def _last_bytes(strings: pa.Array) -> np.ndarray:
+    """The last byte of each string; any for an empty one."""
+    _, offsets, data = strings.buffers()
+    ends = np.frombuffer(offsets, np.int64)[strings.offset + 1 : strings.offset + len(strings) + 1]
+    data = np.frombuffer(data, np.uint8) if data else np.zeros(0, np.uint8)
+    return np.append(data, 0)[np.maximum(ends, 1) - 1].astype(np.uint8)
+
+
 class Encoder:
     """Token ids of whole texts as unsigned 16-bit numbers; words seen before are looked up.
 
@@ -63,8 +104,8 @@ class Encoder:
     Vocabularies of more than 65,536 ids are refused.
     """
 
-    def __init__(self, path: str, most_words: int = MOST_WORDS):
-        self.most_words = most_words
+    def __init__(self, path: str, most_words: int | None = None):
+        self.most_words = MOST_WORDS if most_words is None else most_words
         self.tokenizer = load_tokenizer(path)
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids beyond 16 bits")
@@ -92,15 +133,15 @@ class Encoder:
                 word = word.lower()
             else:
                 word = self.normalizer.normalize_str(word)
-        if not word.removeprefix(" ").isalpha():
-            return None
+            if not word.removeprefix(" ").isalpha():
+                return None
         if word.isascii():
             return word.replace(" ", BYTE_LETTERS[32])
         return word.encode().decode("latin-1").translate(BYTE_LETTERS)
 
-    def _word(self, word: str) -> bytes | None:
-        """Ids of letters with at most one blank before; None if they are no longer letters when normalized."""
-        found = self.new.get(word) or self.old.get(word)
+    def _unseen(self, word: str) -> bytes | None:
+        """Ids of letters, with at most one blank before, that are not among the new words."""
+        found = self.old.get(word)
         if found is None:
             letters = self._letters(word)
             if letters is None:
@@ -109,23 +150,74 @@ class Encoder:
         self.new[word] = found
         return found
 
-    def _look_up(self, cuts: list[str]) -> list[bytes]:
+    def _word(self, word: str) -> bytes | None:
+        """Ids of letters with at most one blank before; None if they are no longer letters when normalized."""
+        return self.new.get(word) or self._unseen(word)
+
+    def _words(self, words: list[str], lead: str) -> list[bytes | None]:
+        """Ids of each word with what leads it; None for what is no word."""
+        keys = [lead + word for word in words] if lead else words
+        letters = list(map(str.isalpha, words))
+        out = list(map(self.new.get, keys))
+        for at, found in enumerate(out):
+            if not letters[at]:
+                out[at] = None
+            elif found is None:
+                out[at] = self._unseen(keys[at])
+        return out
+
+    def _closed(self, cuts: pa.Array, lead: str) -> Ragged:
+        """Ids of cuts with what leads them.
+
+        Closing marks are taken off by Arrow, so a word is looked up once whatever follows it;
+        what is no word with at most one mark goes cut by cut.
+        """
+        bare = pc.ascii_rtrim(cuts, characters=MARKS)
+        marks = pc.subtract(pc.binary_length(cuts), pc.binary_length(bare)).to_numpy()
+        numbered = bare.dictionary_encode()
+        entries = self._words(_strings(numbered.dictionary), lead)
+        is_word = np.array([found is not None for found in entries], bool)
+        entries = [*(found or b"" for found in entries), b""]
+        # Two entries for each cut, its word and its mark; the last one is empty.
+        spots = np.full((len(cuts), 2), len(entries) - 1)
+        spots[:, 0] = numbered.indices.to_numpy()
+        single = is_word[spots[:, 0]] & (marks < 2)
+        marked = np.flatnonzero(single & (marks == 1))
+        closing = _last_bytes(cuts)[marked]
+        for mark in np.unique(closing).tolist():
+            spots[marked[closing == mark], 1] = len(entries)
+            entries.append(self._piece(chr(mark)))
+        others = np.flatnonzero(~single)
+        spots[others, 0] = np.arange(len(entries), len(entries) + len(others))
+        entries += [self._fresh(lead + cut) if lead + cut else b"" for cut in _strings(cuts.take(pa.array(others)))]
+        ids, stops = _gather(_ragged(entries), spots.ravel())
+        return ids, stops[::2]
+
+    def _look_up(self, cuts: pa.Array) -> Ragged:
         """Ids of what stands between blanks, the first of them included."""
-        if self.lead:
-            cuts = [self.lead + cut for cut in cuts]
         if len(self.new) >= self.most_words:
             self.old, self.new = self.new, {}
-        new, old = self.new, self.old
-        out = list(map(new.get, cuts))
-        for at, found in enumerate(out):
-            if found is None:
-                found = old.get(cuts[at])
-                if found is None:
-                    found = self._fresh(cuts[at])
-                else:
-                    new[cuts[at]] = found
-                out[at] = found
-        return out
+        if self.words_end:
+            return self._closed(cuts, "")
+        # A line break between two words is a piece of its own.
+        lines = pc.match_substring_regex(cuts, LINE)
+        one_line = pc.invert(lines)
+        parts = pc.split_pattern(cuts.filter(lines), "\n").flatten()
+        n, split = len(cuts), len(parts) // 2
+        odd = np.arange(2 * split) % 2 == 1
+        heads, tails = parts.filter(pa.array(~odd)), parts.filter(pa.array(odd))
+        held = _chained(
+            self._closed(pa.concat_arrays([cuts.filter(one_line), heads]), self.lead),
+            _ragged([b"", self._piece("\n")]),
+            self._closed(tails, ""),
+        )
+        # Three entries for each cut: its first part, the line break, its second part.
+        spots = np.full((n, 3), n)
+        spots[one_line.to_numpy(zero_copy_only=False), 0] = np.arange(n - split)
+        two = lines.to_numpy(zero_copy_only=False)
+        spots[two] = np.arange(split)[:, None] * [1, 0, 1] + [n - split, n + 1, n + 2]
+        ids, stops = _gather(held, spots.ravel())
+        return ids, stops[::3]
 
     def _fresh(self, cut: str) -> bytes:
         """A word, a word with a closing mark, two parts at a line break, or anything else."""
@@ -178,29 +270,31 @@ class Encoder:
             cuts = pc.split_pattern(texts, " ")
         offsets = cuts.offsets.to_numpy()
         numbered = cuts.values.dictionary_encode()
-        number = numbered.indices.to_numpy(zero_copy_only=False)
-        different = numbered.dictionary.to_numpy(zero_copy_only=False)
-        used = np.zeros(len(different), bool)
+        number, different = numbered.indices.to_numpy(zero_copy_only=False), numbered.dictionary
         fast = np.repeat(~whole, np.diff(offsets))
         first = np.zeros(len(number), bool)
         if not self.words_end:
             first[offsets[:-1][np.diff(offsets) > 0]] = True  # no blank precedes these
-        used[number[fast & ~first]] = True
-        ids = np.full(len(different), b"", dtype=object)
-        ids[used] = self._look_up(different[used].tolist())
+        later = fast & ~first
+        used = np.zeros(len(different), bool)
+        used[number[later]] = True
+        held = self._look_up(different.filter(pa.array(used)))
+        heads = np.flatnonzero(fast & first)
+        head_ids = [self._fresh(cut) if cut else b"" for cut in _strings(different.take(pa.array(number[heads])))]
+        # The empty entry stands for the cuts of whole texts.
+        held = _chained(held, _ragged([b"", *head_ids]))
+        nothing = np.count_nonzero(used)
+        spots = np.full(len(number), nothing)
+        spots[later] = (np.cumsum(used) - 1)[number[later]]
+        spots[heads] = np.arange(nothing + 1, nothing + 1 + len(heads))
         out = []
-        for at in range(len(texts)):
-            a, b = offsets[at], offsets[at + 1]
-            if whole[at]:
-                found = self._library(texts[at].as_py())
-            elif a == b:
-                found = b""
-            elif self.words_end:
-                found = b"".join(ids[number[a:b]].tolist())
-            else:
-                head = different[number[a]]
-                found = (self._fresh(head) if head else b"") + b"".join(ids[number[a + 1 : b]].tolist())
-            out.append(np.frombuffer(found, dtype="<u2"))
+        for a in range(0, len(texts), GATHERED):
+            bounds = offsets[a : a + GATHERED + 1]
+            found, ends = _gather(held, spots[bounds[0] : bounds[-1]])
+            ends = ends[bounds - bounds[0]].tolist()
+            out += [found[b:e] for b, e in zip(ends, ends[1:])]
+        for at in np.flatnonzero(whole).tolist():
+            out[at] = np.frombuffer(self._library(texts[at].as_py()), "<u2")
         return out
 
     def encode(self, text: str | None) -> np.ndarray:

@@ -56,6 +56,41 @@ def test_small_caches_change_nothing(monkeypatch):
         assert len(encoder.new) < 40 and len(encoder.old) < 40
 
 
+@pytest.mark.parametrize("path", [BYTES, WORDS])
+def test_words_with_marks_and_line_breaks_are_not_taken_cut_by_cut(path, monkeypatch):
+    texts = [f"word{chr(97 + i % 26)} other{chr(97 + i % 23)}, lines.\nOf{chr(97 + i % 11)} (so) it is.\nÉta" for i in range(300)]
+    encode, encoder, cut_by_cut, fresh = plain(path), Encoder(path), [], Encoder._fresh
+    monkeypatch.setattr(Encoder, "_fresh", lambda self, cut: cut_by_cut.append(cut) or fresh(self, cut))
+    assert [i.tolist() for i in encoder.encode_batch(pa.array(texts))] == [encode(t) for t in texts]
+    # What begins a text, and one bracket.
+    assert len(cut_by_cut) <= len(texts) + 1
+
+
+def plain_coder(numbers, table, lanes, stride):
+    """The coder symbol by symbol, in numbers of any size."""
+    states, words, kept = [1 << 31] * lanes, [], []
+    for row in range(-(-len(numbers) // lanes) - 1, -1, -1):
+        out = []
+        for lane, symbol in enumerate(numbers[row * lanes : (row + 1) * lanes].tolist()):
+            freq, x = int(table.freq[symbol]), states[lane]
+            if x >= freq << (63 - int(table.scale)):
+                out.append(x & 0xFFFFFFFF)
+                x >>= 32
+            states[lane] = (x // freq << int(table.scale)) + x % freq + int(table.start[symbol])
+        words = out + words
+        if row % stride == 0:
+            kept = [*states, *kept]
+    return np.array(words, "<u4").tobytes(), np.array(kept, "<u8").tobytes()
+
+
+@pytest.mark.parametrize("size", [0, 1, 300, 1000])
+def test_streams_are_those_of_the_plain_coder(size):
+    numbers = np.minimum(np.random.default_rng(size).zipf(1.2, size), 60_000).astype(np.uint16)
+    symbols, counts = np.unique(numbers, return_counts=True)
+    table = Table(dict(zip(symbols.tolist(), counts.tolist())))
+    assert encode_block(numbers, table, lanes=16, stride=8)[:2] == plain_coder(numbers, table, 16, 8)
+
+
 @pytest.mark.parametrize("size", [0, 1, 7, 1024, 5000])
 def test_blocks_round_trip_by_segment(size):
     rng = np.random.default_rng(size)
