@@ -2,45 +2,49 @@
 
 Feature values are binned once, by quantiles of what is not zero; zeros (most cells of a text
 vector) are never stored: a node's sums less those of its bins are the zeros' sums, and each
-split learns the side they go to. One job per tree level serves all classes:
+split learns the side they go to.
 
-* a task adds up gradients and hessians of its rows by (class, node, feature, bin), only for
-  bins that occur, and sends each range of features to one reducer;
-* a reducer adds the tasks' sums, scans each feature's bins from the left, and returns its best
-  split of each node;
-* the driver, which sees one row per reducer and node, keeps the better one.
+Text vectors are wide and thin: sums by (node, feature, bin) are as many as the cells, so it is
+rows that travel, a bit each, and never sums. The cells are dealt once by feature, a column with
+all its rows to one task. One job of one stage per tree level serves all classes:
 
-Rows stay where they are. A worker remembers the margins of blocks it has seen, up to a bound;
-of a block it has not, it works them out from the trees so far, so nothing is lost with it.
+* the driver sends where each row stands (its node; once a tree its probability);
+* a task adds up gradients and hessians of its columns' cells by (class, node, feature, bin),
+  leaves out columns that weigh too little in a node to be split there, scans the others' bins
+  from the left, and returns the best split of each node with a bit per row: does it part from the zeros;
+* the driver keeps the best split of the tasks' and moves the rows on.
+
+A worker remembers the cells of parts it has met, up to a bound, and is sent them anew where it
+does not, so nothing is lost with it. The driver holds, and a task reads, some 20 bytes a row and class.
 """
 
 from __future__ import annotations
 
 import uuid
 from collections import OrderedDict
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import RDD, Broadcast, StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from civicpulse import fixed_values as fixed
-from civicpulse.ml.blocks import class_counts, feature_count, parsed, read_blocks, settled, to_blocks, vector_cells
+from civicpulse.ml.blocks import feature_count, read_blocks, settled, to_blocks, vector_cells
 
 BINS = 256
-BINS_OF_PART = 25_000
 SCANNED = 8_192
 LEAST_GAIN = 1e-6
-REMEMBERED_BYTES = 64 << 20
-SUMS_SCHEMA = "part int, keys binary, g binary, h binary, totals binary"
-SPLIT_SCHEMA = (
-    "slot int, gain double, feature int, bin int, zeros_left boolean, g double, h double, "
-    "left_g double, left_h double, loss double"
-)
-LOSS_SCHEMA = "label int, loss double"
+LEAST_CELLS_OF_PART = 20_000
+MOST_CELLS_OF_PART = 8_000_000
+CELLS_OF_PIECE = 1 << 21
+CELLS_OF_RECORD = 1 << 17
+FEW_NODES = 6
+REMEMBERED_BYTES = 192 << 20
+MISSES = 16
 
 
 @dataclass
@@ -101,64 +105,13 @@ class Forest:
                 margins[:, label] += self.value[at, label][self.nodes(codes, rows, len(margins), at, label)]
 
 
-class _Remembered:
-    """Margins of blocks this worker has seen, the least used dropped first."""
-
-    def __init__(self):
-        self.held: OrderedDict[tuple, tuple[int, np.ndarray]] = OrderedDict()
-        self.bytes = 0
-
-    def margins(self, fit: str, number: int, forest: Forest, rounds: int, codes, rows, n: int) -> np.ndarray:
-        done, margins = self.held.pop((fit, number), (0, None))
-        if margins is None or done > rounds:
-            done, margins = 0, np.tile(forest.base, (n, 1))
-        else:
-            self.bytes -= margins.nbytes
-        forest.add(margins, codes, rows, done, rounds)
-        self.held[fit, number] = rounds, margins
-        self.bytes += margins.nbytes
-        while self.bytes > REMEMBERED_BYTES and len(self.held) > 1:
-            self.bytes -= self.held.popitem(last=False)[1][1].nbytes
-        return margins
-
-
-_REMEMBERED = _Remembered()
-
-
 def _probability(margins: np.ndarray) -> np.ndarray:
     return np.exp(-np.logaddexp(0.0, -margins))
 
 
-def _loss(margins: np.ndarray, targets: np.ndarray) -> np.ndarray:
-    return np.logaddexp(0.0, np.where(targets > 0, -margins, margins)).sum(axis=0)
-
-
-def _binned(cuts: "Cuts", n_classes: int):
-    names = ["block", "sizes", "indices", "values", "targets"]
-
-    def binned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in read_blocks(batches, n_classes):
-            stored = block.values != 0
-            indices, owner = block.indices[stored], block.owner[stored]
-            codes = indices.astype(np.int64) * BINS + cuts.bins(indices, block.values[stored])
-            order = np.argsort(codes, kind="stable")
-            # Cells by column: codes and rows stand where indices and values did.
-            columns = [block.sizes, codes[order].astype("<i8"), owner[order].astype("<i4"), block.targets]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([block.number], pa.int64()), *[pa.array([c.tobytes()], pa.binary()) for c in columns]], names
-            )
-
-    return binned
-
-
-def _read_binned(batches: Iterator[pa.RecordBatch], n_classes: int):
-    """``(number, rows, codes, owners, targets)`` of binned blocks."""
-    for batch in batches:
-        for number, *cells in zip(*batch.columns):
-            sizes, codes, owner, targets = (
-                np.frombuffer(c.as_buffer(), k) for c, k in zip(cells, ["<i4", "<i8", "<i4", "u1"])
-            )
-            yield number.as_py(), len(sizes), codes, owner, targets.reshape(-1, n_classes)
+def _loss(margins: np.ndarray, truth: np.ndarray) -> np.ndarray:
+    """Of each class; both are classes x rows."""
+    return np.logaddexp(0.0, np.where(truth > 0, -margins, margins)).sum(axis=1)
 
 
 @dataclass(frozen=True)
@@ -180,76 +133,289 @@ class Cuts:
         return out
 
 
-def quantile_cuts(rows: DataFrame, width: int, features: str = "features", bins: int = BINS) -> Cuts:
-    """Cut points at the ``bins`` quantiles of each feature's values that are not zero."""
-    indices, values = vector_cells(F.col(features))
-    shares = [i / bins for i in range(1, bins)]
-    found = (
-        rows.select(F.inline(F.arrays_zip(indices.alias("i"), values.alias("v"))))
-        .where("v <> 0")
-        .groupBy("i")
-        .agg(F.array_distinct(F.percentile_approx("v", shares, 40 * bins)).alias("points"))
-        .toPandas()  # fewer than ``bins`` numbers per feature
-    )
-    points = dict(zip(found["i"], found["points"]))
-    sizes = [len(points.get(i, ())) for i in range(width)]
-    flat = [np.sort(np.asarray(points[i], float)) for i in range(width) if i in points]
-    return Cuts(np.concatenate(([0], np.cumsum(sizes))).astype(np.int64), np.concatenate(flat) if flat else np.empty(0))
-
-
-def _level_sums(fit: str, forest, rounds: int, tree: tuple, going: np.ndarray, level: int, width: int, parts: int, n_classes: int, live: np.ndarray):
-    """Sums of a task's rows by (class, node of the level, feature, bin), a row per feature range."""
-    first, count = (1 << level) - 1, 1 << level
-    span = width * BINS
-
-    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = forest.value
-        growing = Forest(held.base, held.depth)
-        growing.feature, growing.bin, growing.zeros_left, growing.value = tree
-        keys, gs, hs = [], [], []
-        totals = np.zeros((3, len(live) * count))  # gradients, hessians and, at the root, losses
-        for number, n, codes, rows, targets in _read_binned(batches, n_classes):
-            margins = _REMEMBERED.margins(fit, number, held, rounds, codes, rows, n)
-            p = _probability(margins)
-            g_all, h_all = p - targets[:, live], np.maximum(p * (1 - p), 1e-16)
-            if level == 0:
-                totals[2] += _loss(margins, targets[:, live])
-            for k in range(len(live)):
-                if not going[k]:
-                    continue
-                node = growing.nodes(codes, rows, n, 0, k) - first
-                node[(node < 0) | (node >= count)] = count
-                g, h = g_all[:, k], h_all[:, k]
-                totals[0, k * count : (k + 1) * count] += np.bincount(node, g, count + 1)[:count]
-                totals[1, k * count : (k + 1) * count] += np.bincount(node, h, count + 1)[:count]
-                cell = node.astype(np.uint8)[rows]
-                order = np.argsort(cell, kind="stable")
-                order = order[: np.searchsorted(cell[order], count)]
-                owner = rows[order]
-                key = (k * count + cell[order]).astype(np.int64) * span + codes[order]
-                if len(key):
-                    heads = np.flatnonzero(np.diff(key, prepend=-1))
-                    keys.append(key[heads])
-                    gs.append(np.add.reduceat(g[owner], heads))
-                    hs.append(np.add.reduceat(h[owner], heads))
-        if not keys:
-            keys, gs, hs = [np.empty(0, np.int64)], [np.empty(0)], [np.empty(0)]
-        key, g, h = np.concatenate(keys), np.concatenate(gs), np.concatenate(hs)
-        part = (key % span) // BINS * parts // width
-        order = np.argsort(part.astype(np.int16), kind="stable")
-        bounds = np.searchsorted(part[order], np.arange(parts + 1))
-        for at in range(parts):
-            chosen = order[bounds[at] : bounds[at + 1]]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([at], pa.int32()), pa.array([key[chosen].tobytes()], pa.binary()),
-                    pa.array([g[chosen].astype("<f4").tobytes()], pa.binary()),
-                    pa.array([h[chosen].astype("<f4").tobytes()], pa.binary()), pa.array([totals.tobytes()], pa.binary()),
-                ],
-                ["part", "keys", "g", "h", "totals"],
-            )
-
-    return sums
+def quantile_cuts(values: np.ndarray, bins: int = BINS) -> np.ndarray:
+    """The distinct ones of the ``bins`` quantiles of a feature's values that are not zero."""
+    ranks = -(-np.arange(1, bins) * len(values) // bins)
+    return np.unique(np.sort(values)[np.maximum(ranks, 1) - 1])
+
+
+def _outlined(blocks: DataFrame, n_classes: int, width: int) -> tuple[dict[int, int], np.ndarray, np.ndarray]:
+    """The first row's number of each block, the targets of all rows, and how many cells each feature has."""
+
+    def outline(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells = np.zeros(width, np.int64)
+        for block in read_blocks(batches, n_classes):
+            cells += np.bincount(block.indices[block.values != 0], minlength=width)
+            yield pa.RecordBatch.from_arrays([pa.array([block.number]), pa.array([block.targets.tobytes()], pa.binary())], ["block", "of"])
+        yield pa.RecordBatch.from_arrays([pa.array([-1]), pa.array([cells.tobytes()], pa.binary())], ["block", "of"])
+
+    found = sorted(((r.block, bytes(r.of)) for r in blocks.mapInArrow(outline, "block long, of binary").collect()), key=lambda r: r[0])
+    targets = [np.frombuffer(of, "u1").reshape(-1, n_classes) for number, of in found if number >= 0]
+    ends = np.cumsum([0, *map(len, targets)]).tolist()
+    cells = sum((np.frombuffer(of, np.int64) for number, of in found if number < 0), np.zeros(width, np.int64))
+    starts = dict(zip((number for number, _ in found if number >= 0), ends))
+    return starts, np.concatenate([np.empty((0, n_classes), np.uint8), *targets]), cells
+
+
+def _parts(cells: np.ndarray, cores: int) -> tuple[int, np.ndarray]:
+    """How many parts the features are dealt to, and the part of each: by weight, to and fro."""
+    total = int(cells.sum())
+    parts = min(cores, len(cells), 1 + total // LEAST_CELLS_OF_PART)
+    parts = min(parts * max(1, -(-total // (parts * MOST_CELLS_OF_PART))), len(cells))
+    turn = np.arange(len(cells)) % (2 * parts)
+    part = np.empty(len(cells), np.int32)
+    part[np.argsort(-cells, kind="stable")] = np.minimum(turn, 2 * parts - 1 - turn)
+    return parts, part
+
+
+def _dealt(blocks: DataFrame, n_classes: int, n: int, starts: dict[int, int], parts: int, part: np.ndarray) -> RDD:
+    """The cells that are not zero, as ``(part, (feature * n + row, value))`` arrays, a partition per part."""
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, count = [], 0
+
+        def pieces() -> Iterator[pa.RecordBatch]:
+            cells, values = (np.concatenate(x) for x in zip(*held))
+            to = part[cells // n]
+            order = np.argsort(to, kind="stable")
+            bounds = np.searchsorted(to[order], np.arange(parts + 1))
+            for at in np.flatnonzero(np.diff(bounds)):
+                chosen = order[bounds[at] : bounds[at + 1]]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([at], pa.int32()), *(pa.array([x[chosen].tobytes()], pa.binary()) for x in (cells, values))],
+                    ["part", "cells", "values"],
+                )
+
+        for block in read_blocks(batches, n_classes):
+            stored = block.values != 0
+            held.append((block.indices[stored].astype(np.int64) * n + (starts[block.number] + block.owner[stored]), block.values[stored]))
+            count += len(held[-1][0])
+            if count >= CELLS_OF_PIECE:
+                yield from pieces()
+                held, count = [], 0
+        if count:
+            yield from pieces()
+
+    pieces = blocks.mapInArrow(dealt, "part int, cells binary, values binary").rdd
+    return pieces.map(lambda r: (r[0], (bytes(r[1]), bytes(r[2])))).partitionBy(parts, int)
+
+
+def _read_columns(pieces: Iterable[tuple[int, tuple[bytes, bytes]]], n: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """``(feature, values, rows)`` of whole columns, by feature; rows ascend."""
+    held = [(np.frombuffer(c, np.int64), np.frombuffer(v)) for _, (c, v) in pieces]
+    if held:
+        cells, values = (np.concatenate(x) for x in zip(*held))
+        del held
+        order = np.argsort(cells)
+        features, rows = np.divmod(cells[order], n)
+        values = values[order]
+        heads = _heads(features)
+        for a, b in zip(heads, [*heads[1:], len(rows)]):
+            yield int(features[a]), values[a:b], rows[a:b]
+
+
+def _cuts(dealt: RDD, parts: int, n: int, width: int, bins: int) -> Cuts:
+    """The cut points of all features; fewer than ``bins`` numbers of each come to the driver."""
+
+    def points(pieces) -> list[tuple[int, np.ndarray]]:
+        return [(feature, quantile_cuts(values, bins)) for feature, values, _ in _read_columns(pieces, n)]
+
+    found = dict(dealt.context.runJob(dealt, points, range(parts)))
+    every = [found.get(i, np.empty(0)) for i in range(width)]
+    return Cuts(np.cumsum([0, *map(len, every)]), np.concatenate(every))
+
+
+def _columns(dealt: RDD, n: int, bins: int) -> RDD:
+    """The cells by column: records ``(features, sizes, bins, rows)`` of whole columns, cells by bin."""
+
+    def records(pieces) -> Iterator[tuple[np.ndarray, ...]]:
+        held, count = [], 0
+        for feature, values, rows in _read_columns(pieces, n):
+            found = np.searchsorted(quantile_cuts(values, bins), values).astype(np.uint8)
+            order = np.argsort(found, kind="stable")
+            held.append((feature, len(rows), found[order], rows[order].astype(np.int32)))
+            count += len(rows)
+            if count >= CELLS_OF_RECORD:
+                yield _record(held)
+                held, count = [], 0
+        if held:
+            yield _record(held)
+
+    return dealt.mapPartitions(records).persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def _record(held: list[tuple]) -> tuple[np.ndarray, ...]:
+    features, sizes, bins, rows = zip(*held)
+    return np.array(features), np.array(sizes), np.concatenate(bins), np.concatenate(rows)
+
+
+def _heads(column: np.ndarray) -> np.ndarray:
+    """Where the column changes, the first place included."""
+    fresh = np.ones(len(column), bool)
+    np.not_equal(column[1:], column[:-1], out=fresh[1:])
+    return np.flatnonzero(fresh)
+
+
+class _Search:
+    """The best split of each node of a level, for one class, over the columns a task meets.
+
+    ``slot`` says at which node of the level a row stands, ``totals.shape[1]`` if at none that
+    could be split; ``totals`` are the nodes' sums of gradients and hessians.
+    """
+
+    def __init__(self, slot: np.ndarray, totals: np.ndarray, p: np.ndarray, truth: np.ndarray, penalty: float, least_weight: float):
+        self.slot, self.totals, self.penalty, self.least_weight = slot, totals, penalty, least_weight
+        self.g, self.h = _slopes(p, truth)
+        self.slots = np.flatnonzero(np.bincount(slot, minlength=totals.shape[1])[: totals.shape[1]]).tolist()
+        self.best = {}
+
+    def look(self, features: np.ndarray, codes: np.ndarray, rows: np.ndarray, span: int) -> None:
+        """Whole columns: ``codes`` (place in ``features`` * BINS + bin, ascending) and rows of their cells."""
+        sums = [self._sums(slot, inside, features, codes, rows, span) for slot, inside in self._inside(self.slot.take(rows))]
+        if sums := [x for x in sums if x]:
+            key, g, h = (np.concatenate(x) for x in zip(*sums))
+            found = best_splits(key, g, h, self.totals, span, self.penalty, self.least_weight)
+            for split in zip(*(x.tolist() for x in found)):
+                self._keep(*split, features, codes, rows)
+
+    def _inside(self, at: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """The cells of each node, given where each cell's row stands."""
+        if len(self.slots) <= FEW_NODES:
+            yield from ((slot, np.flatnonzero(at == slot)) for slot in self.slots)
+        else:
+            order, ends = np.argsort(at, kind="stable"), np.cumsum(np.bincount(at, minlength=self.totals.shape[1]))
+            yield from ((slot, order[ends[slot - 1] if slot else 0 : ends[slot]]) for slot in self.slots)
+
+    def _sums(self, slot: int, inside: np.ndarray, features, codes, rows, span: int):
+        """Keys as of :func:`best_splits` with their sums, of one node; nothing of columns that can't be split in it."""
+        if not len(inside):
+            return None
+        own, owner = (codes, rows) if len(inside) == len(rows) else (codes.take(inside), rows.take(inside))
+        h, heads = self.h.take(owner), _heads(own // BINS)
+        # A side of a split lies within the column's cells; if these weigh too little, there is none.
+        enough = np.add.reduceat(h, heads) >= self.least_weight
+        if not enough.any():
+            return None
+        if not enough.all():
+            chosen = np.flatnonzero(np.repeat(enough, np.diff(np.append(heads, len(own)))))
+            own, owner, h = own.take(chosen), owner.take(chosen), h.take(chosen)
+        heads = _heads(own)
+        column, bins = np.divmod(own[heads], BINS)
+        key = slot * span + features[column] * BINS + bins
+        return key, np.add.reduceat(self.g.take(owner), heads), np.add.reduceat(h, heads)
+
+    def _keep(self, slot: int, gain: float, feature: int, cut: int, zeros_left: bool, left_g: float, left_h: float, features, codes, rows) -> None:
+        """Keep a split if none as good came before; equal ones go by feature."""
+        if slot in self.best and (self.best[slot][0], -self.best[slot][1]) >= (gain, -feature):
+            return
+        first = int(np.searchsorted(features, feature)) * BINS
+        a, middle, b = np.searchsorted(codes, (first, first + cut + 1, first + BINS)).tolist()
+        parted = rows[middle:b] if zeros_left else rows[a:middle]
+        self.best[slot] = (gain, feature, cut, zeros_left, left_g, left_h, parted[self.slot[parted] == slot])
+
+    def found(self) -> tuple[list[tuple], bytes]:
+        """``(slot, gain, feature, bin, zeros_left, left_g, left_h)``, and a bit per row: parts from its node's zeros."""
+        parts = np.zeros(len(self.slot), bool)
+        for *_, parted in self.best.values():
+            parts[parted] = True
+        return [(slot, *x[:-1]) for slot, x in self.best.items()], np.packbits(parts).tobytes()
+
+
+class _Remembered:
+    """Records of parts this worker has met, ready for :meth:`_Search.look`, the least used dropped first."""
+
+    def __init__(self):
+        self.held: OrderedDict[tuple[str, int], tuple[int, list]] = OrderedDict()
+        self.bytes = 0
+
+    def get(self, key: tuple[str, int]) -> list | None:
+        if key not in self.held:
+            return None
+        self.held.move_to_end(key)
+        return self.held[key][1]
+
+    def reading(self, key: tuple[str, int], records: Iterable[tuple[np.ndarray, ...]]) -> Iterator[tuple[np.ndarray, ...]]:
+        """The records made ready one by one; remembered if all of them fit the bound."""
+        self.bytes -= self.held.pop(key, (0, None))[0]
+        size, kept = 0, []
+        for features, sizes, bins, rows in records:
+            ready = features, np.repeat(np.arange(len(features), dtype=np.int32) * BINS, sizes) + bins, rows.astype(np.intp)
+            size += sum(x.nbytes for x in ready)
+            if size <= REMEMBERED_BYTES:
+                kept.append(ready)
+            else:
+                kept.clear()
+            yield ready
+        if size <= REMEMBERED_BYTES:
+            self.held[key], self.bytes = (size, kept), self.bytes + size
+        while self.bytes > REMEMBERED_BYTES:
+            self.bytes -= self.held.popitem(last=False)[1][0]
+
+
+_REMEMBERED = _Remembered()
+
+
+@dataclass(frozen=True)
+class _Level:
+    """What a task is asked of its columns on a level: by class, where the rows stand and what the nodes weigh."""
+
+    fit: str
+    sent: Broadcast
+    truth: Broadcast
+    stands: dict[int, tuple[np.ndarray, np.ndarray]]
+    span: int
+    penalty: float
+    least_weight: float
+
+    def splits(self, records: Iterable[tuple[np.ndarray, ...]]) -> list[tuple]:
+        searches = {
+            k: _Search(slot, totals, self.sent.value[k], self.truth.value[k], self.penalty, self.least_weight)
+            for k, (slot, totals) in self.stands.items()
+        }
+        for features, codes, rows in records:
+            for search in searches.values():
+                search.look(features, codes, rows, self.span)
+        return [(k, *search.found()) for k, search in searches.items() if search.best]
+
+    def read(self, records: Iterable[tuple[np.ndarray, ...]]) -> list[list[tuple]]:
+        from pyspark import TaskContext
+
+        return [self.splits(_REMEMBERED.reading((self.fit, TaskContext.get().partitionId()), records))]
+
+    def recall(self, parts: Iterable[int]) -> list[tuple[int, list[tuple] | None]]:
+        """By part; None where this worker does not hold the records."""
+        found = [(part, _REMEMBERED.get((self.fit, part))) for part in parts]
+        return [(part, records if records is None else self.splits(records)) for part, records in found]
+
+
+class _Parts:
+    """The columns' parts. Workers that remember theirs are asked without sending the cells anew."""
+
+    def __init__(self, columns: RDD, parts: int):
+        def numbered(part: int, records) -> Iterator[int]:
+            for _ in records:
+                pass
+            yield part
+
+        self.columns, self.parts, self.context, self.fit = columns, parts, columns.context, uuid.uuid4().hex
+        # Cached beside the columns, so that the tasks run there.
+        self.numbers = columns.mapPartitionsWithIndex(numbered).persist(StorageLevel.MEMORY_AND_DISK)
+        self.met, self.misses_left = False, MISSES * parts
+
+    def ask(self, level: _Level) -> list[tuple]:
+        found, missing = [], list(range(self.parts))
+        if self.met and self.misses_left > 0:  # else workers end with their tasks, or the parts are too large
+            recalled = dict(self.context.runJob(self.numbers, level.recall, missing))
+            found, missing = [x for x in recalled.values() if x is not None], [part for part, x in recalled.items() if x is None]
+            self.misses_left -= len(missing)
+        if missing:
+            found += self.context.runJob(self.columns, level.read, missing)
+        self.met = True
+        return [x for of in found for x in of]
+
+    def close(self) -> None:
+        self.numbers.unpersist()
+        self.columns.unpersist()
 
 
 def best_splits(key, g, h, totals: np.ndarray, span: int, penalty: float, least_weight: float):
@@ -258,15 +424,16 @@ def best_splits(key, g, h, totals: np.ndarray, span: int, penalty: float, least_
     ``(slot, gain, feature, bin, zeros_left, left_g, left_h)`` arrays; slots without a split that
     gains are left out.
     """
-    order = np.argsort(key, kind="stable")
-    key, g, h = key[order], g[order].astype(float), h[order].astype(float)
-    heads = np.flatnonzero(np.diff(key, prepend=-1))
-    if not len(heads):
+    if not len(key):
         return [np.empty(0)] * 7
-    key, g, h = key[heads], np.add.reduceat(g, heads), np.add.reduceat(h, heads)
+    if (key[1:] <= key[:-1]).any():
+        order = np.argsort(key, kind="stable")
+        key, g, h = key[order], g[order], h[order]
+        heads = _heads(key)
+        key, g, h = key[heads], np.add.reduceat(g, heads, dtype=float), np.add.reduceat(h, heads, dtype=float)
     # Whole columns (slot and feature), so many at a time that what is worked out stays in the cache.
-    columns = np.flatnonzero(np.diff(key // BINS, prepend=-1))
-    cuts = columns[np.flatnonzero(np.diff(columns // SCANNED, prepend=-1))]
+    columns = _heads(key // BINS)
+    cuts = columns[_heads(columns // SCANNED)]
     found = [_scan(key[a:b], g[a:b], h[a:b], totals, span, penalty, least_weight) for a, b in zip(cuts, [*cuts[1:], len(key)])]
     slot, gain, *rest = (np.concatenate(x) for x in zip(*found))
     # Of a slot's equal gains the first is kept, as in one scan.
@@ -278,88 +445,50 @@ def best_splits(key, g, h, totals: np.ndarray, span: int, penalty: float, least_
 def _scan(key, g, h, totals: np.ndarray, span: int, penalty: float, least_weight: float):
     """:func:`best_splits` of ascending, distinct keys."""
     column = key // BINS
-    starts = np.flatnonzero(np.diff(column, prepend=-1))
+    starts = _heads(column)
     sizes = np.diff(np.append(starts, len(key)))
-    slot = key // span
+    slots = column[starts] // (span // BINS)
     run_g, run_h = np.cumsum(g), np.cumsum(h)
-    before_g, before_h = np.repeat(run_g[starts] - g[starts], sizes), np.repeat(run_h[starts] - h[starts], sizes)
-    low_g, low_h = run_g - before_g, run_h - before_h
+    before_g, before_h = run_g[starts] - g[starts], run_h[starts] - h[starts]
     ends = starts + sizes - 1
-    all_g, all_h = np.repeat(low_g[ends], sizes), np.repeat(low_h[ends], sizes)
-    total_g, total_h = totals[0][slot], totals[1][slot]
-    whole = total_g**2 / (total_h + penalty)
-    best = None
-    for zeros_left in (False, True):
-        left_g = low_g + (total_g - all_g) * zeros_left
-        left_h = low_h + (total_h - all_h) * zeros_left
-        right_g, right_h = total_g - left_g, total_h - left_h
-        with np.errstate(divide="ignore", invalid="ignore"):
-            gain = left_g**2 / (left_h + penalty) + right_g**2 / (right_h + penalty) - whole
-        gain[(left_h < least_weight) | (right_h < least_weight)] = -1.0
-        if best is None:
-            best = [gain, left_g, left_h, np.zeros(len(key), bool)]
-        else:
-            better = gain > best[0]
-            for old, new in zip(best, (gain, left_g, left_h, np.ones(len(key), bool))):
-                old[better] = new[better]
-    gain, left_g, left_h, zeros = best
-    heads = np.flatnonzero(np.diff(slot, prepend=-1))
-    top = np.repeat(np.maximum.reduceat(gain, heads), np.diff(np.append(heads, len(key))))
-    chosen = np.flatnonzero((gain == top) & (gain > LEAST_GAIN))
-    chosen = chosen[np.flatnonzero(np.diff(slot[chosen], prepend=-1))]
-    code = key[chosen] % span
-    return [slot[chosen], gain[chosen], code // BINS, code % BINS, zeros[chosen], left_g[chosen], left_h[chosen]]
-
-
-def _level_splits(span: int, penalty: float, least_weight: float):
-    names = [part.split()[0] for part in SPLIT_SCHEMA.split(", ")]
-
-    def splits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, gs, hs, totals = [], [], [], {}
-        for batch in batches:
-            for part, key, g, h, total in zip(*batch.columns):
-                keys.append(np.frombuffer(key.as_buffer(), "<i8"))
-                gs.append(np.frombuffer(g.as_buffer(), "<f4"))
-                hs.append(np.frombuffer(h.as_buffer(), "<f4"))
-                part = part.as_py()
-                totals[part] = totals.get(part, 0) + np.frombuffer(total.as_buffer()).reshape(3, -1)
-        if not keys:
-            return
-        total = next(iter(totals.values()))  # every range of features has them all
-        found = best_splits(np.concatenate(keys), np.concatenate(gs), np.concatenate(hs), total, span, penalty, least_weight)
-        slot = found[0].astype(np.int64)
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(slot, pa.int32()), pa.array(found[1], pa.float64()), pa.array(found[2], pa.int32()),
-                pa.array(found[3], pa.int32()), pa.array(found[4].astype(bool)), pa.array(total[0][slot], pa.float64()),
-                pa.array(total[1][slot], pa.float64()), pa.array(found[5], pa.float64()), pa.array(found[6], pa.float64()),
-                pa.array(total[2][slot], pa.float64()),
-            ],
-            names,
-        )
-        if 0 in totals:  # once a level: what whole nodes weigh, split or not
-            every = np.arange(total.shape[1])
-            none = np.zeros(len(every))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(every, pa.int32()), pa.array(none - 1), pa.array(none.astype(np.int32)), pa.array(none.astype(np.int32)),
-                    pa.array(none > 0), pa.array(total[0]), pa.array(total[1]), pa.array(none), pa.array(none), pa.array(total[2]),
-                ],
-                names,
-            )
+    total_g, total_h = totals[0][slots], totals[1][slots]
+    zero_g, zero_h = total_g - (run_g[ends] - before_g), total_h - (run_h[ends] - before_h)
+    low_g, low_h = run_g - np.repeat(before_g, sizes), run_h - np.repeat(before_h, sizes)
+    all_g, all_h = np.repeat(total_g, sizes), np.repeat(total_h, sizes)
 
-    return splits
-
-
-def _losses(fit: str, forest, rounds: int, n_classes: int, live: np.ndarray):
-    def losses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(live))
-        for number, n, codes, rows, targets in _read_binned(batches, n_classes):
-            margins = _REMEMBERED.margins(fit, number, forest.value, rounds, codes, rows, n)
-            total += _loss(margins, targets[:, live])
-        yield pa.RecordBatch.from_arrays([pa.array(range(len(total)), pa.int32()), pa.array(total)], ["label", "loss"])
+    def gains(left_g, left_h):
+        right_g, right_h = all_g - left_g, all_h - left_h
+        with np.errstate(divide="ignore", invalid="ignore"):
+            out = left_g * left_g / (left_h + penalty) + right_g * right_g / (right_h + penalty)
+        out[np.minimum(left_h, right_h) < (least_weight or np.finfo(float).tiny)] = -1.0  # nor is an empty side one
+        return out
 
-    return losses
+    apart = gains(low_g, low_h)
+    joined = gains(low_g + np.repeat(zero_g, sizes), low_h + np.repeat(zero_h, sizes))
+    most = np.maximum(apart, joined)
+    # The first key of each slot's greatest gain.
+    turns = _heads(slots)
+    heads = starts[turns]
+    top = np.maximum.reduceat(most, heads)
+    of, sizes = slots[turns], np.diff(np.append(heads, len(key)))
+    chosen = np.flatnonzero(most == np.repeat(top, sizes))
+    chosen = chosen[np.searchsorted(chosen, heads)]
+    gain = most[chosen] - totals[0][of] ** 2 / (totals[1][of] + penalty)
+    kept = (most[chosen] >= 0) & (gain > LEAST_GAIN)
+    chosen, of, gain = chosen[kept], of[kept], gain[kept]
+    code, zeros = key[chosen] % span, joined[chosen] > apart[chosen]
+    at = np.searchsorted(starts, chosen, side="right") - 1
+    return [of, gain, code // BINS, code % BINS, zeros, low_g[chosen] + zero_g[at] * zeros, low_h[chosen] + zero_h[at] * zeros]
+
+
+def _slopes(p: np.ndarray, truth: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Gradients and hessians of the logistic loss, rows last.
+
+    As multiples of a power of two so small that sums over all rows are exact: equal splits gain
+    the same in whichever order and task they are summed up, and the first one is taken.
+    """
+    unit = 2.0 ** (p.shape[-1].bit_length() - 50)
+    return np.rint((p - truth) / unit) * unit, np.maximum(np.rint(p * (1 - p) / unit), 1) * unit
 
 
 @dataclass(frozen=True)
@@ -375,76 +504,85 @@ class BoostedTrees:
 
     def fit(self, train: DataFrame, classes: Sequence[str], features: str = "features", labels: str = "labels") -> "TreesModel":
         width = max(feature_count(train, features), 1)
-        blocks = to_blocks(train, classes, features, labels)
-        cuts = quantile_cuts(train, width, features, self.bins)
-        blocks = settled(blocks.mapInArrow(_binned(cuts, len(classes)), blocks.schema), "binned").persist()
-        try:
-            return self._boost(blocks, list(classes), cuts, width)
-        finally:
-            blocks.unpersist()
-
-    def _boost(self, blocks: DataFrame, classes: list[str], cuts: Cuts, width: int) -> "TreesModel":
-        n, positives = class_counts(blocks, len(classes))
+        blocks = settled(to_blocks(train, classes, features, labels), "blocks")
+        starts, targets, cells = _outlined(blocks, len(classes), width)
+        n, positives = len(targets), targets.sum(axis=0, dtype=np.int64)
         live = np.nonzero((positives > 0) & (positives < n))[0]
         rate = positives[live] / max(n, 1)
-        forest, fit = Forest(np.log(rate / (1 - rate)), self.depth), uuid.uuid4().hex
-        # Ranges of features, by how many bins there are to scan.
-        most = min(int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions")), width)
-        cores = blocks.sparkSession.sparkContext.defaultParallelism
-        parts = min(most, cores, 1 + len(cuts.points) // BINS_OF_PART)
-        losses = []
-        context = blocks.sparkSession.sparkContext
-        for at in range(self.trees if len(live) else 0):
-            sent = context.broadcast(forest)
-            tree, loss = self._tree(blocks, fit, sent, at, len(classes), live, width, parts)
-            losses.append(loss)
-            forest = _joined(forest, tree)
-            sent.destroy()
+        forest, losses = Forest(np.log(rate / (1 - rate)), self.depth), np.empty((0, len(live)))
+        cuts = Cuts(np.zeros(width + 1, np.int64), np.empty(0))
         if len(live):
-            sent = context.broadcast(forest)
-            losses.append(self._last_loss(blocks, fit, sent, len(forest), len(classes), live))
-            sent.destroy()
-        return TreesModel(classes, positives, n, live, forest, cuts, np.array(losses).reshape(-1, len(live)), self)
-
-    def _last_loss(self, blocks: DataFrame, fit: str, sent, rounds: int, n_classes: int, live: np.ndarray) -> np.ndarray:
-        rows = blocks.mapInArrow(_losses(fit, sent, rounds, n_classes, live), LOSS_SCHEMA)
-        found = {r.label: r.loss for r in rows.groupBy("label").agg(F.sum("loss").alias("loss")).collect()}
-        return np.array([found.get(k, 0.0) for k in range(len(live))])
-
-    def _tree(self, blocks: DataFrame, fit: str, sent, rounds: int, n_classes: int, live: np.ndarray, width: int, parts: int) -> tuple[Forest, np.ndarray]:
-        """The next tree of every class, and each class's loss before it."""
-        tree, losses = Forest(sent.value.base, self.depth), np.zeros(len(live))
+            parts, part = _parts(cells, blocks.sparkSession.sparkContext.defaultParallelism)
+            dealt = _dealt(blocks, len(classes), n, starts, parts, part)
+            cuts, columns = _cuts(dealt, parts, n, width, self.bins), _Parts(_columns(dealt, n, self.bins), parts)
+            try:
+                forest, losses = self._boost(columns, forest, np.ascontiguousarray(targets[:, live].T), width * BINS)
+            finally:
+                columns.close()
+        return TreesModel(list(classes), positives, n, live, forest, cuts, losses, self)
+
+    def _boost(self, columns: _Parts, forest: Forest, truth: np.ndarray, span: int) -> tuple[Forest, np.ndarray]:
+        """All trees, and each class's loss before every one and after the last."""
+        margins = np.repeat(forest.base[:, None], truth.shape[1], axis=1)
+        losses, sent = [_loss(margins, truth)], columns.context.broadcast(truth)
+        for _ in range(self.trees):
+            tree, places = self._tree(columns, margins, truth, sent, span)
+            for k, place in enumerate(places):
+                margins[k] += tree.value[0, k][place]
+            losses.append(_loss(margins, truth))
+            forest = _joined(forest, tree)
+        sent.destroy()
+        return forest, np.array(losses)
+
+    def _tree(self, columns: _Parts, margins: np.ndarray, truth: np.ndarray, truth_sent: Broadcast, span: int) -> tuple[Forest, np.ndarray]:
+        """The next tree of every class, and the node each row comes to in it (classes x rows)."""
+        tree, places = Forest(np.zeros(len(margins)), self.depth), np.zeros(margins.shape, np.int32)
         tree.grow()
-        span = width * BINS
-        going = np.ones(len(live), bool)
+        p = _probability(margins)
+        g, h = _slopes(p, truth)
+        tree.value[0, :, 0] = -self.rate * g.sum(axis=1) / (h.sum(axis=1) + self.penalty)
+        sent, going = columns.context.broadcast(p), range(len(margins))
         for level in range(self.depth):
             count, first = 1 << level, (1 << level) - 1
-            shape = (tree.feature, tree.bin, tree.zeros_left, tree.value)
-            task = _level_sums(fit, sent, rounds, shape, going, level, width, parts, n_classes, live)
-            found = (
-                blocks.mapInArrow(task, parsed(SUMS_SCHEMA))
-                .repartition(parts, "part")
-                .mapInArrow(_level_splits(span, self.penalty, self.least_weight), parsed(SPLIT_SCHEMA))
-                .toPandas()  # at most a row per node and range of features
-            )
-            if level == 0:
-                whole = found[found["gain"] < 0]
-                for r in whole.itertuples():
-                    tree.value[0, r.slot, 0] = -self.rate * r.g / (r.h + self.penalty)
-                    losses[r.slot] = r.loss
-            best = found[found["gain"] > 0].sort_values(["gain", "feature"], ascending=[False, True]).drop_duplicates("slot")
-            going[:] = False
-            for r in best.itertuples():
-                label, node = r.slot // count, first + r.slot % count
-                going[label] = True
-                tree.feature[0, label, node], tree.bin[0, label, node] = r.feature, r.bin
-                tree.zeros_left[0, label, node] = r.zeros_left
-                left, right = 2 * node + 1, 2 * node + 2
-                tree.value[0, label, left] = -self.rate * r.left_g / (r.left_h + self.penalty)
-                tree.value[0, label, right] = -self.rate * (r.g - r.left_g) / (r.h - r.left_h + self.penalty)
-            if not going.any():
+            stands = {}
+            for k in going:
+                slot = np.where(places[k] >= first, places[k] - first, count)
+                totals = np.stack([np.bincount(slot, x[k], count + 1)[:count] for x in (g, h)])
+                # Either side of a split has the least weight.
+                heavy = np.append(totals[1] >= 2 * self.least_weight, False)
+                if heavy.any():
+                    stands[k] = np.where(heavy[slot], slot, count).astype(np.min_scalar_type(count)), totals
+            if not stands:
+                break
+            found = columns.ask(_Level(columns.fit, sent, truth_sent, stands, span, self.penalty, self.least_weight))
+            going = sorted({k for k, *_ in found})
+            for k in going:
+                splits = [(of, bits) for label, of, bits in found if label == k]
+                self._grow(tree, places[k], k, first, stands[k], splits)
+            if not going:
                 break
-        return tree, losses
+        sent.destroy()
+        return tree, places
+
+    def _grow(self, tree: Forest, place: np.ndarray, k: int, first: int, stands: tuple, splits: list[tuple[list[tuple], bytes]]) -> None:
+        """Split the nodes of a level by the best of the tasks' splits, and move their rows on."""
+        slot, totals = stands
+        best = {}
+        for task, (of, _) in enumerate(splits):
+            for at, gain, feature, *rest in of:
+                best[at] = max(best.get(at, (-np.inf,)), (gain, -feature, task, *rest))
+        owner, zeros_left = np.full(totals.shape[1] + 1, -1), np.zeros(totals.shape[1] + 1, bool)
+        for at, (_, feature, task, cut, zeros, left_g, left_h) in best.items():
+            node, owner[at], zeros_left[at] = first + at, task, zeros
+            tree.feature[0, k, node], tree.bin[0, k, node], tree.zeros_left[0, k, node] = -feature, cut, zeros
+            right_g, right_h = totals[:, at] - (left_g, left_h)
+            tree.value[0, k, 2 * node + 1] = -self.rate * left_g / (left_h + self.penalty)
+            tree.value[0, k, 2 * node + 2] = -self.rate * right_g / (right_h + self.penalty)
+        owners = owner[slot]
+        for task, (_, bits) in enumerate(splits):
+            rows = np.flatnonzero(owners == task)
+            parted = np.unpackbits(np.frombuffer(bits, np.uint8), count=len(slot))[rows].astype(bool)
+            place[rows] = 2 * place[rows] + 1 + (parted == zeros_left[slot[rows]])
 
 
 def _joined(one: Forest, two: Forest) -> Forest:

@@ -9,6 +9,7 @@ from civicpulse.functions.segment import dictionary_tokenizer
 from civicpulse.ml import features, labels, metrics
 from civicpulse.ml.evidence import is_fitted
 from civicpulse.plans.classification import MODELS, classify
+from civicpulse.session import broadcast_within
 from querybook.book import query, six
 
 _BREAK = r"[^\p{L}\p{M}\p{N}_]+"
@@ -31,14 +32,14 @@ vocabulary AS (SELECT term, CAST(sum(n) AS BIGINT) AS tf, count(*) AS df FROM co
   GROUP BY term HAVING count(*) >= 5 ORDER BY tf DESC, term LIMIT 5000)"""
 
 
-def _tickets(t):
-    """Documents as comments, their labels as a ``{a, b}`` type text."""
+def _tickets(t, marks=None):
+    """Documents as comments, their labels (or ``marks``, the same rows) as a ``{a, b}`` type text."""
     flags = F.concat_ws(
         ", ",
         F.when(F.col("quality") == 1, "quality"),
         F.when(F.col("toxic") == 1, "toxic"),
     )
-    return t.documents.join(t.labels, "doc_id").select(
+    return t.documents.join(t.labels if marks is None else marks, "doc_id").select(
         "doc_id", "text", F.concat(F.lit("{"), flags, F.lit("}")).alias("type")
     )
 
@@ -241,7 +242,9 @@ def _classified(t, model):
     the scores of the training rows beside their truth is the one the fit ended with (scores of other rows
     would give another), and that a row's predictions follow from its scores.
     """
-    done = classify(_tickets(t), "doc_id", "text", "type", models={model: MODELS[model]})
+    # A million labels are some 40 MB; beside them the texts need no shuffle.
+    tickets = _tickets(t, broadcast_within(t.labels.select("doc_id", "quality", "toxic"), max_rows=1_000_000))
+    done = classify(tickets, "doc_id", "text", "type", models={model: MODELS[model]})
     sound = is_fitted(done.fitted[model], done.training[model])
     done.close()
     follows = F.forall(F.arrays_zip("predicted", "scores"), lambda c: c["predicted"] == (c["scores"] > 0).cast("int"))
