@@ -20,6 +20,7 @@ does not, so nothing is lost with it. The driver holds, and a task reads, some 2
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections import OrderedDict
 from collections.abc import Iterable, Iterator, Sequence
@@ -326,7 +327,13 @@ class _Remembered:
 
     def __init__(self):
         self.held: OrderedDict[tuple[str, int], tuple[int, list]] = OrderedDict()
-        self.bytes = 0
+        self.bytes, self.frozen = 0, False
+
+    def freeze(self) -> None:
+        """Once a worker: Spark collects its garbage after every task, and would go through all that was imported."""
+        if not self.frozen:
+            gc.freeze()
+            self.frozen = True
 
     def get(self, key: tuple[str, int]) -> list | None:
         if key not in self.held:
@@ -368,6 +375,7 @@ class _Level:
     least_weight: float
 
     def splits(self, records: Iterable[tuple[np.ndarray, ...]]) -> list[tuple]:
+        _REMEMBERED.freeze()
         searches = {
             k: _Search(slot, totals, self.sent.value[k], self.truth.value[k], self.penalty, self.least_weight)
             for k, (slot, totals) in self.stands.items()
